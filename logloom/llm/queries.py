@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import mixing, sharding
+from logloom.llm import mixing, rules, sharding
 from logloom.llm.tables import table
 
 
@@ -20,9 +20,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base_failed and kept of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.apply_rules(docs, rules.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
+    "op10_rules": op10_rules,
 }
 
 ORACLES: dict[str, str] = {
