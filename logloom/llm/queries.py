@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import mixing, rules, sharding
+from logloom.llm import langid, mixing, rules, sharding
 from logloom.llm.tables import table
 
 
@@ -20,6 +20,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; held-out documents teach nothing."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    return langid.predict(docs, langid.fitted(docs.where("not held_out")), ("doc_id", "held_out"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base_failed and kept of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -29,6 +35,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
+    "op8_langid": op8_langid,
     "op10_rules": op10_rules,
 }
 
