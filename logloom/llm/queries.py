@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import langid, mixing, rules, sharding
+from logloom.llm import langid, mixing, quality, rules, sharding
 from logloom.llm.tables import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted; held-out documents teach nothing."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", quality.held_out())
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    return quality.predict(docs, quality.fitted(docs, labels), ["doc_id", "held_out"])
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard of every document."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
@@ -33,6 +40,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
     "op8_langid": op8_langid,
