@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import langid, mixing, quality, rules, sharding
+from logloom.llm import digest, langid, mixing, quality, rules, sharding
 from logloom.llm.tables import table
 
 
@@ -27,6 +27,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return digest.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score; held-out documents teach nothing."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op6_mixing": op6_mixing,
+    "op7_digest": op7_digest,
     "op8_langid": op8_langid,
     "op10_rules": op10_rules,
 }
