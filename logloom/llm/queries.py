@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import digest, langid, mixing, quality, rules, sharding
+from logloom.llm import digest, langid, mixing, quality, rules, sharding, simhash
 from logloom.llm.tables import table
 
 
@@ -22,6 +22,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as drawn, with rate, copy and shuffle_key."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
     "op7_digest": op7_digest,
     "op8_langid": op8_langid,
