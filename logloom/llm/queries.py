@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import digest, langid, mixing, quality, rules, sharding, simhash
+from logloom.llm import digest, langid, mixing, packing, quality, rules, sharding, simhash
 from logloom.llm.tables import table
 
 
@@ -27,6 +27,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    placed = packing.assign(packing.pieces(table(spark, sf_dir, "documents")))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as drawn, with rate, copy and shuffle_key."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_digest": op7_digest,
     "op8_langid": op8_langid,
