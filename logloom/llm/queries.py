@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import digest, langid, mixing, packing, quality, rules, sharding, simhash
+from logloom.llm import digest, langid, mixing, packing, pii, quality, rules, sharding, simhash
 from logloom.llm.tables import table
 
 
@@ -49,6 +49,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fitted(docs.where("not held_out")), ("doc_id", "held_out"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data of every document."""
+    return pii.report(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base_failed and kept of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_digest": op7_digest,
     "op8_langid": op8_langid,
+    "op9_pii": op9_pii,
     "op10_rules": op10_rules,
 }
 
