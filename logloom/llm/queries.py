@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import digest, langid, mixing, packing, pii, quality, rules, sharding, simhash
+from logloom.llm import digest, langid, mixing, packing, pii, quality, rules, sharding, simhash, substrings
 from logloom.llm.tables import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; held-out documents teach nothing."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", quality.held_out())
@@ -61,6 +66,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
