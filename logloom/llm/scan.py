@@ -19,13 +19,14 @@ def map_docs(df: DataFrame, keep: list[str], out: str, fn: Callable[[Chunk], dic
     are held at a time, whatever the size of the Arrow batch; a single text is never cut.
     """
     names = [x.split()[0] for x in out.split(", ")]
-    source = df.select(*keep, F.col(text).alias("__text"))
+    at = keep.index(text) if text in keep else len(keep)
+    source = df.select(*keep, *([] if text in keep else [F.col(text).alias("__text")]))
     kinds = ", ".join(f"`{c}` {t}" for c, t in source.select(*keep).dtypes)
     target = f"{kinds}, {out}" if keep else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(at)
             for c in chunks(column):
                 made = fn(c)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, c.n) for i in range(len(keep))), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names)], names=[*keep, *names])
@@ -53,3 +54,24 @@ def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str, least: int = 1) -> Iterator[pa.Table]:
+    """Sorted batches cut anew so that equal values of column stay together, with at least `least` rows but for the last."""
+    held: list[pa.Table] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        values = held[-1][column].to_numpy()
+        if rows < least or values[0] == values[-1] and (len(held) == 1 or held[-2][column][-1].as_py() == values[0]):
+            continue
+        cut = int(np.searchsorted(values, values[-1]))
+        rest = held[-1].slice(cut)
+        held[-1] = held[-1].slice(0, cut)
+        yield pa.concat_tables(held)
+        held, rows = [rest], rest.num_rows
+    if held:
+        yield pa.concat_tables(held)

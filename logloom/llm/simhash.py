@@ -11,18 +11,19 @@ part, so a large group never becomes all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
-from logloom.llm.scan import map_docs
+from logloom.llm.scan import grouped, map_docs
 from logloom.llm.tables import checkpointed
-from logloom.llm.textkit import U64, Chunk, xxh64
+from logloom.llm.textkit import U64, Chunk, mix, xxh64
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Children of an index node, and fingerprints of a lowest node.
@@ -206,6 +207,150 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.repartition("t", "key").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Words of a wide fingerprint, subsets a document is found by, and shingles of a subset.
+WIDE, SUBSETS, EACH = 8, 12, 4
+
+
+def majority(h: np.ndarray, edge: np.ndarray, words: int = 1) -> np.ndarray:
+    """Majority bits of each run h[edge[i]:edge[i + 1]] (none empty), as that many 64-bit words."""
+    out = np.zeros((len(edge) - 1, words), U64)
+    n = np.diff(edge)[:, None]
+    for k in range(words):
+        for lo in range(0, len(n), 2048):  # bits take 64 bytes a hash
+            own = edge[lo : lo + 2049]
+            bits = np.unpackbits(mix(h[own[0] : own[-1]] + U64(k + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, own[:-1] - own[0], axis=0, dtype=np.int32)
+            out[lo : lo + 2048, k] = np.packbits(2 * ones > n[lo : lo + 2048], axis=1).view(">u8").ravel()
+    return out
+
+
+def sketches(c: Chunk, k: int) -> dict:
+    """For each text of a chunk: sig (of its set of shingles), wide (fingerprint bytes) and keys (of its subsets).
+
+    Shingles are dealt into 2**level subsets by their hash, so that about EACH are in one; the
+    first SUBSETS of these have fingerprints of their own, which make the keys. A text near
+    the border of two levels has the keys of both.
+    """
+    h, doc = shingle_hashes(c, k)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    once = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
+    h, doc = h[once], doc[once]
+    n = np.bincount(doc, minlength=c.n)
+    some = np.flatnonzero(n)
+    first = np.concatenate(([0], np.cumsum(n)))
+    sig, wide = np.zeros(c.n, U64), np.zeros((c.n, WIDE), U64)
+    if len(some):
+        edge = np.append(first[some], first[-1])
+        sig[some] = mix(np.add.reduceat(mix(h), edge[:-1]) + n[some].astype(U64))
+        wide[some] = majority(h, edge, WIDE)
+    place = mix(h ^ U64(0x5851F42D4C957F2D))
+    size = np.log2(np.maximum(n, EACH) / EACH)
+    found_doc, found_key = [], []
+    low = np.floor(size + 1 / 3).astype(np.int64)
+    for level, use in ((low, np.ones(c.n, bool)), (low + 1, np.floor(size + 2 / 3) > low)):
+        shift = np.minimum(level[doc], 63)
+        g = np.where(shift > 0, place >> (U64(64) - np.maximum(shift, 1).astype(U64)), U64(0))
+        pick = np.flatnonzero(use[doc] & (g < U64(SUBSETS)))
+        pick = pick[np.lexsort((g[pick], doc[pick]))]
+        d, own = doc[pick], g[pick]
+        if not len(d):
+            continue
+        start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (own[1:] != own[:-1]))))
+        fp = majority(h[pick], np.append(start, len(pick)))[:, 0]
+        found_doc.append(d[start])
+        found_key.append(mix(fp + (own[start] << U64(8) | level[d[start]].astype(U64)) * U64(0x9E3779B97F4A7C15)))
+    d = np.concatenate(found_doc) if found_doc else np.zeros(0, np.int64)
+    key = np.concatenate(found_key) if found_key else np.zeros(0, U64)
+    key = key[np.argsort(d, kind="stable")]
+    edges = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=c.n)))).astype(np.int32)
+    return {"sig": sig.view(np.int64), "wide": [x.tobytes() for x in wide], "keys": pa.ListArray.from_arrays(pa.array(edges), pa.array(key.view(np.int64)))}
+
+
+def spanning_wide(x: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links between rows of x (wide fingerprints) that differ in at most limit bits, enough to connect all that such links connect.
+
+    Each row is compared with the rows that lead a group so far and leads one itself if none
+    is near. A link that this misses has an end outside the largest group, so the rows there
+    are then compared with all others.
+    """
+    n, joined, out = len(x), Forest(len(x)), []
+
+    def link(i: int, j: int) -> None:
+        if joined.join(i, j):
+            out.append((i, j))
+
+    near = lambda i, rows: np.flatnonzero(np.bitwise_count(rows ^ x[i]).sum(1, dtype=np.int32) <= limit)
+    lead, rows = [0], x[:1]
+    for i in range(1, n):
+        hits = near(i, rows)
+        for k in hits.tolist():
+            link(lead[k], i)
+        if not len(hits):
+            lead.append(i)
+            rows = x[lead]
+    root = np.array([joined.root(i) for i in range(n)])
+    values, size = np.unique(root, return_counts=True)
+    for i in np.flatnonzero(root != values[size.argmax()]).tolist():
+        for j in near(i, x).tolist():
+            if j != i:
+                link(i, j)
+    return out
+
+
+def differing(similarity: float) -> int:
+    """Bits in which wide fingerprints of sets with that Jaccard similarity differ, plus one standard deviation."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, component_id of every different doc_id that isn't null: groups of similar sets of shingles.
+
+    Fingerprints of whole texts that far apart are not found by agreeing blocks. So documents
+    meet where the fingerprint of one of their subsets of shingles is the same, and are linked
+    if their wide fingerprints differ in no more bits than sets of that similarity do.
+    Documents with equal sets are one row from the start, null and blank texts among them.
+    component_id is the smallest doc_id of a group.
+    """
+    limit = differing(similarity)
+    made = map_docs(docs.where("doc_id is not null"), ["doc_id"], "sig bigint, wide binary, keys array<bigint>", lambda c: sketches(c, shingle))
+    thin = checkpointed(made)
+    nodes = thin.groupBy("sig").agg(F.min("doc_id").alias("node"))
+    kept = checkpointed(thin.join(nodes, "sig").where("doc_id = node").dropDuplicates(["sig"]).select("node", "wide", F.explode("keys").alias("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "key", 4096):
+            key, node = t["key"].to_numpy(), t["node"].to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            a, b = [], []
+            for lo in np.flatnonzero(np.diff(edge) > 1):
+                lo, hi = int(edge[lo]), int(edge[lo + 1])
+                x = np.frombuffer(b"".join(t["wide"].slice(lo, hi - lo).to_pylist()), U64).reshape(-1, WIDE)
+                for i, j in spanning_wide(x, limit):
+                    a.append(node[lo + i])
+                    b.append(node[lo + j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    repeated = kept.groupBy("key").count().where("count > 1").select("key")
+    found = kept.join(repeated, "key").select("key", "node", "wide").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint")
+    groups = components(found)
+    label = nodes.join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
+    return thin.join(label, "sig").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group, one for each such id.
+
+    Rows with a null doc_id all stay. Where rows repeat an id, the smallest text stays.
+    """
+    first = similar_groups(docs, similarity, shingle).where("doc_id = component_id").select("doc_id")
+    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    ranked = known.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1").drop("__nth")
+    return ranked.unionByName(docs.where("doc_id is null"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 

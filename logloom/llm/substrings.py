@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.fmindex import FMIndex
+from logloom.llm.scan import grouped
 from logloom.llm.tables import checkpointed
 from logloom.llm.textkit import U64, Words, chunks, mix, ngram_hash, range_hash
 
@@ -98,30 +99,9 @@ def _split(common: np.ndarray):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str, least: int = 1) -> Iterator[pa.Table]:
-    """Sorted batches cut anew so that equal values of column stay together, with at least `least` rows but for the last."""
-    held: list[pa.Table] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(pa.Table.from_batches([batch]))
-        rows += batch.num_rows
-        values = held[-1][column].to_numpy()
-        if rows < least or values[0] == values[-1] and (len(held) == 1 or held[-2][column][-1].as_py() == values[0]):
-            continue
-        cut = int(np.searchsorted(values, values[-1]))
-        rest = held[-1].slice(cut)
-        held[-1] = held[-1].slice(0, cut)
-        yield pa.concat_tables(held)
-        held, rows = [rest], rest.num_rows
-    if held:
-        yield pa.concat_tables(held)
-
-
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by rk, sh, key, start: copies of earlier segments as SETTLED, and as OPEN the segments that need an index."""
-    for t in _groups(batches, "rk"):
+    for t in grouped(batches, "rk"):
         rk, sh, key, start, state = (t[c].to_numpy() for c in ("rk", "sh", "key", "start", "state"))
         done = state == SETTLED
         free = np.flatnonzero(~done)
@@ -165,7 +145,7 @@ def _present(w: Words, doc: np.ndarray, start: np.ndarray, wins: np.ndarray, sh:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of segments' texts, sorted by rk: runs of windows that match at an earlier place, as SETTLED rows."""
-    for t in _groups(batches, "rk", SHARD // 32):
+    for t in grouped(batches, "rk", SHARD // 32):
         order = np.lexsort((t["start"].to_numpy(), t["key"].to_numpy()))
         t = t.take(pa.array(order))
         key, start = t["key"].to_numpy(), t["start"].to_numpy().astype(np.int64)
