@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ def entry_of(chunk: Column) -> Column:
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """value, file, ord: the entries of all files, ord in order of file time, name and place."""
     rows = spark.read.option("lineSep", "\n[").text(path)
-    return _entries(rows)
+    return _entries(_with_place(rows).withColumn("seq", F.monotonically_increasing_id()))
 
 
 def stream_entries(spark: SparkSession, path: str, max_files: int = 1000, clean: str | None = None, archive: str | None = None) -> DataFrame:
@@ -35,10 +38,22 @@ def stream_entries(spark: SparkSession, path: str, max_files: int = 1000, clean:
         reader = reader.option("cleanSource", clean)
         if clean == "archive":
             reader = reader.option("sourceArchiveDir", archive)
-    return _entries(reader.text(path))
+    meta = _with_place(reader.text(path))
+    return _entries(meta.mapInArrow(_numbered, f"{', '.join(f'{n} {t}' for n, t in meta.dtypes)}, seq bigint"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task with their number; streams have no built-in for it."""
+    n = 0
+    for b in batches:
+        yield b.append_column("seq", pa.array(range(n, n + b.num_rows), pa.int64()))
+        n += b.num_rows
+
+
+def _with_place(rows: DataFrame) -> DataFrame:
+    return rows.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    meta = rows.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+def _entries(meta: DataFrame) -> DataFrame:
     kept = meta.withColumn("value", entry_of(F.col("value"))).where(F.octet_length("value") <= LONGEST)
     return kept.select("value", "file", F.struct("mtime", "file", "block", "seq").alias("ord"))
