@@ -29,8 +29,8 @@ def duration_ms(text: Column) -> Column:
 
 
 def clip_bytes(text: Column, n: int) -> Column:
-    """At most n bytes of a text, decoded again."""
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substring(text.cast("binary"), 1, n), "UTF-8"))
+    """The first n bytes of a text; a character cut in half is replaced."""
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.make_valid_utf8(F.substring(text.cast("binary"), 1, n).cast("string")))
 
 
 def clip_chars(text: Column, n: int) -> Column:
