@@ -18,6 +18,8 @@ WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 3.0, "src3": 2.0, "src4": 1.0}
 OTHER = 9.0
 SEED = 17
 REST = "*"
+#: Columns that the mix adds.
+ADDED = ("rate", "copy", "shuffle_key")
 
 
 def _hash60(*parts: Column) -> Column:
@@ -41,9 +43,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: flo
     """docs replicated so that the expected share of each source is its weight, in random order.
 
     weights: by source; other: for all remaining sources and null together; epochs: expected
-    rows out per row in. Adds rate (double), copy (int, from 1) and shuffle_key (bigint); all
-    other columns, clashing names included, are replaced or kept as they are. A document whose
-    count is 0 is absent. Null and empty texts count like any other; a null doc_id hashes as
+    rows out per row in. Adds rate (double), copy (int, from 1) and shuffle_key (bigint); columns
+    of these names are replaced, all others are kept as they are (names beginning with two
+    underscores are ours). A document whose count is 0 is absent. Null and empty texts count like any other; a null doc_id hashes as
     the empty string; rows that repeat an id get the same count each; an empty table gives
     an empty table. Only len(weights) + 1 counts reach the driver.
     """
@@ -54,12 +56,12 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: flo
     u = _hash60(F.lit(seed), F.col("doc_id")) / F.lit(float(1 << 60))
     count, rate = F.lit(0), F.lit(0.0)
     for g, r in rates.items():
-        copies = F.size(F.filter(F.array(*map(F.lit, thresholds(r))), lambda t: t <= F.col("_u")))
-        count = F.when(F.col("_g") == g, copies).otherwise(count)
-        rate = F.when(F.col("_g") == g, F.lit(round(r, 6))).otherwise(rate)
-    keep = [c for c in docs.columns if c not in ("rate", "copy", "shuffle_key")]
-    drawn = docs.select(*keep, group.alias("_g"), u.alias("_u")).withColumn("_n", count).withColumn("rate", rate).where("_n > 0")
-    spread = drawn.select(*keep, "rate", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+        copies = F.size(F.filter(F.array(*map(F.lit, thresholds(r))), lambda t: t <= F.col("__u")))
+        count = F.when(F.col("__g") == g, copies).otherwise(count)
+        rate = F.when(F.col("__g") == g, F.lit(round(r, 6))).otherwise(rate)
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    drawn = docs.select(*keep, group.alias("__g"), u.alias("__u")).withColumn("__n", count).withColumn("rate", rate).where("__n > 0")
+    spread = drawn.select(*keep, "rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     spread = spread.withColumn("shuffle_key", _hash60(F.lit(f"{seed}s"), F.col("doc_id"), F.col("copy")))
     return spread.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
 

@@ -163,18 +163,20 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     return learn(np.concatenate(bags), np.concatenate(([0], np.cumsum([len(b) for b in bags]))), np.array([r[1] for r in found]) > 0)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], cut: float = CUT) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, keep: list[str], cut: float = CUT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """keep's columns, score (double, 0 to 1) and predicted (int: 1 if score >= cut) of every document.
 
+    names: what the two are called; columns of keep that are called so are replaced.
+
     Null and empty texts and texts without a word count as one passage of zeros, so all of
     them get one score. Without a model every score is 1. Equal texts get equal scores.
     """
 
     def judge(c: Chunk) -> dict:
         s = np.round(model.score(*passages(c)), 6) if model else np.ones(c.n)
-        return {"score": s, "predicted": (s >= cut).astype(np.int32)}
+        return {names[0]: s, names[1]: (s >= cut).astype(np.int32)}
 
-    return map_docs(docs, keep, "score double, predicted int", judge)
+    return map_docs(docs, keep, f"{names[0]} double, {names[1]} int", judge)
 
 
 def held_out(column: str = "doc_id", mod: int = 5, rest: int = 0) -> Column:

@@ -15,10 +15,12 @@ from logloom.llm.textkit import Chunk, chunks
 def map_docs(df: DataFrame, keep: list[str], out: str, fn: Callable[[Chunk], dict], text: str = "text") -> DataFrame:
     """keep's columns and those that fn makes of each chunk of texts.
 
-    out: DDL of the new columns; fn: returns one array of len(chunk) for each. A few MB of text
-    are held at a time, whatever the size of the Arrow batch; a single text is never cut.
+    out: DDL of the new columns; fn: returns one array of len(chunk) for each. A kept column with
+    the name of a new one is left out. A few MB of text are held at a time, whatever the size
+    of the Arrow batch; a single text is never cut.
     """
     names = [x.split()[0] for x in out.split(", ")]
+    keep = [c for c in keep if c.lower() not in names]
     at = keep.index(text) if text in keep else len(keep)
     source = df.select(*keep, *([] if text in keep else [F.col(text).alias("__text")]))
     kinds = ", ".join(f"`{c}` {t}" for c, t in source.select(*keep).dtypes)

@@ -29,8 +29,8 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
     """The rows with lang, source and n_chars, all null here and there, and columns whose names operators make."""
-    full = [(i, t, ["en", None, "de"][k % 3], [None, "src0", "src7"][k % 3], None if t is None else len(t), "mine", -1.0) for k, (i, t) in enumerate(odd_rows)]
-    return spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, copy double").repartition(3)
+    full = [(i, t, ["en", None, "de"][k % 3], [None, "src0", "src7"][k % 3], None if t is None else len(t), "mine", -1.0, k) for k, (i, t) in enumerate(odd_rows)]
+    return spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, copy double, _n int").repartition(3)
 
 
 @pytest.fixture(scope="session")
