@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from logloom.llm.textkit import Chunk
+from logloom.llm.textkit import U64, Chunk
 
 #: Words held in memory, and words tokenized in one call.
 MEMORY, TOGETHER = 2_000_000, 500
@@ -40,13 +40,22 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, U64)  # hashes of the words held, sorted
+        self.number = np.zeros(0, np.int64)  # and the words' numbers, from 1
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)  # where word i's ids begin; those of word i + 1 follow
         self.at[1] = 1
         self.ids[0] = self.end  # word 0 is the end
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words, 0 for those not held."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.number[at], 0)
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
+        """Hold words that are not held; returns their numbers."""
         flat, sizes = self._tokenize(words)
         n, used = len(self.known) + 1, int(self.at[len(self.known) + 1])
         while used + len(flat) > len(self.ids):
@@ -55,7 +64,9 @@ class WordTokens:
             self.at = np.concatenate((self.at, np.zeros_like(self.at)))
         self.ids[used : used + len(flat)] = flat
         self.at[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
-        self.known.update(zip(hashes, range(n, n + len(words)), strict=True))
+        place, new = np.searchsorted(self.known, hashes), np.arange(n, n + len(words))
+        self.known, self.number = np.insert(self.known, place, hashes), np.insert(self.number, place, new)
+        return new
 
     def _tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has.
@@ -77,13 +88,11 @@ class WordTokens:
         u, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self.known) + len(u) > MEMORY:
             self.forget()
-        values = u.tolist()
-        number = np.array([self.known.get(h, 0) for h in values], np.int64)
+        number = self._find(u)
         new = np.flatnonzero(number == 0)
         if len(new):
             raw = c.buf.tobytes()
-            self._add([values[i] for i in new], [raw[w.starts[first[i]] : w.ends[first[i]]].decode() for i in new])
-            number[new] = [self.known[values[i]] for i in new]
+            number[new] = self._add(u[new], [raw[w.starts[first[i]] : w.ends[first[i]]].decode() for i in new])
         # words of all texts, with word 0 after each text
         order = np.zeros(w.n + c.n, np.int64)
         order[np.arange(w.n) + w.doc] = number[back]
