@@ -41,17 +41,34 @@ def shingle_hashes(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return xxh64(buf, starts[at], ends[last], SEED), doc
 
 
+#: For each byte, its bits from the highest in the eight bytes of a number.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
+
+
+def bit_counts(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """How many numbers of each run h[edge[i]:edge[i + 1]] (none empty) have each bit, the highest first.
+
+    Eight bits are counted at once in the bytes of one number, over at most 255 numbers.
+    """
+    n = np.diff(edge)
+    parts = -(-n // 255)
+    first = np.cumsum(parts) - parts
+    run = np.repeat(np.arange(len(n)), parts)
+    cut = edge[run] - edge[0] + 255 * (np.arange(len(run)) - first[run])
+    lanes = _LANES[np.ascontiguousarray(h[edge[0] : edge[-1]].astype(">u8").view(np.uint8).reshape(-1, 8).T)]
+    sums = np.ascontiguousarray(np.add.reduceat(lanes, cut, axis=1).T)
+    return np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int32)
+
+
 def fingerprints(c: Chunk, k: int = SHINGLE) -> np.ndarray:
     """Each text's 64 majority bits; 0 without a word."""
     h, doc = shingle_hashes(c, k)
     n = np.bincount(doc, minlength=c.n)
     out = np.zeros(c.n, U64)
     some = np.flatnonzero(n)
-    if not len(some):
-        return out
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
-    out[some] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel().astype(U64)
+    if len(some):
+        ones = bit_counts(h, np.append((np.cumsum(n) - n)[some], len(h)))
+        out[some] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel().astype(U64)
     return out
 
 
@@ -216,11 +233,8 @@ def majority(h: np.ndarray, edge: np.ndarray, words: int = 1) -> np.ndarray:
     out = np.zeros((len(edge) - 1, words), U64)
     n = np.diff(edge)[:, None]
     for k in range(words):
-        for lo in range(0, len(n), 2048):  # bits take 64 bytes a hash
-            own = edge[lo : lo + 2049]
-            bits = np.unpackbits(mix(h[own[0] : own[-1]] + U64(k + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, own[:-1] - own[0], axis=0, dtype=np.int32)
-            out[lo : lo + 2048, k] = np.packbits(2 * ones > n[lo : lo + 2048], axis=1).view(">u8").ravel()
+        ones = bit_counts(mix(h[edge[0] : edge[-1]] + U64(k + 1)), edge - edge[0])
+        out[:, k] = np.packbits(2 * ones > n, axis=1).view(">u8").ravel()
     return out
 
 
