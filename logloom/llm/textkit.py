@@ -123,7 +123,7 @@ def ngram_hash(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return range_hash(h, starts, starts + k, _WORD_BASE)
 
 
-def chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
     """Whole documents of a string column, about limit bytes at a time; null counts as empty."""
     if pa.types.is_large_string(column.type):
         width = np.int64
