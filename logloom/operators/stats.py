@@ -105,12 +105,15 @@ def kpi(table: DataFrame) -> DataFrame:
 def fold(table: DataFrame, dimension: str, top: int, order: list[str]) -> DataFrame:
     """The first `top` values of a dimension by the measures of order, the greatest first, then by name; the rest as one row `other`.
 
-    position tells the two kinds apart if a value itself is called other.
+    position tells the two kinds apart if a value itself is called other. Every task keeps its
+    own first values only, so no task sees all of them; the window is over the `top` rows left.
     """
-    nth = F.row_number().over(Window.orderBy(*[F.desc(c) for c in order], F.asc(dimension)))
-    ranked = rolled(table, dimension).withColumn("_nth", nth)
-    own = F.when(F.col("_nth") <= top, F.col(dimension)).otherwise(F.lit(OTHER)).alias(dimension)
-    return rolled(ranked, F.least(F.col("_nth"), F.lit(top + 1)).alias("position"), own)
+    sums, keys = rolled(table, dimension), [*[F.desc(c) for c in order], F.asc(dimension)]
+    first = sums.orderBy(*keys).limit(top)
+    named = first.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+    rest = sums.join(first.select(dimension), dimension, "left_anti")
+    other = rolled(rest, F.lit(top + 1).alias("position"), F.lit(OTHER).alias(dimension))
+    return named.select(other.columns).unionByName(other)
 
 
 def fold_models(table: DataFrame, top: int = 7) -> DataFrame:

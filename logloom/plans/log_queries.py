@@ -73,12 +73,26 @@ _CONV = """WITH c AS (SELECT conv_id, count(*) AS msg_count, count(*) FILTER (ro
     COALESCE(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS answer, count(*) FILTER (role = 'assistant') AS chunks FROM conversations GROUP BY 1)"""
 
 
-@_query("fold_log", _CONV + """ SELECT 'Conv' || lpad(conv_id::VARCHAR, 24, '0') AS request_id, '20260115' AS day_key, 'm' || conv_id % 3 AS model, msg_count::INT AS msg_count, turns::INT AS turns,
+_FOLDED = _CONV + """ SELECT 'Conv' || lpad(conv_id::VARCHAR, 24, '0') AS request_id, '20260115' AS day_key, 'm' || conv_id % 3 AS model, msg_count::INT AS msg_count, turns::INT AS turns,
     preview, answer AS stream_content, chunks::INT AS chunk_count, conv_id AS quota, msg_count AS prompt_tokens,
-    CASE WHEN conv_id % 5 = 0 THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN conv_id % 5 = 0 THEN 'http_500' ELSE 'http_200' END AS outcome_reason FROM c""")
+    CASE WHEN conv_id % 5 = 0 THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN conv_id % 5 = 0 THEN 'http_500' ELSE 'http_200' END AS outcome_reason FROM c"""
+
+
+def _folded(calls: DataFrame) -> DataFrame:
+    return calls.select("request_id", F.col("day").alias("day_key"), "model", "msg_count", "turns", "preview", "stream_content", "chunk_count", "quota", "prompt_tokens", "outcome", "outcome_reason")
+
+
+@_query("fold_log", _FOLDED)
 def fold_log(spark, sf_dir):
-    rows = fold(classify(_log(spark, sf_dir)))
-    return rows.select("request_id", F.col("day").alias("day_key"), "model", "msg_count", "turns", "preview", "stream_content", "chunk_count", "quota", "prompt_tokens", "outcome", "outcome_reason")
+    return _folded(fold(classify(_log(spark, sf_dir))))
+
+
+@_query("stream_concat", "SELECT conv_id, COALESCE(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS content FROM conversations GROUP BY 1")
+def stream_concat(spark, sf_dir):
+    """Answers as a stream's chunks, put together again in their order."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    answer = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(answer)), lambda x: x["text"]), "").alias("content"))
 
 
 @_query("parse_log", """SELECT kind, level, count(*) AS n FROM (SELECT DISTINCT conv_id, 'request' AS kind, 'DEBUG' AS level FROM conversations UNION ALL SELECT conv_id, 'chunk', 'DEBUG' FROM conversations WHERE role = 'assistant'

@@ -6,15 +6,20 @@ reads prune columns, so bodies are not touched by lists and dashboards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.scalars import record_size
 from logloom.operators.calls import VERSION, first_in_batch
 
 #: Request parts of at least so many bytes are kept once a day, by content.
 LEAST_BLOB = 64
 PARTS = ("system", "messages", "tools")
-_REF = "$blob:"
+#: Records and bytes that one pushed batch holds at most.
+BATCH_RECORDS, BATCH_BYTES = 64, 8 << 20
 
 
 def blob_hash(content: Column) -> Column:
@@ -130,3 +135,28 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("file", F.col("_metadata.file_path"))
     broken = rows.where("_corrupt_record is not null or request_id is null").select("file").distinct().withColumn("bad", F.lit(True))
     return rows.join(broken, "file", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+
+
+def push_batches(calls: DataFrame, records: int = BATCH_RECORDS, size: int = BATCH_BYTES) -> DataFrame:
+    """calls with batch (string): oldest first, at most so many records and bytes in one; a larger record is alone.
+
+    Ranges of time are cut side by side, so the last batch of a range may be small and no task
+    sees the whole backlog. Only keys and sizes go through Python.
+    """
+    key = [*VERSION, "append_seq"]
+    thin = calls.select(*key, "epoch", record_size(F.col("request"), F.col("response"), F.col("stream_content")).alias("size"))
+    ordered = thin.repartitionByRange("epoch", "request_id").sortWithinPartitions("epoch", "request_id", "append_seq")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = held = total = 0
+        for b in batches:
+            numbers = []
+            for n in b.column(len(key) + 1).to_pylist():
+                if held and (held == records or total + n > size):
+                    number, held, total = number + 1, 0, 0
+                held, total = held + 1, total + n
+                numbers.append(number)
+            part = b.column(len(key)).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array([f"{p:06d}-{n:08d}" for p, n in zip(part, numbers, strict=True)], pa.string())], names=[*key, "batch"])
+
+    return calls.join(ordered.select(*key, F.spark_partition_id().alias("part"), "size").mapInArrow(cut, "day string, request_id string, append_seq bigint, batch string"), key)
