@@ -19,6 +19,8 @@ SUMS = (
     "with_tools", "tool_defs", "token_name_count",
 )
 MAXIMA = ("lat_max", "frt_max")
+#: Parts in which the values of a dimension are ranked.
+PARTS = 32
 
 
 def bucket_key(ts: Column, granularity: str) -> Column:
@@ -105,15 +107,18 @@ def kpi(table: DataFrame) -> DataFrame:
 def fold(table: DataFrame, dimension: str, top: int, order: list[str]) -> DataFrame:
     """The first `top` values of a dimension by the measures of order, the greatest first, then by name; the rest as one row `other`.
 
-    position tells the two kinds apart if a value itself is called other. Every task keeps its
-    own first values only, so no task sees all of them; the window is over the `top` rows left.
+    position tells the two kinds apart if a value itself is called other. Values are ranked in
+    PARTS parts first, and what no part has among its first is summed there; so the last
+    ranking, in one task, is over `top` values of each part and a rest.
     """
-    sums, keys = rolled(table, dimension), [*[F.desc(c) for c in order], F.asc(dimension)]
-    first = sums.orderBy(*keys).limit(top)
-    named = first.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
-    rest = sums.join(first.select(dimension), dimension, "left_anti")
-    other = rolled(rest, F.lit(top + 1).alias("position"), F.lit(OTHER).alias(dimension))
-    return named.select(other.columns).unionByName(other)
+    keys = [*[F.desc(c) for c in order], F.asc(dimension)]
+    part = F.pmod(F.xxhash64(dimension), F.lit(PARTS))
+    near = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    sums = rolled(table, dimension).withColumn("_part", part).withColumn("_near", near)
+    few = rolled(sums, F.when(F.col("_near") <= top, F.col(dimension)).alias(dimension))
+    ranked = few.withColumn("_nth", F.row_number().over(Window.orderBy(F.col(dimension).isNull(), *keys)))
+    own = F.when(F.col("_nth") <= top, F.col(dimension)).otherwise(F.lit(OTHER)).alias(dimension)
+    return rolled(ranked, F.least(F.col("_nth"), F.lit(top + 1)).alias("position"), own)
 
 
 def fold_models(table: DataFrame, top: int = 7) -> DataFrame:
