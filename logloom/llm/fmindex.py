@@ -8,93 +8,135 @@ U64 = np.uint64
 
 
 class Bits:
-    """Packed bits with rank."""
+    """Packed bits with rank: counts by 16 bits within blocks of 2**16 bits, and by 32 bits between these."""
 
     def __init__(self, bits: np.ndarray):
         n = len(bits)
-        words = np.zeros(n // 64 + 1, U64)
+        self.words = np.zeros(n // 64 + 1, U64)
         packed = np.packbits(bits, bitorder="little")
-        words.view(np.uint8)[: len(packed)] = packed
-        self.words = words
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))[:-1].astype(np.int32)
-        self.zeros = n - int(np.count_nonzero(bits))
+        self.words.view(np.uint8)[: len(packed)] = packed
+        before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
+        self.blocks = before[:-1:1024].astype(np.uint32)
+        self.inner = (before[:-1] - np.repeat(self.blocks.astype(np.int64), 1024)[: len(before) - 1]).astype(np.uint16)
+        self.ones = int(before[-1])
+        self.zeros = n - self.ones
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
         w = i >> 6
         low = self.words[w] & ((U64(1) << (i & 63).astype(U64)) - U64(1))
-        return self.before[w] + np.bitwise_count(low)
+        return self.blocks[w >> 10].astype(np.int64) + self.inner[w] + np.bitwise_count(low)
 
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.blocks.nbytes + self.inner.nbytes
 
-class WaveletTree:
-    """The sequence by bits from the top, each level with its zeros before its ones."""
 
-    def __init__(self, x: np.ndarray, width: int):
-        self.levels = []
-        for shift in range(width - 1, -1, -1):
-            bit = (x >> shift) & 1 > 0
-            self.levels.append((shift, Bits(bit)))
-            x = np.concatenate((x[~bit], x[bit]))
-        every = np.arange(1 << width) if width <= 16 else None
-        self.base = self._down(every, np.zeros(len(every), np.int64)) if every is not None else None
+class WaveletTree:
+    """A sequence by the bits of its numbers' codes, level by level; frequent numbers have short codes.
+
+    A number that makes up the share p has a code of about -log2(p) bits, so the levels take
+    the sequence's entropy and not its width. Each level has its zeros before its ones, and
+    codes are given out so that what ends at a level lies at its front, where it is left out of the next.
+    """
+
+    def __init__(self, x: np.ndarray, sigma: int):
+        freq = np.bincount(x, minlength=sigma)
+        length = np.maximum(1, np.ceil(np.log2(len(x) / np.maximum(freq, 1)) - 1e-9)).astype(np.int64)
+        length[freq == 0] = 0
+        self.length = length.astype(np.uint8)
+        self.code = np.zeros(sigma, U64)
+        order = np.lexsort((-freq, length))
+        order = order[length[order] > 0]
+        ends = np.bincount(length[order], minlength=2)
+        nodes, given = np.zeros(1, U64), 0
+        self.levels: list[Bits] = []
+        self.done = []  # entries that end at each level
+        codes = None
+        for level in range(len(ends) - 1):
+            nodes = np.concatenate((nodes, nodes | U64(1 << level)))
+            n = int(ends[level + 1])
+            self.code[order[given : given + n]] = nodes[:n]
+            given += n
+            nodes = nodes[n : n + len(order) - given]
+            self.done.append(int(freq[order[given - n : given]].sum()))
+        codes = self.code[x]
+        for level, done in enumerate(self.done):
+            bit = (codes >> U64(level)) & U64(1) > 0
+            self.levels.append(Bits(bit))
+            codes = np.concatenate((codes[~bit], codes[bit]))[done:]
+        self.base = self._down(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for shift, bits in self.levels:
-            ones = bits.rank(i)
-            i = np.where((c >> shift) & 1 > 0, bits.zeros + ones, i - ones)
+        i, length, code = i.copy(), self.length[c], self.code[c]
+        live = np.flatnonzero(length)
+        for level, bits in enumerate(self.levels):
+            at = i[live]
+            ones = bits.rank(at)
+            i[live] = np.where((code[live] >> U64(level)) & U64(1) > 0, bits.zeros + ones, at - ones)
+            live = live[length[live] > level + 1]
+            if not len(live):
+                break
+            i[live] -= self.done[level]
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often c is among the first i entries."""
-        base = self.base[c] if self.base is not None else self._down(c, np.zeros(len(c), np.int64))
-        return self._down(c, i) - base
+        return np.where(self.length[c] > 0, self._down(c, i) - self.base[c], 0)
+
+    def nbytes(self) -> int:
+        return sum(b.nbytes() for b in self.levels) + self.length.nbytes + self.code.nbytes + self.base.nbytes
 
 
 class FMIndex:
-    """Backward search for patterns of up to `reach` symbols; symbol 0 ends a text and matches nothing."""
+    """Backward search for patterns of up to `reach` numbers; the number 0 ends a text and matches nothing.
+
+    Suffixes are sorted by their first `reach` numbers, and by place where these are equal.
+    That is enough for such patterns. Of the suffix array only the first suffix of each such
+    group is kept, the earliest place of its pattern; the text itself isn't kept.
+    """
 
     def __init__(self, text: np.ndarray, reach: int):
-        self.text = text.astype(np.int64)
+        text = text.astype(np.int64)
         n = len(text)
+        self.n, self.reach = n, reach
         self.sigma = int(text.max(initial=0)) + 1
-        rank, step = self.text, 1
-        while step < reach:
+        rank, width = text, 1
+        while width < reach:
+            step = min(width, reach - width)
             after = np.concatenate((rank[step:], np.full(min(step, n), -1)))[:n]
-            key = rank * (int(rank.max(initial=0)) + 2) + after + 1
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            step *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
-        width = max(1, int(self.sigma - 1).bit_length())
-        self.tree = WaveletTree(self.text[self.suffixes - 1], width)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=self.sigma))))
-
-    def matches(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of the text's own patterns that end before each position.
-
-        Going back from each end, a pattern is extended while it still occurs elsewhere, up to
-        length symbols. Returns the lengths reached and the last suffix intervals [lo, hi).
+            rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
+            width += step
+        suffixes = np.argsort(rank, kind="stable")
+        ranked = rank[suffixes]
+        head = np.concatenate(([True], ranked[1:] != ranked[:-1]))[:n]
+        self.heads, self.places = Bits(head), suffixes[head].astype(np.int32)
+        self.tree = WaveletTree(text[suffixes - 1], self.sigma)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
+
+    def matches(self, text: np.ndarray, ends: np.ndarray, others: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a streamed text: how many numbers before each of the ends occur in the indexed text.
+
+        Going back from each end, a pattern is extended while it occurs more than `others`
+        times, up to reach. Returns the lengths and the last suffix intervals [lo, hi).
         """
         reached = np.zeros(len(ends), np.int64)
-        lo_all, hi_all = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
+        lo_all, hi_all = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         live = np.arange(len(ends))
-        for k in range(1, length + 1):
-            c = self.text[ends[live] - k]
+        for k in range(1, self.reach + 1):
+            if not len(live):
+                break
+            c = text[ends[live] - k]
+            c = np.where(c < self.sigma, c, 0)
             both = self.tree.rank(np.concatenate((c, c)), np.concatenate((lo_all[live], hi_all[live])))
             lo, hi = self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
-            more = (hi - lo > 1) & (c > 0)
+            more = (hi - lo > others) & (c > 0)
             live = live[more]
             lo_all[live], hi_all[live], reached[live] = lo[more], hi[more], k
-            if not len(live):
-                break
         return reached, lo_all, hi_all
 
-    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Smallest text position in each (non-empty) suffix interval."""
-        if not len(lo):
-            return np.zeros(0, np.int64)
-        own, back = np.unique(lo, return_inverse=True)
-        end = np.zeros(len(own), np.int64)
-        end[back] = hi
-        edge = np.stack((own, np.minimum(end, len(self.suffixes))), 1).ravel()
-        padded = np.concatenate((self.suffixes, [np.iinfo(np.int64).max]))
-        return np.minimum.reduceat(padded, edge)[::2][back]
+    def earliest(self, lo: np.ndarray) -> np.ndarray:
+        """Smallest text position of the patterns of full reach whose intervals begin at lo."""
+        return self.places[self.heads.rank(lo)].astype(np.int64)
+
+    def nbytes(self) -> int:
+        return self.tree.nbytes() + self.heads.nbytes() + self.places.nbytes + self.first.nbytes

@@ -3,14 +3,15 @@
 Every window of WINDOW words has a smallest k-gram hash; neighbouring windows that share it
 form a segment, and equal windows, wherever they are, lie in segments with the same k-gram.
 Segments are routed by it, so each shard sees all occurrences of its windows and the work
-grows in proportion to the text. In a shard, copies of a whole segment are settled by their
-hashes alone. Where different segments share a k-gram, the earliest of each kind are fetched
-as text, an FM-index over wavelet trees is built on them, and each is streamed through it by
-backward search; windows whose whole length matches at an earlier place are reported.
+grows in proportion to the text. A segment whose k-gram occurs nowhere else has no copy.
+Of all others, one of each kind (the earliest) is fetched as text; compressed FM-indexes over
+wavelet trees are built on these, and each kind is streamed through them by backward search,
+which reports the windows whose whole length matches, and where. A later copy of a kind has
+that kind's report, moved to its place.
 
 A k-gram that is common in a sample of the corpus routes its windows one by one, by their
-own hashes, and a task settles copies that it sees itself; so no key gathers rows without
-bound. The sample decides about the routing only, never about the result.
+own hashes, and copies that a task sees itself are dealt out by chance; so no key gathers
+rows without bound. The sample decides about the routing only, never about the result.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ from pyspark.sql import functions as F
 from logloom.llm.fmindex import FMIndex
 from logloom.llm.scan import grouped
 from logloom.llm.tables import checkpointed
-from logloom.llm.textkit import U64, Words, chunks, mix, ngram_hash, range_hash
+from logloom.llm.textkit import U64, Words, chunks, gram_hashes, mix, run_hashes
 
 WINDOW, GRAM = 20, 8
-#: One document in SAMPLE is looked at for common k-grams; COMMON or more occurrences there make one, and the MOST frequent are kept.
-SAMPLE, COMMON, MOST = 128, 16, 100_000
-#: Words that one FM-index holds, but for a single k-gram's segments, which stay together.
-SHARD = 1 << 20
-_SEGMENT = 0xA24BAED4963EE407 | 1
-_ROWS = "rk bigint, sh bigint, key bigint, start int, wins int, state int"
-OPEN, LOOPS, SETTLED = 0, 1, 2
+#: One document in SAMPLE is looked at for common k-grams; COMMON or more occurrences there make one, and the MOST frequent
+#: (8 MB) are kept. So a k-gram that isn't routed window by window has no more than about SAMPLE * COMMON segments, or,
+#: in a corpus with more than MOST common ones, a share of all segments of less than one in MOST.
+SAMPLE, COMMON, MOST = 128, 16, 1 << 20
+#: Segments that one FM-index holds; where more of them share a k-gram, each is searched for in several indexes.
+SHARD = 1 << 15
+#: place: start << 32 | windows << 2 | state
+_ROWS = "rk bigint, sh bigint, key bigint, th bigint, place bigint"
+_KEYS = ["rk", "sh", "key", "th"]
+#: A segment is open until it is known whether it needs an index; LOOPS: it does; COPY: an earlier one is equal.
+OPEN, LOOPS, COPY = 0, 1, 2
 
 
 def _least(g: np.ndarray, k: int) -> np.ndarray:
@@ -47,137 +52,192 @@ def _least(g: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (k - width)], m[k - width :]) if width < k else m
 
 
+def _repeated(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Which groups hold a value twice."""
+    own = mix(values ^ (group.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    slot = (own >> U64(43)).astype(np.int64)
+    last = np.empty(1 << 21, np.int32)
+    last[slot] = np.arange(len(slot), dtype=np.int32)
+    shared = np.zeros(1 << 21, bool)
+    shared[slot[last[slot] != np.arange(len(slot))]] = True
+    few = np.flatnonzero(shared[slot])  # all others are alone in their slot
+    few = few[np.argsort(own[few], kind="stable")]
+    out = np.zeros(groups, bool)
+    out[group[few[1:]][own[few[1:]] == own[few[:-1]]]] = True
+    return out
+
+
 def segments(w: Words, common: np.ndarray) -> dict[str, np.ndarray]:
-    """rk, sh (uint64), doc, start (word in its document), wins (windows) and loops (a window occurs twice in it) of a chunk's segments."""
-    h = w.hashes()
+    """rk, sh (uint64), doc, start (word in its document), wins (windows) and loops (a window occurs twice in it) of a chunk's segments.
+
+    common: sorted k-gram hashes whose windows are segments of their own.
+    """
     at = w.ngram_starts(WINDOW)
     none = np.zeros(0, np.int64)
     if not len(at):
         return {"rk": none.astype(U64), "sh": none.astype(U64), "doc": none, "start": none, "wins": none, "loops": none.astype(bool)}
-    grams = ngram_hash(h, np.arange(w.n - GRAM + 1), GRAM)
-    rk = _least(grams, WINDOW - GRAM + 1)[at]
-    whole = ngram_hash(h, at, WINDOW)
-    alone = np.isin(rk, common) if len(common) else np.zeros(len(rk), bool)
+    h = w.hashes()
+    rk = _least(gram_hashes(h, GRAM), WINDOW - GRAM + 1)[at]
+    whole = gram_hashes(h, WINDOW)[at]
+    alone = common[np.minimum(np.searchsorted(common, rk), len(common) - 1)] == rk if len(common) else np.zeros(len(rk), bool)
     doc = w.doc[at]
     new = np.concatenate(([True], (rk[1:] != rk[:-1]) | (doc[1:] != doc[:-1]))) | alone
     first = np.flatnonzero(new)
     wins = np.diff(np.append(first, len(at)))
-    seg = np.cumsum(new) - 1
-    twice = np.unique(mix(whole ^ (seg.astype(U64) * U64(0x9E3779B97F4A7C15))), return_index=True)[1]
-    loops = np.bincount(seg[twice], minlength=len(first)) < wins
-    start = at[first]
-    sh = range_hash(h, start, start + wins + WINDOW - 1, _SEGMENT)
-    return {"rk": np.where(alone[first], whole[first], rk[first]), "sh": sh, "doc": doc[first], "start": start - w.first[doc[first]], "wins": wins, "loops": loops}
+    loops = _repeated(whole, np.cumsum(new) - 1, len(first))
+    return {"rk": np.where(alone[first], whole[first], rk[first]), "sh": run_hashes(whole, first, wins), "doc": doc[first], "start": at[first] - w.first[doc[first]], "wins": wins, "loops": loops}
+
+
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns], names=names.split())
 
 
 def _split(common: np.ndarray):
-    """Segments of (key, text) batches; copies of a segment that a batch holds itself are settled, and dealt out by chance."""
+    """Segments of (key, th, text) batches; of equal ones in a batch, all but the earliest are copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = []
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(2)):
                 s = segments(c.words(), common)
-                s["key"] = keys[c.first + s.pop("doc")]
-                found.append(s)
+                doc = c.first + s.pop("doc")
+                found.append(s | {"key": ids[doc], "th": marks[doc]})
             s = {k: np.concatenate([x[k] for x in found]) for k in found[0]} if found else None
             if s is None or not len(s["rk"]):
                 continue
             state = np.where(s["loops"], LOOPS, OPEN)
             both = mix(s["rk"]) ^ s["sh"]
-            order = np.lexsort((s["start"], s["key"], both))
-            b, k, t = both[order], s["key"][order], s["start"][order]
-            head = np.concatenate(([True], b[1:] != b[:-1]))
-            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            later = order[(k != k[lead]) | (t != t[lead])]
-            state[later] = SETTLED
-            route = s["rk"].copy()
-            route[later] = mix(s["key"][later].view(U64) + s["start"][later].astype(U64))
-            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(s["sh"].view(np.int64)), pa.array(s["key"]), pa.array(s["start"].astype(np.int32)), pa.array(s["wins"].astype(np.int32)), pa.array(state.astype(np.int32))], names=["rk", "sh", "key", "start", "wins", "state"])
+            order = np.argsort(both, kind="stable")
+            twice = np.concatenate(([False], both[order[1:]] == both[order[:-1]]))
+            some = order[twice | np.append(twice[1:], False)]
+            some = some[np.lexsort((s["start"][some], s["th"][some], s["key"][some], both[some]))]
+            head = np.concatenate(([True], both[some[1:]] != both[some[:-1]]))[: len(some)]
+            lead = some[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(some) else some
+            later = some[(s["key"][some] != s["key"][lead]) | (s["th"][some] != s["th"][lead]) | (s["start"][some] != s["start"][lead])]
+            state[lead] = LOOPS
+            state[later] = COPY
+            yield _batch("rk sh key th place", s["rk"], s["sh"], s["key"], s["th"], s["start"] << 32 | s["wins"] << 2 | state)
 
     return run
 
 
+def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, windows and state of packed places."""
+    return place >> 32, (place & 0xFFFFFFFF) >> 2, place & 3
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by rk, sh, key, start: copies of earlier segments as SETTLED, and as OPEN the segments that need an index."""
+    """Of rows sorted by all columns: segments that need an index as OPEN, later copies of them as COPY; the others go."""
     for t in grouped(batches, "rk"):
-        rk, sh, key, start, state = (t[c].to_numpy() for c in ("rk", "sh", "key", "start", "state"))
-        done = state == SETTLED
-        free = np.flatnonzero(~done)
-        new_rk = np.concatenate(([True], rk[free][1:] != rk[free][:-1])) if len(free) else np.zeros(0, bool)
-        new = new_rk | np.concatenate(([True], sh[free][1:] != sh[free][:-1])) if len(free) else new_rk
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (key[free] != key[free][lead]) | (start[free] != start[free][lead])
-        group = np.cumsum(new_rk) - 1
+        rk, sh, key, th, place = (t[c].to_numpy() for c in (*_KEYS, "place"))
+        start, wins, state = _parts(place)
+        free = np.flatnonzero(state != COPY)
+        new_rk = np.concatenate(([True], rk[free][1:] != rk[free][:-1]))[: len(free)]
+        new = new_rk | np.concatenate(([True], sh[free][1:] != sh[free][:-1]))[: len(free)]
+        kind, group = np.cumsum(new) - 1, np.cumsum(new_rk) - 1
+        lead = free[np.flatnonzero(new)[kind]] if len(free) else free
+        later = (key[free] != key[lead]) | (th[free] != th[lead]) | (start[free] != start[lead])
         kinds = np.bincount(group, new) if len(group) else np.zeros(0)
-        need = new & ((kinds[group] > 1) | (state[free] == LOOPS))
-        state = state.copy()
-        state[free] = np.where(later, SETTLED, np.where(need, OPEN, -1))
-        out = t.drop_columns(["state"]).append_column("state", pa.array(state)).filter(pa.array(state >= 0))
-        yield from out.to_batches()
+        # a kind is looked up if its k-gram has another kind, if it repeats itself, or if it has copies
+        wanted = np.bincount(kind, later | (state[free] == LOOPS)) > 0 if len(kind) else np.zeros(0, bool)
+        need = new & ((kinds[group] > 1) | wanted[kind])
+        now = state.copy()
+        now[free] = np.where(later, COPY, np.where(need, OPEN, -1))
+        keep = np.flatnonzero(now >= 0)
+        if len(keep):
+            yield _batch("rk sh key th place", rk[keep], sh[keep], key[keep], th[keep], start[keep] << 32 | wins[keep] << 2 | now[keep])
+
+
+def _run_hashes(w: Words, first: np.ndarray, wins: np.ndarray) -> np.ndarray:
+    """Hashes of runs of windows that begin at words."""
+    return run_hashes(gram_hashes(w.hashes(), WINDOW), first, wins)
+
+
+def _present(w: Words, doc: np.ndarray, start: np.ndarray, wins: np.ndarray, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words in the chunk of the runs of windows that their documents really have there, and which these are."""
+    start, wins = start.astype(np.int64), wins.astype(np.int64)
+    ok = np.flatnonzero(start + wins + WINDOW - 1 <= w.count[doc]) if len(doc) else np.zeros(0, np.int64)
+    lo = w.first[doc[ok]] + start[ok]
+    same = _run_hashes(w, lo, wins[ok]).view(np.int64) == sh[ok] if len(ok) else np.zeros(0, bool)
+    return lo[same], ok[same]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, text, list of segments): rk, key, start and the segment's text, for the segments that are in the text."""
+    """Of (key, th, text, list of segments): rk, sh, key, th, start and the segment's text, for the segments that are in the text."""
     for batch in batches:
-        lists = batch.column(2)
-        for c in chunks(batch.column(1)):
+        lists = batch.column(3)
+        for c in chunks(batch.column(2)):
             w = c.words()
             own = lists.slice(c.first, c.n)
             flat = own.flatten()
             doc = np.repeat(np.arange(c.n), np.diff(own.offsets.to_numpy()))
-            rk, sh, start, wins = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            rk, sh, place = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            start, wins, _ = _parts(place)
             lo, ok = _present(w, doc, start, wins, sh)
             hi = lo + wins[ok] + WINDOW - 1
             texts = [c.buf[a:b].tobytes().decode() for a, b in zip(w.starts[lo].tolist(), w.ends[hi - 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rk[ok]), pa.array(batch.column(0).to_numpy()[c.first + doc[ok]]), pa.array(start[ok]), pa.array(texts, pa.string())], names=["rk", "key", "start", "words"])
+            at = c.first + doc[ok]
+            yield _batch("rk sh key th start words", rk[ok], sh[ok], batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], start[ok], pa.array(texts, pa.string()))
 
 
-def _present(w: Words, doc: np.ndarray, start: np.ndarray, wins: np.ndarray, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words in the chunk of the segments that their documents really have there, and which these are."""
-    start, wins = start.astype(np.int64), wins.astype(np.int64)
-    ok = np.flatnonzero(start + wins + WINDOW - 1 <= w.count[doc]) if len(doc) else np.zeros(0, np.int64)
-    lo = w.first[doc[ok]] + start[ok]
-    same = range_hash(w.hashes(), lo, lo + wins[ok] + WINDOW - 1, _SEGMENT).view(np.int64) == sh[ok]
-    return lo[same], ok[same]
+class _Shard:
+    """An FM-index over some segments, and the places of their windows."""
 
-
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments' texts, sorted by rk: runs of windows that match at an earlier place, as SETTLED rows."""
-    for t in grouped(batches, "rk", SHARD // 32):
-        order = np.lexsort((t["start"].to_numpy(), t["key"].to_numpy()))
-        t = t.take(pa.array(order))
-        key, start = t["key"].to_numpy(), t["start"].to_numpy().astype(np.int64)
-        hashes, sizes = [], []
-        for c in chunks(t["words"].combine_chunks()):
-            w = c.words()
-            hashes.append(w.hashes())
-            sizes.append(w.count)
-        h, size = np.concatenate(hashes), np.concatenate(sizes)
+    def __init__(self, h: np.ndarray, size: np.ndarray, key: np.ndarray, th: np.ndarray, start: np.ndarray):
+        self.symbols, symbol = np.unique(h, return_inverse=True)
         seg = np.repeat(np.arange(len(size)), size)
-        at = np.arange(len(h)) + seg + 1  # symbol 0 before each segment
+        at = np.arange(len(h)) + seg + 1  # number 0 before each segment
         text = np.zeros(len(h) + len(size) + 1, np.int64)
-        text[at] = np.unique(h, return_inverse=True)[1] + 1
-        nth = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-        opens = nth + WINDOW <= size[seg]
-        where = np.full(len(text), -1)
-        where[at] = np.arange(len(h))
-        first = at[opens]
-        index = FMIndex(text, WINDOW)
-        reached, lo, hi = index.matches(first + WINDOW, WINDOW)
+        text[at] = symbol + 1
+        self.index = FMIndex(text, WINDOW)
+        self.begin = np.cumsum(size + 1) - size
+        self.key, self.th, self.start = key, th, start
+
+    def find(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Which of the windows of h that begin at first occur here, and the earliest places (key, th, start) of these."""
+        at = np.minimum(np.searchsorted(self.symbols, h), len(self.symbols) - 1)
+        reached, lo, _ = self.index.matches(np.where(self.symbols[at] == h, at + 1, 0), first + WINDOW)
         full = np.flatnonzero(reached == WINDOW)
-        mine, other = where[first[full]], where[index.earliest(lo[full], hi[full])]
-        k_mine, k_other = key[seg[mine]], key[seg[other]]
-        p_mine, p_other = start[seg[mine]] + nth[mine], start[seg[other]] + nth[other]
-        mine = np.sort(mine[(k_other < k_mine) | (k_other == k_mine) & (p_other < p_mine)])
-        if not len(mine):
-            continue
-        new = np.concatenate(([True], (mine[1:] != mine[:-1] + 1) | (seg[mine[1:]] != seg[mine[:-1]])))
-        run = mine[new]
-        wins = np.diff(np.append(np.flatnonzero(new), len(mine)))
-        sh = range_hash(h, run, run + wins + WINDOW - 1, _SEGMENT)
-        yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(key[seg[run]]), pa.array((start[seg[run]] + nth[run]).astype(np.int32)), pa.array(wins.astype(np.int32))], names=["sh", "key", "start", "wins"])
+        place = self.index.earliest(lo[full])
+        seg = np.searchsorted(self.begin, place, "right") - 1
+        return full, (self.key[seg], self.th[seg], self.start[seg] + place - self.begin[seg])
+
+
+def _search(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Windows of segments' texts that occur in one of the indexes on them: from (a run's first window in its segment), wins, sh of the run, and own (it occurs at an earlier place)."""
+    key, th, start = (t[c].to_numpy() for c in ("key", "th", "start"))
+    t = t.take(pa.array(np.lexsort((start, th, key))))
+    shards: list[_Shard] = []
+    for block in (t.slice(i, SHARD) for i in range(0, t.num_rows, SHARD)):
+        rk, sh, key, th, start = (block[c].to_numpy() for c in ("rk", "sh", "key", "th", "start"))
+        parts = [c.words() for c in chunks(block["words"].combine_chunks())]
+        h, size = np.concatenate([w.hashes() for w in parts]), np.concatenate([w.count for w in parts])
+        shards.append(_Shard(h, size, key, th, start))
+        seg = np.repeat(np.arange(len(size)), size)
+        nth = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        first = np.flatnonzero(nth + WINDOW <= size[seg])
+        k, m, p = key[seg[first]], th[seg[first]], start[seg[first]] + nth[first]
+        before, found = np.zeros(len(first), bool), np.zeros(len(first), bool)
+        for shard in shards:
+            full, (k2, m2, p2) = shard.find(h, first)
+            k1, m1, p1 = k[full], m[full], p[full]
+            found[full] = True
+            before[full] |= (k2 < k1) | (k2 == k1) & ((m2 < m1) | (m2 == m1) & (p2 < p1))
+        whole = gram_hashes(h, WINDOW)
+        for which, own in ((before, True), (found, False)):
+            at = first[which]
+            if not len(at):
+                continue
+            new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (seg[at[1:]] != seg[at[:-1]])))
+            run, wins = at[new], np.diff(np.append(np.flatnonzero(new), len(at)))
+            s = seg[run]
+            yield _batch("rk sh key th start from wins run own", rk[s], sh[s], key[s], th[s], start[s], nth[run], wins, run_hashes(whole, run, wins), np.full(len(run), own))
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in grouped(batches, "rk", SHARD // 2):
+        yield from _search(t)
 
 
 def covered(w: Words, doc: np.ndarray, start: np.ndarray, wins: np.ndarray, sh: np.ndarray) -> np.ndarray:
@@ -225,21 +285,28 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     A word goes if a window over it also starts earlier: in a smaller doc_id, or before in the
     same document. Null texts have no words; texts of fewer than WINDOW words stay whole. A
-    null doc_id counts as the largest; rows that repeat a doc_id are compared by their starts
-    like one document, and rows equal in all get equal results. Other columns are not read.
+    null doc_id counts as the largest, and among these the hash of the text decides; rows that
+    repeat another doc_id are compared by their starts like one document, and rows equal in
+    all get equal results. Other columns are not read.
     """
     none = (1 << 63) - 1
-    source = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(none)).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = source.select("key", "text")
-    common = np.array(_often(texts), np.int64).view(U64)
-    routed = texts.mapInArrow(_split(common), _ROWS).repartition("rk").sortWithinPartitions("rk", "sh", "key", "start")
+    doc_id = F.col("doc_id").cast("bigint")
+    # th keeps rows without an id apart, so that they share no key
+    source = docs.select(F.coalesce(doc_id, F.lit(none)).alias("key"), F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(0).alias("th"), doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = source.select("key", "th", "text")
+    common = np.sort(np.array(_often(texts), np.int64).view(U64))
+    copy = F.col("place").bitwiseAND(3) == COPY
+    routed = texts.mapInArrow(_split(common), _ROWS).repartition(F.when(copy, F.xxhash64("key", "place")).otherwise(F.col("rk"))).sortWithinPartitions(*_KEYS, "place")
     settled = checkpointed(routed.mapInArrow(_settle, _ROWS))
-    wanted = settled.where(F.col("state") == OPEN).groupBy("key").agg(F.collect_list(F.struct("rk", "sh", "start", "wins")).alias("segs"))
-    fetched = texts.join(wanted, "key").select("key", "text", "segs").mapInArrow(_fetch, "rk bigint, key bigint, start int, words string")
-    matched = fetched.repartition("rk").sortWithinPartitions("rk").mapInArrow(_index, "sh bigint, key bigint, start int, wins int")
-    spans = settled.where(F.col("state") == SETTLED).select("sh", "key", "start", "wins").unionByName(matched)
-    lists = spans.groupBy("key").agg(F.collect_list(F.struct("sh", "start", "wins")).alias("spans"))
-    joined = source.join(lists, "key", "left").select("doc_id", "text", "spans")
+    wanted = settled.where(~copy).groupBy("key", "th").agg(F.collect_list(F.struct("rk", "sh", "place")).alias("segs"))
+    fetched = texts.join(wanted, ["key", "th"]).select("key", "th", "text", "segs").mapInArrow(_fetch, "rk bigint, sh bigint, key bigint, th bigint, start bigint, words string")
+    reported = checkpointed(fetched.repartition("rk").sortWithinPartitions("rk").mapInArrow(_index, "rk bigint, sh bigint, key bigint, th bigint, start bigint, from bigint, wins bigint, run bigint, own boolean"))
+    mine = reported.where("own").select("key", "th", F.col("run").alias("sh"), (F.col("start") + F.col("from")).alias("start"), "wins")
+    kinds = reported.where("not own").select("rk", "sh", "from", "wins", "run").distinct()
+    copies = settled.where(copy).select("rk", "sh", "key", "th", F.shiftright("place", 32).alias("start"))
+    theirs = copies.join(kinds, ["rk", "sh"]).select("key", "th", F.col("run").alias("sh"), (F.col("start") + F.col("from")).alias("start"), "wins")
+    lists = mine.unionByName(theirs).groupBy("key", "th").agg(F.collect_list(F.struct("sh", "start", "wins")).alias("spans"))
+    joined = source.join(lists, ["key", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_apply(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
 
 
@@ -252,6 +319,6 @@ def _often(texts: DataFrame) -> list[int]:
                 rk, n = np.unique(segments(c.words(), np.zeros(0, U64))["rk"], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rk.view(np.int64)), pa.array(n)], names=["rk", "n"])
 
-    drawn = texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text")
+    drawn = texts.where(F.pmod(F.xxhash64("key", "th"), F.lit(SAMPLE)) == 0).select("text")
     counted = drawn.mapInArrow(run, "rk bigint, n bigint").groupBy("rk").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     return [r[0] for r in counted.orderBy(F.desc("n"), "rk").limit(MOST).select("rk").collect()]

@@ -14,9 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder named by spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, local runs) a temporary folder is used.
+    Where that setting is missing a local session uses a temporary folder; on a cluster it is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="logloom-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -1,8 +1,8 @@
 """Vectorised text primitives shared by the document operators.
 
 A chunk of documents is held as one UTF-8 byte buffer; words, n-grams and lines are
-index ranges into it, and their 64-bit hashes come from prefix sums modulo 2**64, so no
-step loops over words in Python. White space is the byte set 0x20, 0x09-0x0D.
+index ranges into it, and all are hashed at once, so no step loops over words in Python.
+White space is the byte set 0x20, 0x09-0x0D.
 """
 
 from __future__ import annotations
@@ -11,32 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD6E8FEB86659FD93 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+_BASE = U64(0x9E3779B97F4A7C15)
+_WORD_BASE = U64(0xD6E8FEB86659FD93)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, U64)
-            steps[0] = 1
-            pair.append(np.cumprod(steps, dtype=U64))
-        have = (pair[0], pair[1])
-        if size <= 1 << 22:
-            _powers[base] = have
-    return have[0][:n], have[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser."""
     h = h ^ (h >> U64(30))
@@ -47,14 +30,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """64-bit hash of values[s:e] for each range; equal contents give equal hashes."""
-    if len(starts) == 0:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range (none empty).
+
+    Up to eight bytes are one number, which is mixed without loss; up to sixteen are two; XXH64 takes the rest.
+    """
+    size = ends - starts
+    pad = np.concatenate((buf, np.zeros(8, np.uint8)))
+    at8 = np.ndarray((len(pad) - 7,), "<u8", pad, 0, (1,))
+    short = np.minimum(size, 8).astype(U64)
+    head = at8[starts] & (~U64(0) >> (U64(64) - (short << U64(3))))
+    h = mix(head + size.astype(U64) * _BASE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        h[long] = mix(h[long] * _WORD_BASE + mix(at8[ends[long] - 8] + _BASE))
+        far = np.flatnonzero(size > 16)
+        h[far] = xxh64(buf, starts[far], ends[far], 0)
+    return h
+
+
+def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of each k consecutive entries, made pairwise from those of half the length."""
+    if len(h) < k:
+        return np.zeros(0, U64)
+    width, whole, done, part = 1, h, 0, None
+    while True:
+        if k & width:  # the next `width` entries after the `done` ones
+            piece = whole[done : done + len(h) - k + 1]
+            part = piece if part is None else mix(part * _BASE + _rotl(piece, 31) + U64(width))
+            done += width
+        width *= 2
+        if width > k:
+            return part
+        whole = mix(whole[: -(width // 2)] * _WORD_BASE + _rotl(whole[width // 2 :], 27) + U64(width))
+
+
+def run_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run h[s:s + n] (n > 0): every entry is mixed with its place in the run, so none cancels another."""
+    if not len(starts):
         return np.zeros(0, U64)
-    up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64, copy=False) + U64(1)) * up[:-1], out=sums[1:], dtype=U64)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
+    edge = np.cumsum(counts) - counts
+    place = np.arange(int(edge[-1] + counts[-1])) - np.repeat(edge, counts)
+    each = mix(h[place + np.repeat(starts, counts)] + (place + 1).astype(U64) * _BASE)
+    return mix(np.add.reduceat(each, edge) + counts.astype(U64))
 
 
 class Chunk:
@@ -95,7 +113,7 @@ class Words:
         self.n = len(starts)
 
     def hashes(self) -> np.ndarray:
-        return range_hash(self.chunk.buf, self.starts, self.ends, _BASE)
+        return word_hashes(self.chunk.buf, self.starts, self.ends)
 
     def ngram_starts(self, k: int) -> np.ndarray:
         """Words that begin k consecutive words of one document."""
@@ -118,11 +136,6 @@ class Words:
         return out, new[:-1], new[:-1] + size
 
 
-def ngram_hash(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k word hashes from each start."""
-    return range_hash(h, starts, starts + k, _WORD_BASE)
-
-
 def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
     """Whole documents of a string column, about limit bytes at a time; null counts as empty."""
     if pa.types.is_large_string(column.type):
@@ -148,6 +161,10 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+#: Ranges of more bytes are hashed one by one by the library.
+FAR = 1024
+
+
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return (x << U64(r)) | (x >> U64(64 - r))
 
@@ -167,7 +184,8 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> n
     s, size, at = U64(seed), (ends - starts).astype(U64), starts.astype(np.int64)
     with np.errstate(over="ignore"):
         h = np.full(n, s + P5, U64)
-        long = np.flatnonzero(size >= U64(32))
+        far = np.flatnonzero(size > U64(FAR))
+        long = np.flatnonzero((size >= U64(32)) & (size <= U64(FAR)))
         if len(long):
             lanes = [np.full(len(long), x, U64) for x in (s + P1 + P2, s + P2, s, s - P1)]
             stripes = (size[long] >> U64(5)).astype(np.int64)
@@ -208,6 +226,9 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> n
         h ^= h >> U64(29)
         h *= P3
         h ^= h >> U64(32)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(buf))
+        h[far] = [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
     return h
 
 

@@ -12,6 +12,13 @@ def prose(rng, n, words=WORDS):
     return " ".join(rng.choice(words) for _ in range(n))
 
 
+@pytest.fixture(scope="session")
+def twins():
+    """Two different words of 1,024 letters that polynomial hashes modulo 2**64 take for equal."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in order), "".join("ba"[b] for b in order)
+
+
 @pytest.fixture(scope="session")
 def odd_rows():
     """(doc_id, text): null and repeated ids, null, empty, blank and very long texts, copies, non-Latin text."""

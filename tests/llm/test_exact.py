@@ -45,23 +45,63 @@ def test_substrings(odd, odd_rows, empty, monkeypatch, common):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_substrings_in_many_indexes(spark, monkeypatch):
+    """Few different windows in many combinations, more than one index holds; every report comes out of a search."""
+    rng = random.Random(12)
+    parts = [prose(rng, 12, [f"w{i}" for i in range(50)]) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))) for i in range(150)]
+    rows += [(None, rows[3][1]), (None, rows[4][1]), (None, f"{rows[4][1]} {rows[3][1]}"), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = []
+    for shard in (4, 1 << 15):
+        monkeypatch.setattr(substrings, "SHARD", shard)
+        found.append(sorted((LAST if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(df).collect()))
+    low = [r for r in brute_dedup(rows) if r[0] != LAST]
+    assert found[0] == found[1] and [r for r in found[0] if r[0] != LAST] == low
+    assert all(r[2] > 0.8 * r[1] for r in found[0] if r[0] == LAST)
+
+
+def test_words_that_look_alike_to_a_weak_hash(spark, twins):
+    """Long words that a polynomial hash takes for equal are different words, lines and tokens."""
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(i, f"{lead} {x}") for i, x in enumerate(twins)] + [(2, f"{twins[0]}\n{twins[1]}\n{twins[0]}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert [r.n_removed for r in substrings.dedup(df).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert [r.n_dup_lines for r in rules.apply_rules(df, None).orderBy("doc_id").collect()] == [0, 0, 1]
+    tokenizer = tokens.word_tokenizer()
+    got = {r.doc_id: r.ids for r in packing.pieces(df, keep_ids=True).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+
+
 def test_fm_index():
+    """Backward search of a streamed text against all substrings of the indexed one."""
     rng = np.random.default_rng(3)
-    text = np.concatenate(([0], rng.integers(1, 4, 400), [0], rng.integers(1, 4, 300), [0]))
-    index = fmindex.FMIndex(text, 8)
-    ends = np.arange(9, len(text))
-    reached, lo, hi = index.matches(ends, 8)
-    raw = text.tolist()
-    for e, r, a, b in zip(ends.tolist(), reached.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        want = 0
-        for k in range(1, 9):
-            p = raw[e - k : e]
-            if 0 in p or sum(raw[i : i + k] == p for i in range(len(raw) - k + 1)) < 2:
-                break
-            want = k
-        assert r == want
-        if r:
-            assert sorted(index.suffixes[a:b].tolist()) == [i for i in range(len(raw) - r + 1) if raw[i : i + r] == raw[e - r : e]]
+    text = np.concatenate(([0], rng.zipf(1.5, 400) % 5 + 1, [0], rng.integers(1, 4, 300), [0]))
+    index, raw = fmindex.FMIndex(text, 8), text.tolist()
+    streams = [text, np.concatenate((text[40:60], rng.integers(1, 9, 200), text[10:30]))]
+    for stream, others in zip(streams, (1, 0), strict=True):
+        ends = np.arange(8, len(stream) + 1)
+        reached, lo, hi = index.matches(stream, ends, others)
+        for e, r, a, b in zip(ends.tolist(), reached.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            want = places = 0
+            for k in range(1, 9):
+                p = stream[e - k : e].tolist()
+                at = [i for i in range(len(raw) - k + 1) if raw[i : i + k] == p]
+                if 0 in p or len(at) <= others:
+                    break
+                want, places = k, at
+            assert r == want
+            if r:
+                assert b - a == len(places)
+            if r == 8:
+                assert index.earliest(np.array([a])).tolist() == [places[0]]
+
+
+def test_index_is_compressed():
+    """Of a skewed text that repeats, the index takes less than half of plain numbers and suffixes."""
+    rng = np.random.default_rng(8)
+    text = np.tile(rng.zipf(1.4, 5000) % 3000 + 1, 40)
+    assert fmindex.FMIndex(text, 20).nbytes() * 8 < 0.5 * len(text) * (12 + 18)
 
 
 def brute_print(text):
