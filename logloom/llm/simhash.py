@@ -1,33 +1,35 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints that differ in at most r bits agree in all but r of r + 3 blocks, so every
-choice of the other blocks makes a table in which linked fingerprints share a key. Rows of a
-table are dealt out by key; in each part they are sorted by Gray rank with the key's bits on
-top, and a hierarchy is built over runs of them: a node holds the bits that all fingerprints
-below it share, its children only what they share beyond that. A search adds up differing
-bits on the way down and drops a whole node once they exceed r. Only spanning links leave a
-part, so a large group never becomes all its pairs.
+All different fingerprints are sorted by Gray rank and cut into parts of consecutive ranks.
+A node of the index holds the bits that all fingerprints below it share; its children hold
+only what they share beyond that. The upper nodes, one for each part and those above, are
+broadcast: going down from the root, a fingerprint adds up the bits in which it differs and
+drops a whole node once they exceed the radius. It is sent to the parts that are left, where
+the search goes on through the part's own nodes down to single fingerprints. Only spanning
+links leave a part, so a large group never becomes all its pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
 from logloom.llm.scan import grouped, map_docs
 from logloom.llm.tables import checkpointed
-from logloom.llm.textkit import U64, Chunk, mix, xxh64
+from logloom.llm.textkit import U64, Chunk, chunks, mix, xxh64
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Children of an index node, and fingerprints of a lowest node.
+#: Children of an index node.
 FAN = 8
+#: Fingerprints of a part, and the most parts there are (their nodes are broadcast: 64 kB).
+PART, MOST_PARTS = 10_000, 4096
 
 
 def shingle_hashes(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -81,21 +83,20 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Hierarchy over fingerprints in Gray order; levels[0] are the lowest nodes."""
+    """Hierarchy over nodes in Gray order, by default single fingerprints; levels[0] are the lowest."""
 
-    def __init__(self, x: np.ndarray):
-        self.order = np.argsort(gray_rank(x), kind="stable")
-        self.x = x[self.order]
-        levels, mask, pattern = [], np.full(len(x), ~U64(0)), self.x
+    def __init__(self, pattern: np.ndarray, mask: np.ndarray | None = None):
+        mask = np.full(len(pattern), ~U64(0)) if mask is None else mask
+        self.size, self.visits, levels = len(pattern), 0, []
         while True:
-            edge = np.arange(0, len(mask), FAN)
-            shared = np.bitwise_and.reduceat(mask, edge) & ~(np.bitwise_or.reduceat(pattern, edge) ^ np.bitwise_and.reduceat(pattern, edge))
-            pattern_up = np.bitwise_and.reduceat(pattern, edge) & shared
             levels.append((mask, pattern))
-            mask, pattern = shared, pattern_up
             if len(mask) == 1:
-                levels.append((mask, pattern))
                 break
+            edge = np.arange(0, len(mask), FAN)
+            shared = np.bitwise_and.reduceat(mask, edge)
+            shared &= ~(np.bitwise_or.reduceat(pattern & np.repeat(shared, FAN)[: len(mask)], edge) ^ np.bitwise_and.reduceat(pattern, edge))
+            pattern = np.bitwise_and.reduceat(pattern, edge) & shared
+            mask = shared
         # residual masks: what a node shares beyond its parent
         self.levels = []
         for i, (m, p) in enumerate(levels):
@@ -103,11 +104,11 @@ class Index:
             self.levels.append((own, p & own))
 
     def search(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in q, and in the fingerprints the index was made of, of all pairs within radius."""
+        """Positions in q, and of the lowest nodes from which it differs in at most radius of their shared bits."""
         found_q, found_x = [], []
         for lo in range(0, len(q), 4096):
             which = np.arange(lo, min(lo + 4096, len(q)))
-            work = [(len(self.levels) - 1, which, np.zeros(len(which), np.int64), np.zeros(len(which), np.int64))]
+            work = [(len(self.levels) - 1, which, np.zeros(len(which), np.int64), np.zeros(len(which), np.uint8))]
             while work:
                 level, qi, node, spent = work.pop()
                 if len(qi) > 1 << 18:
@@ -115,117 +116,146 @@ class Index:
                     work += [(level, qi[:half], node[:half], spent[:half]), (level, qi[half:], node[half:], spent[half:])]
                     continue
                 mask, pattern = self.levels[level]
+                self.visits += len(qi)
                 spent = spent + np.bitwise_count((q[qi] ^ pattern[node]) & mask[node])
-                ok = spent <= radius
+                ok = np.flatnonzero(spent <= radius)
                 qi, node, spent = qi[ok], node[ok], spent[ok]
                 if not len(qi):
                     continue
                 if level == 0:
                     found_q.append(qi)
-                    found_x.append(self.order[node])
+                    found_x.append(node)
                     continue
                 child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                real = child < len(self.levels[level - 1][0])
+                real = np.flatnonzero(child < len(self.levels[level - 1][0]))
                 work.append((level - 1, np.repeat(qi, FAN)[real], child[real], np.repeat(spent, FAN)[real]))
         cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
         return cat(found_q), cat(found_x)
 
 
-class Forest:
-    """Union-find over 0..n-1; join() says which links were new."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def joined(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each member's smallest connected member, given what up says (flat, smallest first) and the links a - b."""
+    while True:
+        lo, hi = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        new = lo < hi
+        if not new.any():
+            return up
+        a, b, up = a[new], b[new], up.copy()
+        np.minimum.at(up, hi[new], lo[new])
+        while (up[up] != up).any():
+            up = up[up]
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
 
+def _rank(fp: Column) -> Column:
+    """Gray rank of a 64-bit fingerprint as a number that sorts by it."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
-def tables(radius: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each table the mask of its key's bits, and the bit ranges (shift, width) in the order that puts them on top."""
-    n = radius + 3
-    edge = [round(64 * i / n) for i in range(n + 1)]
-    blocks = [(edge[i], edge[i + 1] - edge[i]) for i in range(n)]
-    out = []
-    for key in combinations(range(n), n - radius):
-        mask = sum(((1 << w) - 1) << s for s, w in (blocks[i] for i in key))
-        out.append((mask, [blocks[i] for i in (*key, *(j for j in range(n) if j not in key))]))
-    return out
 
+def _send(index: Index, radius: int):
+    """Of (node, fp, part): a row for its own part and, as a visitor, for each later part that the upper nodes don't rule out."""
 
-def _permuted(x: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
-    out, top = np.zeros(len(x), U64), 64
-    for shift, width in blocks:
-        top -= width
-        out |= ((x >> U64(shift)) & U64((1 << width) - 1)) << U64(top)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp, part = (batch.column(i).to_numpy() for i in range(3))
+            q, to = index.search(fp.view(U64), radius)
+            later = to > part[q]
+            q, to = np.concatenate((np.arange(len(fp)), q[later])), np.concatenate((part, to[later]))
+            visits = np.arange(len(q)) >= len(fp)
+            for lo in range(0, len(q), 1 << 16):
+                i = q[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[lo : lo + (1 << 16)].astype(np.int32)), pa.array(visits[lo : lo + (1 << 16)]), pa.array(node[i]), pa.array(fp[i])], names=["part", "visits", "node", "fp"])
+
+    return run
+
+
+def _meet(radius: int):
+    """Links of rows sorted by part and visits: a part's own fingerprints are indexed, visitors stream through."""
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def settle(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[Index, np.ndarray, np.ndarray, pa.RecordBatch]:
+        node, x = (np.concatenate(v) for v in zip(*held, strict=True))
+        order = np.argsort(gray_rank(x), kind="stable")
+        node, x = node[order], x[order]
+        index, up = Index(x), np.arange(len(x))
+        for lo in range(0, len(x), 1 << 14):
+            q, at = index.search(x[lo : lo + (1 << 14)], radius)
+            q = q + lo
+            up = joined(up, q[q < at], at[q < at])
+        under = np.flatnonzero(up != np.arange(len(up)))
+        return index, node, up, pairs(node[under], node[up[under]])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, built = None, [], None
+        for batch in batches:
+            part, visits, node, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            fp = fp.view(U64)
+            edge = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (visits[1:] != visits[:-1]), [True]))) if len(part) else []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if part[lo] != now:
+                    if held and built is None:
+                        yield settle(held)[3]
+                    now, held, built = part[lo], [], None
+                if not visits[lo]:
+                    held.append((node[lo:hi], fp[lo:hi]))
+                    continue
+                if built is None:
+                    built = settle(held)
+                    yield built[3]
+                index, own, up, _ = built
+                q, at = index.search(fp[lo:hi], radius)
+                once = np.unique(np.stack((q, up[at]), 1), axis=0) if len(q) else np.zeros((0, 2), np.int64)
+                yield pairs(node[lo:hi][once[:, 0]], own[once[:, 1]])
+        if held and built is None:
+            yield settle(held)[3]
 
-def spanning(x: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links within radius among equal groups, enough to connect all that such links connect. group is sorted."""
-    edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-    size, out = np.diff(edge), []
-    for n in (2, 3, 4):  # small groups all at once
-        at = edge[:-1][size == n]
-        for i, j in combinations(range(n), 2):
-            near = np.bitwise_count(x[at + i] ^ x[at + j]) <= radius
-            out += zip((at[near] + i).tolist(), (at[near] + j).tolist(), strict=True)
-    for k in np.flatnonzero(size > 4):
-        lo, hi = int(edge[k]), int(edge[k + 1])
-        own, joined = x[lo:hi], Forest(hi - lo)
-        index = Index(own)
-        for block in range(0, len(own), 4096):
-            a, b = index.search(own[block : block + 4096], radius)
-            a = a + block
-            near = a < b
-            for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                if joined.join(i, j):
-                    out.append((lo + i, lo + j))
-    return out
+    return run
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b (bigint): links between the nodes of prints (node bigint, fp bigint, all fp different) within radius.
+    """a, b (bigint): links between the nodes of prints (node bigint, fp bigint, all fp different) that connect what is connected by fingerprints within radius.
 
-    Not every link, but enough that the same nodes are connected. A key's group can hold no
-    more than 2**(64 - key bits) fingerprints, whatever the table's size.
+    Not every such pair is a row, and the two of a row may be further apart than radius. What
+    reaches the driver is a cut between each two parts and what the parts' fingerprints share.
     """
-    plan = tables(radius)
-    keyed = prints.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, (m, _) in enumerate(plan)])).alias("k")).select("k.t", "k.key", "node", "fp")
+    prints = prints.select("node", "fp", _rank(F.col("fp")).alias("rank"))
+    n = prints.count()
+    parts = min(MOST_PARTS, -(-n // PART)) or 1
+    cuts = sorted(set(prints.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
+    edges = np.array(cuts, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.concat_tables(held)
-        t, node = rows["t"].to_numpy(), rows["node"].to_numpy()
-        fp = rows["fp"].to_numpy().view(U64)
-        for i, (mask, blocks) in enumerate(plan):
-            own = np.flatnonzero(t == i)
-            if len(own) < 2:
-                continue
-            x = _permuted(fp[own], blocks)
-            order = np.argsort(gray_rank(x), kind="stable")
-            own, x = own[order], x[order]
-            got = spanning(x, fp[own] & U64(mask), radius)
-            if got:
-                a, b = np.array(got).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[own[a]]), pa.array(node[own[b]])], names=["a", "b"])
-
-    return keyed.repartition("t", "key").mapInArrow(run, "a bigint, b bigint")
+    @F.pandas_udf("int")
+    def part_of(rank: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, rank.to_numpy(), "left").astype(np.int32))
+
+    dealt = checkpointed(prints.select("node", "fp", part_of("rank").alias("part")))
+    shared = dealt.groupBy("part").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("part").collect()
+    number = {r["part"]: i for i, r in enumerate(shared)}
+    every, some = (np.array([r[k] for r in shared], np.int64).view(U64) for k in ("all", "any"))
+    upper = Index(every, ~(every ^ some)) if len(shared) else None
+    if upper is None:
+        return dealt.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    packed = np.array([number.get(i, -1) for i in range(len(cuts) + 1)])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again = (b.set_column(2, "part", pa.array(packed[b.column(2).to_numpy()])) for b in batches)
+        return _send(upper, radius)(again)
+
+    met = dealt.select("node", "fp", "part").mapInArrow(sent, "part int, visits boolean, node bigint, fp bigint")
+    return met.repartition("part").sortWithinPartitions("part", "visits").mapInArrow(_meet(radius), "a bigint, b bigint")
 
 
 #: Words of a wide fingerprint, subsets a document is found by, and shingles of a subset.
 WIDE, SUBSETS, EACH = 8, 12, 4
+#: Bits in which fingerprints of subsets may differ.
+SUBSET_RADIUS = 1
+#: Documents that are compared because one subset is alike; where it is more, two have to be alike, and then three.
+ALIKE, DEPTH = 2000, 3
+#: Similarity from which a document is compared through its leader only.
+LEADER = 0.9
 
 
 def majority(h: np.ndarray, edge: np.ndarray, words: int = 1) -> np.ndarray:
@@ -239,10 +269,10 @@ def majority(h: np.ndarray, edge: np.ndarray, words: int = 1) -> np.ndarray:
 
 
 def sketches(c: Chunk, k: int) -> dict:
-    """For each text of a chunk: sig (of its set of shingles), wide (fingerprint bytes) and keys (of its subsets).
+    """For each text of a chunk: sig (of its set of shingles), wide (fingerprint bytes) and keys (its subsets' fingerprints).
 
     Shingles are dealt into 2**level subsets by their hash, so that about EACH are in one; the
-    first SUBSETS of these have fingerprints of their own, which make the keys. A text near
+    first SUBSETS of these have fingerprints of their own, which are the keys. A text near
     the border of two levels has the keys of both.
     """
     h, doc = shingle_hashes(c, k)
@@ -273,7 +303,7 @@ def sketches(c: Chunk, k: int) -> dict:
         start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (own[1:] != own[:-1]))))
         fp = majority(h[pick], np.append(start, len(pick)))[:, 0]
         found_doc.append(d[start])
-        found_key.append(mix(fp + (own[start] << U64(8) | level[d[start]].astype(U64)) * U64(0x9E3779B97F4A7C15)))
+        found_key.append(fp)
     d = np.concatenate(found_doc) if found_doc else np.zeros(0, np.int64)
     key = np.concatenate(found_key) if found_key else np.zeros(0, U64)
     key = key[np.argsort(d, kind="stable")]
@@ -281,74 +311,130 @@ def sketches(c: Chunk, k: int) -> dict:
     return {"sig": sig.view(np.int64), "wide": [x.tobytes() for x in wide], "keys": pa.ListArray.from_arrays(pa.array(edges), pa.array(key.view(np.int64)))}
 
 
-def spanning_wide(x: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links between rows of x (wide fingerprints) that differ in at most limit bits, enough to connect all that such links connect.
+def differing(similarity: float, sigmas: float = 0.0) -> int:
+    """Bits in which wide fingerprints of sets with that Jaccard similarity differ, plus so many standard deviations."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(64 * WIDE * p + sigmas * math.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def leaders(x: np.ndarray, tight: int, loose: int) -> list[tuple[int, int]]:
+    """(row, leader) for every leader from which a row of x (wide fingerprints) differs in at most loose bits.
 
-    Each row is compared with the rows that lead a group so far and leads one itself if none
-    is near. A link that this misses has an end outside the largest group, so the rows there
-    are then compared with all others.
+    A row from which no earlier leader is within tight bits is a leader itself, for the rows after it.
     """
-    n, joined, out = len(x), Forest(len(x)), []
-
-    def link(i: int, j: int) -> None:
-        if joined.join(i, j):
-            out.append((i, j))
-
-    near = lambda i, rows: np.flatnonzero(np.bitwise_count(rows ^ x[i]).sum(1, dtype=np.int32) <= limit)
-    lead, rows = [0], x[:1]
-    for i in range(1, n):
-        hits = near(i, rows)
-        for k in hits.tolist():
-            link(lead[k], i)
-        if not len(hits):
+    lead, rows, n = [0], x.copy(), 1
+    rows[0], out = x[0], []
+    for i in range(1, len(x)):
+        far = np.bitwise_count(rows[:n] ^ x[i]).sum(1, dtype=np.int32)
+        out += [(i, lead[k]) for k in np.flatnonzero(far <= loose).tolist()]
+        if far.min() > tight:
             lead.append(i)
-            rows = x[lead]
-    root = np.array([joined.root(i) for i in range(n)])
-    values, size = np.unique(root, return_counts=True)
-    for i in np.flatnonzero(root != values[size.argmax()]).tolist():
-        for j in near(i, x).tolist():
-            if j != i:
-                link(i, j)
+            rows[n] = x[i]
+            n += 1
     return out
 
 
-def differing(similarity: float) -> int:
-    """Bits in which wide fingerprints of sets with that Jaccard similarity differ, plus one standard deviation."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id, component_id of every different doc_id that isn't null: groups of similar sets of shingles.
-
-    Fingerprints of whole texts that far apart are not found by agreeing blocks. So documents
-    meet where the fingerprint of one of their subsets of shingles is the same, and are linked
-    if their wide fingerprints differ in no more bits than sets of that similarity do.
-    Documents with equal sets are one row from the start, null and blank texts among them.
-    component_id is the smallest doc_id of a group.
-    """
-    limit = differing(similarity)
-    made = map_docs(docs.where("doc_id is not null"), ["doc_id"], "sig bigint, wide binary, keys array<bigint>", lambda c: sketches(c, shingle))
-    thin = checkpointed(made)
-    nodes = thin.groupBy("sig").agg(F.min("doc_id").alias("node"))
-    kept = checkpointed(thin.join(nodes, "sig").where("doc_id = node").dropDuplicates(["sig"]).select("node", "wide", F.explode("keys").alias("key")))
+def _candidates(tight: int, loose: int):
+    """a, b: nodes to compare, of rows (key, node, wide) sorted by key and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "key", 4096):
             key, node = t["key"].to_numpy(), t["node"].to_numpy()
+            x = np.frombuffer(b"".join(t["wide"].to_pylist()), U64).reshape(-1, WIDE)
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            a, b = [], []
-            for lo in np.flatnonzero(np.diff(edge) > 1):
-                lo, hi = int(edge[lo]), int(edge[lo + 1])
-                x = np.frombuffer(b"".join(t["wide"].slice(lo, hi - lo).to_pylist()), U64).reshape(-1, WIDE)
-                for i, j in spanning_wide(x, limit):
-                    a.append(node[lo + i])
-                    b.append(node[lo + j])
+            size = np.diff(edge)
+            two = edge[:-1][size == 2]
+            two = two[np.bitwise_count(x[two] ^ x[two + 1]).sum(1, dtype=np.int32) <= loose]
+            a, b = (two + 1).tolist(), two.tolist()
+            for k in np.flatnonzero(size > 2):
+                lo = int(edge[k])
+                for i, j in leaders(x[lo : int(edge[k + 1])], tight, loose):
+                    a.append(lo + i)
+                    b.append(lo + j)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return run
+
+
+def jaccard(one: Chunk, other: Chunk, k: int) -> np.ndarray:
+    """Similarity of the sets of k-word shingles of each text and the other's; 1 where neither has any."""
+    sets = []
+    for c in (one, other):
+        h, doc = shingle_hashes(c, k)
+        own, at = np.unique(mix(h ^ mix(doc.astype(U64) + U64(1))), return_index=True)
+        sets.append((own, doc[at], np.bincount(doc[at], minlength=c.n)))
+    both, at, _ = np.intersect1d(sets[0][0], sets[1][0], assume_unique=True, return_indices=True)
+    common = np.bincount(sets[0][1][at], minlength=one.n)
+    union = sets[0][2] + sets[1][2] - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
+
+
+def _similar(similarity: float, k: int):
+    """a, b of rows (a, b, text of a, text of b) that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(2)):
+                other = next(chunks(batch.column(3).slice(c.first, c.n), 1 << 62))
+                at = c.first + np.flatnonzero(jaccard(c, other, k) >= similarity)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
 
-    repeated = kept.groupBy("key").count().where("count > 1").select("key")
-    found = kept.join(repeated, "key").select("key", "node", "wide").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint")
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """key, node, wide of nodes (node, wide, blocks): who is compared with whom.
+
+    Nodes meet in a block. Where more than ALIKE of them do, they have to share a second block,
+    and then a third; what is left above ALIKE then is compared in one task by its leaders.
+    """
+    rows = nodes.select("node", F.explode("blocks").alias("b")).select("node", F.array("b").alias("met"))
+    out = None
+    for depth in range(1, DEPTH + 1):
+        keyed = checkpointed(rows.select(F.xxhash64("met").alias("key"), "node", "met"))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        cold = sizes if depth == DEPTH else sizes.where(F.col("n") <= ALIKE)
+        few = keyed.join(cold, "key").select("key", "node")
+        out = few if out is None else out.unionByName(few)
+        if depth == DEPTH:
+            break
+        hot = sizes.where(F.col("n") > ALIKE)
+        if hot.isEmpty():
+            break
+        crowded = keyed.join(F.broadcast(hot.select("key")) if hot.count() <= 1 << 16 else hot.select("key"), "key")
+        more = crowded.join(nodes.select("node", "blocks"), "node").select("node", "met", F.explode(F.array_except("blocks", "met")).alias("b"))
+        rows = more.select("node", F.array_sort(F.array_append("met", F.col("b"))).alias("met")).distinct()
+    return out.join(nodes.select("node", "wide"), "node").select("key", "node", "wide")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, component_id of every different doc_id that isn't null: groups of similar sets of shingles.
+
+    Fingerprints of whole texts of that similarity are too far apart for an index. So documents
+    are found by fingerprints of subsets of their shingles, which the Gray-order index links
+    within SUBSET_RADIUS bits. Documents that meet so, and whose wide fingerprints are no
+    further apart than such texts' can be, are compared by their shingles; they are linked if
+    their Jaccard similarity is at least `similarity`. A document that is very like an earlier
+    one (LEADER) is compared with others through that one. Documents with equal sets are one
+    row from the start, null and blank texts among them. component_id is the smallest doc_id of a group.
+    """
+    source = docs.where("doc_id is not null")
+    thin = checkpointed(map_docs(source.select("doc_id", "text"), ["doc_id"], "sig bigint, wide binary, keys array<bigint>", lambda c: sketches(c, shingle)))
+    nodes = thin.groupBy("sig").agg(F.min("doc_id").alias("node"))
+    kept = checkpointed(thin.join(nodes, "sig").where("doc_id = node").dropDuplicates(["sig"]).select("node", "wide", F.array_distinct("keys").alias("keys")))
+    prints = kept.select(F.explode("keys").alias("fp")).distinct()
+    near = components(links(prints.select(F.col("fp").alias("node"), "fp"), SUBSET_RADIUS))
+    blocks = kept.select("node", F.explode("keys").alias("fp")).join(near.withColumnsRenamed({"node": "fp", "component": "block"}), "fp", "left")
+    blocks = blocks.groupBy("node").agg(F.sort_array(F.collect_set(F.coalesce("block", "fp"))).alias("blocks"))
+    met = _meetings(checkpointed(kept.select("node", "wide").join(blocks, "node")))
+    ordered = met.repartition("key").sortWithinPartitions("key", "node")
+    pairs = checkpointed(ordered.mapInArrow(_candidates(differing(LEADER), differing(similarity, 2.5)), "a bigint, b bigint").distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = checkpointed(source.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    told = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "other"}), "b")
+    found = told.select("a", "b", "one", "other").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint")
     groups = components(found)
     label = nodes.join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return thin.join(label, "sig").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -365,10 +451,6 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     return ranked.unionByName(docs.where("doc_id is null"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document, a row for each.
 

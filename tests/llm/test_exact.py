@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from logloom.llm import digest, fmindex, packing, pii, queries, rules, sharding, simhash, substrings, tokens
+from logloom.llm import components, digest, fmindex, packing, pii, queries, rules, sharding, simhash, substrings, tokens
 from tests.llm.conftest import SF, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,9 +113,26 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+class Forest:
+    """Union-find over 0..n-1, the smallest first."""
+
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def root(self, i):
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, a, b):
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+
 def reachable(prints, radius):
     f = np.array(prints, np.uint64)
-    joined = simhash.Forest(len(f))
+    joined = Forest(len(f))
     for i in range(len(f)):
         for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= radius).tolist():
             joined.join(i, j)
@@ -136,38 +153,99 @@ def test_simhash(odd, odd_rows, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
-def test_links_of_random_fingerprints(spark):
+@pytest.mark.parametrize(("part", "radius"), [(10_000, 2), (40, 2), (7, 1), (40, 0)])
+def test_links_of_random_fingerprints(spark, monkeypatch, part, radius):
+    monkeypatch.setattr(simhash, "PART", part)
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
     x = base[rng.integers(0, 60, 900)]
     for _ in range(3):
         x = x ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64))
-    x = np.unique(x)
-    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(x.view(np.int64).tolist())], "node bigint, fp bigint")
-    joined = simhash.Forest(len(x))
-    for r in simhash.links(df, 2).collect():
-        assert np.bitwise_count(x[r.a] ^ x[r.b]) <= 2
+    x = np.unique(np.concatenate((x, [np.uint64(0), ~np.uint64(0)])))
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(x.view(np.int64).tolist())], "node bigint, fp bigint").repartition(3)
+    joined = Forest(len(x))
+    for r in simhash.links(df, radius).collect():
         joined.join(r.a, r.b)
-    assert [joined.root(i) for i in range(len(x))] == reachable(x, 2)
-    a, b = simhash.Index(x).search(x, 2)
-    assert len(a) == sum(int((np.bitwise_count(x ^ v) <= 2).sum()) for v in x)
-
-
-def test_wide_spanning():
+    assert [joined.root(i) for i in range(len(x))] == reachable(x, radius)
+
+
+def test_index_drops_groups():
+    """The search finds every pair, and looks at few of them: whole groups go at their upper nodes."""
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    x[::10] = x[1::10] ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)) ^ np.uint64(1)
+    x = x[np.argsort(simhash.gray_rank(x), kind="stable")]
+    index = simhash.Index(x)
+    q = x[rng.permutation(len(x))[:500]]
+    a, b = index.search(q, 2)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(got) == len(a) and got == {(i, j) for i, v in enumerate(q) for j in np.flatnonzero(np.bitwise_count(x ^ v) <= 2).tolist()}
+    assert index.visits < 0.1 * len(q) * len(x)
+
+
+def test_upper_nodes_hold_what_all_below_share():
+    rng = np.random.default_rng(16)
+    x = np.sort(rng.integers(0, 1 << 20, 300, dtype=np.uint64))
+    parts = np.array_split(x, 37)
+    every, some = (np.array([f.reduce(p) for p in parts], np.uint64) for f in (np.bitwise_and, np.bitwise_or))
+    a, b = simhash.Index(every, ~(every ^ some)).search(x, 2)
+    sent = set(zip(a.tolist(), b.tolist(), strict=True))
+    for i, v in enumerate(x):
+        for k, p in enumerate(parts):
+            assert (i, k) in sent or not (np.bitwise_count(p ^ v) <= 2).any()
+
+
+def test_joined_members():
+    rng = np.random.default_rng(17)
+    for n, m in ((1, 0), (50, 30), (400, 380)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        forest = Forest(n)
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            forest.join(i, j)
+        up = simhash.joined(np.arange(n), a[: m // 2], b[: m // 2])
+        assert simhash.joined(up, a, b).tolist() == [forest.root(i) for i in range(n)]
+
+
+def test_leaders():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, (5, simhash.WIDE), dtype=np.uint64)
     x = base[rng.integers(0, 5, 120)]
     for _ in range(40):
         x[np.arange(120), rng.integers(0, simhash.WIDE, 120)] ^= np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)
-    for limit in (30, 60, 70, 80):
-        joined, near = simhash.Forest(120), simhash.Forest(120)
-        for i, j in simhash.spanning_wide(x, limit):
-            assert np.bitwise_count(x[i] ^ x[j]).sum() <= limit
-            joined.join(i, j)
-        for i in range(120):
-            for j in np.flatnonzero(np.bitwise_count(x ^ x[i]).sum(1) <= limit).tolist():
-                near.join(i, j)
-        assert [joined.root(i) for i in range(120)] == [near.root(i) for i in range(120)]
+    far = np.bitwise_count(x[:, None] ^ x[None]).sum(2)
+    for tight, loose in ((10, 80), (60, 70), (70, 70)):
+        got, lead = simhash.leaders(x, tight, loose), [0]
+        for i in range(1, 120):
+            assert [j for k, j in got if k == i] == [j for j in lead if far[i, j] <= loose]
+            if all(far[i, j] > tight for j in lead):
+                lead.append(i)
+
+
+def test_similarity_of_sets():
+    rng = random.Random(18)
+    texts = [prose(rng, rng.randrange(0, 60)) for _ in range(30)] + ["", " ", "A b", "a B"]
+    other = [" ".join(t.split()[1:]) if i % 3 else t.upper() for i, t in enumerate(texts)]
+    sets = [[{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for t in x if (w := t.lower().split()) or True] for x in (texts, other)]
+    want = [1.0 if a == b else len(a & b) / len(a | b) for a, b in zip(*sets, strict=True)]
+    got = simhash.jaccard(simhash.Chunk.of(texts), simhash.Chunk.of(other), 5)
+    assert got.tolist() == pytest.approx(want)
+
+
+def test_components(spark):
+    """A chain, hubs, repeated and empty links."""
+    rng = random.Random(19)
+    chain = [(i, i + 1) for i in range(1000, 1200)]
+    rng.shuffle(chain)
+    pairs = chain + [(5, i) for i in range(2000, 2600)] + [(2100, 7), (7, 2100), (7, 7), (None, 7), (3, None), (40, 40)]
+    pairs += [(rng.randrange(5000, 5300), rng.randrange(5000, 5300)) for _ in range(200)]
+    forest = Forest(6000)
+    nodes = {i for a, b in pairs if a is not None and b is not None and a != b for i in (a, b)}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            forest.join(a, b)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {i: forest.root(i) for i in nodes}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_packing(odd, odd_rows, empty):

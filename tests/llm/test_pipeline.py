@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from logloom.llm import mixing, pii, simhash, tokens
 from tests.llm.conftest import SF, prose
+from tests.llm.test_exact import Forest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -39,7 +40,7 @@ def copies():
     for _ in range(60):
         base = prose(rng, rng.choice([40, 90, 250, 700]), [f"w{i}" for i in range(900)])
         n = len(base.split())
-        texts += [base, base, base.upper(), edited(rng, base, max(1, n // 80)), edited(rng, base, max(1, n // 50)), edited(rng, base, n // 10)]
+        texts += [base, base, base.upper(), edited(rng, base, max(1, n // 80)), edited(rng, base, max(1, n // 50)), edited(rng, base, max(1, n // 44)), edited(rng, base, n // 10)]
     passage = prose(rng, 50, [f"p{i}" for i in range(400)])
     texts += [f"{prose(rng, 120, [f'q{i}' for i in range(900)])} {passage}" for _ in range(40)]
     order = list(range(len(texts)))
@@ -47,24 +48,26 @@ def copies():
     return [texts[i] for i in order]
 
 
-def test_near_groups_against_all_pairs(spark, copies):
+@pytest.mark.parametrize("alike", [2000, 20])
+def test_near_groups_against_all_pairs(spark, copies, monkeypatch, alike):
+    """Recall of all pairs from 0.8 on, also where a shared passage makes subsets crowded; no link below."""
+    monkeypatch.setattr(simhash, "ALIKE", alike)
     df = spark.createDataFrame(list(enumerate(copies)), "doc_id bigint, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
     sets = [shingles(t) for t in copies]
     found = wanted = 0
-    joined = simhash.Forest(len(copies))
+    joined = Forest(len(copies))
     for i in range(len(copies)):
         for j in range(i):
             s = jaccard(sets[i], sets[j])
-            if s >= 0.85:
+            if s >= 0.8:
                 wanted += 1
                 found += got[i] == got[j]
-            if s >= 0.6:
                 joined.join(i, j)
             if sets[i] == sets[j]:
                 assert got[i] == got[j]
-    assert found / wanted > 0.98
-    # no group reaches beyond what links of clearly similar texts reach
+    assert wanted > 500 and found / wanted > 0.97
+    # no group reaches beyond what links of similar texts reach
     assert all(joined.root(i) == joined.root(c) for i, c in got.items())
     assert all(got[c] == c for c in got.values())
 
@@ -98,9 +101,9 @@ def test_stages(spark):
     left = set(ids["near_duplicates"])
     assert len(left) == len(ids["near_duplicates"])
     for i in left:
-        assert not any(j < i and jaccard(sets[i], sets[j]) >= 0.9 for j in left)
+        assert not any(j < i and jaccard(sets[i], sets[j]) >= 0.85 for j in left)
     for i in set(ids["quality"]) - left:
-        assert any(j != i and jaccard(sets[i], sets[j]) >= 0.65 for j in ids["quality"])
+        assert any(j != i and jaccard(sets[i], sets[j]) > 0.6 for j in ids["quality"])
     # personal data: nothing goes, no pattern is left
     assert sorted(ids["personal_data"]) == sorted(left)
     again = pii.report(pii.find(spark.createDataFrame(seen["personal_data"], docs.schema))).collect()
