@@ -9,7 +9,6 @@ sum of their quartile steps and length steps, bounded and turned into a likeness
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +88,7 @@ def _judge(ids: list, texts: list[str]) -> pa.RecordBatch:
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by range, each range with its own documents in order and then the first of the next range."""
     ids, texts, size, bucket, closed = [], [], 0, None, False
     for batch in batches:
         for b, extra, i, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -99,7 +99,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 closed = False
             if closed:
                 continue
-            closed = bool(extra)
+            closed = extra
             ids.append(i)
             texts.append(t or "")
             size += len(texts[-1])
@@ -110,33 +110,70 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _judge(ids, texts)
 
 
+#: Documents drawn, in expectation, for each range to find the ranges' bounds.
+DRAWN = 20
+
+
+class _Ranges:
+    """Ranges of (id, hash of the text), both descending, null ids last, by the pairs that they end with."""
+
+    def __init__(self, ends: list[tuple[int | None, int]]):
+        ends = sorted(set(ends), key=self.order)
+        known = [c for c in ends if c[0] is not None]
+        # complements sort the other way round
+        self.ids, self.marks = (~np.array([c[k] for c in known], np.int64) for k in (0, 1))
+        self.nulls = ~np.array([c[1] for c in ends[len(known) :]], np.int64)
+
+    @staticmethod
+    def order(c: tuple[int | None, int]) -> tuple:
+        return (c[0] is None, ~(c[0] or 0), ~c[1])
+
+    def of(self, ids: pa.Array, marks: pa.Array) -> pa.Array:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        i, m = ~ids.fill_null(0).to_numpy(), ~marks.to_numpy()
+        lo, hi = np.searchsorted(self.ids, i, "left"), np.searchsorted(self.ids, i, "right")
+        out = lo.copy()
+        for k in np.flatnonzero((lo < hi) & ~none).tolist():
+            out[k] += np.searchsorted(self.marks[lo[k] : hi[k]], m[k], "left")
+        out[none] = len(self.ids) + np.searchsorted(self.nulls, m[none], "left")
+        return pa.array(out.astype(np.int32))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
-    The next document is the one with the next smaller doc_id (null last, equal ids by text),
-    and after the last the first; a lone document follows itself. Null texts count as empty;
-    an empty text has the digest of no triplets. Ids are cut into ranges by their quantiles;
-    each range also gets the first document of the next range, so nothing is sorted in one
-    task. Only one id for each range reaches the driver.
+    The next document is the one with the next smaller doc_id (null last, equal ids by a hash of
+    the text, the larger first), and after the last the first; a lone document follows itself.
+    Null texts count as empty; an empty text has the digest of no triplets. Documents are dealt
+    into ranges of that order, whose bounds are drawn by a hash; each range also gets the first document of
+    the next, so nothing is sorted in one task. Rows equal in id and text share a range. What
+    reaches the driver is DRAWN rows of two numbers for each range, and one more.
     """
     spark = docs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
-    cuts = source.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0))
-    tops = [(r[0], r[1]) for r in source.groupBy(bucket.alias("b")).agg(F.max("doc_id")).orderBy("b").collect()]
-    if not tops:
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    total = source.count()
+    if not total:
         return spark.createDataFrame([], _OUT)
-    # the range before each one, in descending order, reads on with its largest document; before the largest comes the smallest
-    reader = {tops[k][1]: tops[(k + 1) % len(tops)][0] for k in range(len(tops))}
-    extra = F.lit(None).cast("int")
-    known = {k: v for k, v in reader.items() if k is not None}
-    if known:
-        extra = F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("doc_id"))
-    if None in reader:
-        extra = F.when(F.col("doc_id").isNull(), reader[None]).otherwise(extra)
-    places = F.filter(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("extra")), F.struct(extra.alias("b"), F.lit(1).alias("extra"))), lambda x: x["b"].isNotNull())
-    dealt = source.select(F.explode(places).alias("p"), "doc_id", "text").select("p.b", "p.extra", "doc_id", "text").repartition("b")
-    ordered = dealt.sortWithinPartitions("b", "extra", F.desc_nulls_last("doc_id"), "text")
-    return ordered.mapInArrow(_stream, _OUT)
+    every = max(1, total // (DRAWN * ranges))
+    drawn = source.where(F.pmod(F.xxhash64("doc_id", "mark", F.lit(1)), F.lit(every)) == 0).select("doc_id", "mark").distinct()
+    found = sorted(((r[0], r[1]) for r in drawn.collect()), key=_Ranges.order)
+    bounds = _Ranges([found[k * len(found) // ranges] for k in range(1, ranges)] if found else [])
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, marks: pa.Array) -> pa.Array:
+        return bounds.of(ids, marks)
+
+    keyed = source.withColumn("b", range_of("doc_id", "mark"))
+    # the first of each range, in that order: the largest id, or else the largest hash
+    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("mark")))
+    tops = [(r[0], r[1]["doc_id"], r[1]["mark"]) for r in keyed.groupBy("b").agg(top).orderBy("b").collect()]
+    # the range before each one reads on with its first document; before the first comes the last
+    readers = [(i, m, tops[k - 1][0]) for k, (_, i, m) in enumerate(tops)]
+    table = spark.createDataFrame(readers, "doc_id bigint, mark bigint, reader int")
+    same = keyed["doc_id"].eqNullSafe(table["doc_id"]) & (keyed["mark"] == table["mark"])
+    both = keyed.join(F.broadcast(table), same, "left").select(keyed["doc_id"], "text", keyed["mark"], "b", "reader")
+    places = F.filter(F.array(F.struct(F.col("b"), F.lit(False).alias("extra")), F.struct(F.col("reader").alias("b"), F.lit(True).alias("extra"))), lambda x: x["b"].isNotNull())
+    dealt = both.select(F.explode(places).alias("p"), "doc_id", "text", "mark").select("p.b", "p.extra", "doc_id", "text", "mark").repartition("b")
+    ordered = dealt.sortWithinPartitions("b", "extra", F.desc_nulls_last("doc_id"), F.desc("mark"))
+    return ordered.select("b", "extra", "doc_id", "text").mapInArrow(_stream, _OUT)

@@ -25,7 +25,8 @@ SAMPLE = 3000
 SIZES, SLOTS, HASHES = (3, 4), 1 << 20, 2
 #: An n-gram belongs to a language if it has at least this count there, and at least this share of its greatest relative frequency in any language.
 LEAST, SHARE = 3, 0.2
-MOST_LANGUAGES = 64
+#: Languages of which a table is broadcast; any number can be learned, and the driver holds SLOTS / 8 bytes for each.
+MOST_BROADCAST = 10_000
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -37,7 +38,7 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="
 
 @dataclass
 class Model:
-    """masks: a row for each eight languages, a column for each position of the filter."""
+    """masks: a row of SLOTS bytes for each eight languages, a column for each position of the filter."""
 
     names: list[str]
     masks: np.ndarray = field(repr=False)
@@ -57,10 +58,10 @@ def grams(c: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return
     letter = LETTER[c.buf]
     doc = np.repeat(np.arange(c.n), np.diff(c.bounds))
-    # runs of other bytes shrink to one edge before each word; every text ends with one
-    keep = letter | (np.concatenate((letter[1:], [False])) | np.concatenate(([False], letter[:-1])))
-    first = keep & ~letter & np.concatenate(([False], (keep & ~letter)[:-1]))
-    keep &= ~first
+    # a run of other bytes shrinks to its first, which is one edge
+    starts = np.zeros(n, bool)
+    starts[c.bounds[:-1][np.diff(c.bounds) > 0]] = True
+    keep = letter | starts | np.concatenate(([True], letter[:-1]))
     b, d = np.where(letter, c.buf, 0x5F)[keep].astype(U64), doc[keep]
     for k in SIZES:
         if len(b) < k:
@@ -79,8 +80,6 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """counts: by language, n-gram hashes and how often each occurs."""
     names = sorted(counts)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"a mask holds {MOST_LANGUAGES} languages")
     masks = np.zeros((max(1, -(-len(names) // 8)), SLOTS), np.uint8)
     if not names:
         return Model(names, masks, np.zeros(0))
@@ -103,14 +102,11 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from about `sample` documents of each language; a null language teaches nothing."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"a mask holds {MOST_LANGUAGES} languages")
-    names = sorted(sizes)
-    cut = F.lit(0)
-    for x, n in sizes.items():
-        cut = F.when(F.col("lang") == x, int(min(1.0, sample / n) * (1 << 20))).otherwise(cut)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut)
+    sizes = known.groupBy("lang").count()
+    cut = F.floor(F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")) * (1 << 20))
+    cuts = sizes.select("lang", cut.alias("cut"))
+    names = sorted(r[0] for r in cuts.select("lang").collect())
+    drawn = known.join(F.broadcast(cuts) if len(names) <= MOST_BROADCAST else cuts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("cut"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}

@@ -24,10 +24,12 @@ from logloom.llm.textkit import Chunk
 from logloom.llm.tokens import shared
 
 CAPACITY = 4096
-#: Parts that pieces of one length are ranked in.
-SPREAD = 256
-#: Most rows of a plan that are broadcast; a longer plan is joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: Pieces of one length that are ranked together, on average; as many parts are made as that takes.
+RANKED = 100_000
+#: Rows that a plan can have for a capacity of 4096, whatever the number of pieces (it is broadcast): large pieces make two
+#: rows for each length at most and as many runs of gaps; a small length either ends in a row or uses up a run,
+#: and what is left of a run's gap is less than half of it, so a run is used twelve times at most.
+MOST_ROWS = 24 * 3 * CAPACITY
 
 #: length, first rank, end rank, first sequence, pieces to a sequence, offset of the first of them
 Slot = tuple[int, int, int, int, int, int]
@@ -139,26 +141,26 @@ def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces of equal length are ranked by id, piece and checksum, in parts by a hash of them, so
     a length that a third of all pieces have is not ranked in one task; rows that are equal in
-    all of these may be in any order. Only the count of each length reaches the driver.
+    all of these may be in any order. Only the count of each length reaches the driver, and the
+    plan that it makes of these is broadcast: its size depends on the capacity alone. Names that begin with two
+    underscores are ours.
     """
     parts = checkpointed(parts.drop("sequence_id", "offset"))
-    keyed = parts.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SPREAD)))
-    sizes = checkpointed(keyed.groupBy("length", "_part").agg(F.count("*").alias("_n")))
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}
+    counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
+    spread = -(-max(counts.values(), default=1) // RANKED)
+    keyed = parts.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(spread)))
+    sizes = keyed.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     slots = plan(counts, capacity)
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(sizes, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    spark = parts.sparkSession
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = ranked.join(sizes, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     columns = list(zip(*slots, strict=True)) or [()] * 6
-    names = ["length", "_lo", "_hi", "_first", "_each", "_at"]
-    table = spark.createDataFrame(pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names, columns, strict=True)}))
-    if len(slots) <= MOST_BROADCAST:
-        table = F.broadcast(table)
-    placed = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))).drop(table["length"])
-    nth = F.col("_rank") - F.col("_lo")
-    return placed.select(*parts.columns, (F.col("_first") + F.floor(nth / F.col("_each"))).cast("bigint").alias("sequence_id"), (F.col("_at") + nth % F.col("_each") * F.col("length")).cast("bigint").alias("offset"))
+    names = ["__length", "__lo", "__hi", "__first", "__each", "__at"]
+    table = F.broadcast(parts.sparkSession.createDataFrame(pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names, columns, strict=True)})))
+    placed = ranked.join(table, (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
+    nth = F.col("__rank") - F.col("__lo")
+    return placed.select(*parts.columns, (F.col("__first") + F.floor(nth / F.col("__each"))).cast("bigint").alias("sequence_id"), (F.col("__at") + nth % F.col("__each") * F.col("length")).cast("bigint").alias("offset"))
 
 
 def sequences(placed: DataFrame) -> DataFrame:

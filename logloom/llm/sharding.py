@@ -41,7 +41,7 @@ def lookup_table(shards: list[str] = SHARDS, slots: int = SLOTS) -> list[int]:
 
 
 def place(df: DataFrame, key: str = "doc_id", shards: list[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """df with slot (bigint) and shard (string) added; columns of those names are replaced.
+    """df with slot (bigint) and shard (string) added; columns of those names, in any case, are replaced.
 
     Rows with equal keys share a shard. A null key is placed like the empty string; texts are
     not looked at, so null, empty and long ones are placed alike; an empty table stays empty.
@@ -50,8 +50,9 @@ def place(df: DataFrame, key: str = "doc_id", shards: list[str] = SHARDS, slots:
         raise ValueError(f"at most {MOST_SLOTS} slots are broadcast")
     table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(lookup_table(shards, slots))], "slot bigint, shard string")
     slot = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint") % slots
-    keyed = df.drop("slot", "shard").withColumn("slot", slot)
-    return keyed.join(F.broadcast(table), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    keep = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    keyed = df.select(*[F.col(f"`{c}`") for c in keep], slot.alias("slot"))
+    return keyed.join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in keep], "slot", "shard")
 
 
 def oracle(shards: int = len(SHARDS), slots: int = SLOTS) -> str:

@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,9 +226,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     cuts = sorted(set(prints.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
     edges = np.array(cuts, np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(rank: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, rank.to_numpy(), "left").astype(np.int32))
+    @F.arrow_udf("int")
+    def part_of(rank: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, rank.to_numpy(), "left").astype(np.int32))
 
     dealt = checkpointed(prints.select("node", "fp", part_of("rank").alias("part")))
     shared = dealt.groupBy("part").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("part").collect()

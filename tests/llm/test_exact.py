@@ -1,6 +1,7 @@
 """Operators with one right answer, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -293,21 +294,54 @@ def test_plan_against_rules():
             assert end <= capacity and sum(n > capacity // 3 for _, n in b) <= 2
 
 
+def brute_digest(text):
+    """Quartiles of triplet counts and the length step, counted one by one."""
+    raw, counts = (text or "").encode(), [0] * 1024
+    for i in range(len(raw)):
+        h = sum(v << 8 * k for k, j in enumerate((0, 3, 7)) if i + j < len(raw) for v in [raw[i + j]]) + 1
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) % 2**64
+        counts[((h ^ h >> 31) >> 20) % 1024] += 1
+    cuts = [sorted(counts)[k] for k in (255, 511, 767)]
+    return [sum(c > q for q in cuts) for c in counts], round(8 * math.log1p(len(raw)))
+
+
+def brute_likeness(a, b):
+    steps = sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(a[0], b[0], strict=True)) + 16 * min(abs(a[1] - b[1]), 24)
+    return max(0.0, 1 - steps / (1.4 * 1024))
+
+
+def hexed(d):
+    bits = "".join(f"{v:02b}" for v in d[0])
+    return f"{d[1]:03x}" + "".join(f"{int(bits[i : i + 8], 2):02x}" for i in range(0, 2048, 8))
+
+
 def test_digests(odd_rows, spark, empty):
-    rows = [(i, t) for i, t in odd_rows if i is not None and len(t or "") < 50_000]
-    rows = list({i: (i, t) for i, t in rows}.values())
-    got = {r.doc_id: r for r in digest.neighbours(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    ordered = sorted(rows, key=lambda r: -r[0])
-    assert len(got) == len(rows)
+    """Repeated and null ids and all texts; equal ids follow each other in some order, which the edited text shows."""
+    df = spark.createDataFrame(odd_rows, "doc_id bigint, text string").repartition(3)
+    marks = {(r.doc_id, r.text): r.m for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS m").collect()}
+    got = digest.neighbours(df).collect()
+    ordered = sorted(odd_rows, key=lambda r: (r[0] is None, -(r[0] or 0), -marks[r]))
+    made = {t: brute_digest(t) for t in {r[1] for r in odd_rows}}
+    want = Counter()
     for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
-        t, n, r = t or "", n or "", got[i]
-        edited = digest.spliced(t, n)
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), digest.digest(t), digest.digest(edited))
-        assert r.near_edited == pytest.approx(digest.compare(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(digest.compare(r.fingerprint, digest.digest(n)))
+        raw, k = t or "", len(t or "") // 3
+        edited = raw[: len(raw) - k] + (n or "")[:k]
+        e = brute_digest(edited)
+        want[i, len(raw), hashlib.sha256(edited.encode()).hexdigest(), hexed(made[t]), hexed(e), round(brute_likeness(made[t], e), 6), round(brute_likeness(made[t], made[n]), 6)] += 1
+    assert want == Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got)
     assert digest.compare(digest.digest("a b c"), digest.digest("a b c")) == 1.0
     assert digest.neighbours(empty).count() == 0
 
 
+def test_edited_texts_are_nearer_than_others(spark):
+    rng = random.Random(20)
+    rows = [(i, prose(rng, rng.choice([40, 150, 600, 4000]), [f"w{j * 7919 % 3000:x}" for j in range(rng.randrange(400), 900)])) for i in range(300)]
+    got = digest.neighbours(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert sum(r.near_edited > r.near_next for r in got) > 0.98 * len(got)
+    assert np.median([r.near_edited for r in got]) > np.median([r.near_next for r in got]) + 0.2
+
+
 def test_digests_keep_odd_rows(odd, odd_rows):
     assert digest.neighbours(odd).count() == len(odd_rows)
     for lone in (odd.where("doc_id = 303"), odd.where("doc_id is null and text is null")):
@@ -370,6 +404,17 @@ def brute_counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), twice, len(cover)
 
 
+def test_forest_is_the_same_for_any_order(spark):
+    rng = random.Random(21)
+    rows = [(i % 40, prose(rng, rng.randrange(15, 90)) + " #" * (i % 7)) for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id bigint, quality int")
+    found = []
+    for turn in (rows, rows[::-1]):
+        forest = rules.fitted(spark.createDataFrame(turn, "doc_id bigint, text string").coalesce(1), labels)
+        found.append((forest.cut, [t[1].tolist() for t in forest.trees]))
+    assert found[0] == found[1]
+
+
 def test_rules(odd, odd_rows, empty):
     got = rules.apply_rules(odd, None).collect()
     want = Counter()
@@ -404,6 +449,9 @@ def test_lookup_table():
 def test_placement(odd, odd_rows, empty):
     got = sharding.place(odd).collect()
     assert len(got) == len(odd_rows) and len({r.shard for r in got if r.doc_id is None}) == 1
+    clash = sharding.place(odd.withColumnsRenamed({"score": "Slot", "copy": "SHARD", "lang": "a.b"}))
+    assert clash.columns == ["doc_id", "text", "a.b", "source", "n_chars", "_n", "slot", "shard"]
+    assert sorted(map(str, (r[-2:] for r in clash.collect()))) == sorted(map(str, (r[-2:] for r in got)))
     assert sharding.place(empty).count() == 0
 
 

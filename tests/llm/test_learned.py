@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,15 +98,15 @@ def test_labels_of_held_out_documents_teach_nothing(spark):
 def test_quality_of_odd_rows(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id bigint, quality int")
     model = quality.fitted(odd, labels)
-    got = quality.predict(odd.drop("score"), model, ["doc_id", "text"]).collect()
+    got = quality.predict(odd, model, ["doc_id", "text", "score"]).collect()
     assert len(got) == len(odd_rows)
     by_text = {}
     for r in got:
         by_text.setdefault(r.text, set()).add(r.score)
     assert all(len(v) == 1 for v in by_text.values()) and by_text[None] == by_text[""] == by_text[" \n\t "]
-    assert quality.predict(empty.drop("score"), model, ["doc_id"]).count() == 0
+    assert quality.predict(empty, model, ["doc_id"]).count() == 0
     assert quality.fitted(empty, labels) is None and quality.fitted(odd, labels.where("false")) is None
-    assert {r.score for r in quality.predict(odd.drop("score"), None, ["doc_id"]).collect()} == {1.0}
+    assert {r.score for r in quality.predict(odd, None, ["doc_id"]).collect()} == {1.0}
 
 
 # --- languages
@@ -122,25 +123,57 @@ def test_filters_hold_what_was_put_in():
     for i, n in enumerate(names):
         assert held(counts[n][0], i).all()
         assert abs(held(strange, i).mean() - model.false_rate[i]) < 3 * np.sqrt(model.false_rate[i] / len(strange)) + 2e-5
-    with pytest.raises(ValueError):
-        langid.build({f"l{i}": (np.zeros(1, np.uint64), np.ones(1, int)) for i in range(65)})
-
-
-def test_scores_count_grams():
-    """Corrected shares against sets of n-grams of the same texts."""
-    texts = ["ba da fe", "gon hil pas rux", "ba gon"]
-    sets = []
-    for t in texts:
-        b = f"_{t.replace(' ', '_')}_".encode()
-        sets.append([b[i : i + k] for k in langid.SIZES for i in range(len(b) - k + 1)])
-    c = Chunk.of(texts)
-    found = [[] for _ in texts]
-    for h, d in langid.grams(c):
-        for x, i in zip(h.tolist(), d.tolist(), strict=True):
-            found[i].append(x)
-    # equal n-grams have equal hashes, different ones different hashes; edges are kept where a word begins or ends
-    inner = [[g for g in s] for s in sets]
-    assert all(len(set(f)) <= len(set(s)) for f, s in zip(found, inner, strict=True)) and all(found)
+
+
+def test_more_languages_than_a_mask_of_64(spark):
+    rng = random.Random(22)
+    alphabets = [[f"{a}{b}{c}" for c in "aeiou" for b in rng.sample("bcdfghjklmnpqrstvwxz", 3) for a in rng.sample("bcdfghjklmnpqrstvwxz", 2)] for _ in range(70)]
+    rows = [(i, prose(rng, 60, alphabets[i % 70]), f"l{i % 70:02d}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fitted(df)
+    got = langid.predict(df, model, ("doc_id", "lang")).collect()
+    assert len(model.names) == 70 and sum(r.lang == r.lang_pred for r in got) > 0.98 * len(got)
+
+
+def slow_grams(text):
+    """Letters in lower case and one edge between words, by three and four bytes; hashed one by one."""
+    raw, out = [b if chr(b).isalpha() and b < 128 or b >= 128 else None for b in text.lower().encode()], []
+    kept = []
+    for i, b in enumerate(raw):
+        if b is not None:
+            kept.append(b)
+        elif i == 0 or raw[i - 1] is not None:
+            kept.append(0x5F)
+    for k in langid.SIZES:
+        for i in range(len(kept) - k + 1):
+            h = (int.from_bytes(bytes(kept[i : i + k]), "big") + (k << 56)) % 2**64
+            h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+            h = ((h ^ h >> 27) * 0x94D049BB133111EB) % 2**64
+            out.append(h ^ h >> 31)
+    return out
+
+
+def test_scores_against_sets():
+    """Masks, shares and their correction, from plain sets of filter positions."""
+    rng = random.Random(23)
+    names = [f"l{i}" for i in range(11)]
+    words = {n: [a + b for a in rng.sample(["ba", "ki", "lo", "mur", "ten", "sy", "quo"], 4) for b in rng.sample(["da", "fe", "gon", "hil", "ü", "rux"], 3)] for n in names}
+    learned = {n: [prose(rng, 40, words[n]) for _ in range(6)] for n in names}
+    counts = {n: Counter(h for t in ts for h in slow_grams(t)) for n, ts in learned.items()}
+    model = langid.build({n: (np.array(sorted(c), np.uint64), np.array([c[h] for h in sorted(c)])) for n, c in counts.items()})
+    share = {n: {h: v / sum(c.values()) for h, v in c.items()} for n, c in counts.items()}
+    best = {h: max(share[n].get(h, 0) for n in names) for n in names for h in share[n]}
+    at = lambda h: [h >> 20 * i & langid.SLOTS - 1 for i in range(langid.HASHES)]
+    bits = {n: {s for h, v in counts[n].items() if v >= langid.LEAST and share[n][h] >= langid.SHARE * best[h] for s in at(h)} for n in names}
+    texts = [prose(rng, 30, words[n]) for n in names] + ["", "12 34", "Ba DA, ki-fe!", "  lonely "]
+    got = langid.scores(Chunk.of([t.lower() for t in texts]), model)
+    for t, row in zip(texts, got, strict=True):
+        grams = slow_grams(t)
+        for n, value in zip(model.names, row, strict=True):
+            rate = (len(bits[n]) / langid.SLOTS) ** langid.HASHES
+            hits = sum(all(s in bits[n] for s in at(h)) for h in grams)
+            want = min(1, max(0, (hits - rate * len(grams)) / max((1 - rate) * len(grams), 1e-9)))
+            assert value == pytest.approx(want, abs=1e-9)
 
 
 def test_languages_of_held_out_documents(spark):
@@ -155,7 +188,7 @@ def test_languages_of_held_out_documents(spark):
 def test_languages_of_odd_rows(odd, odd_rows, empty):
     model = langid.fitted(odd)
     got = {}
-    for r in langid.predict(odd.drop("score"), model, ("doc_id", "text")).collect():
+    for r in langid.predict(odd, model, ("doc_id", "text", "score")).collect():
         got.setdefault(r.text, set()).add((r.lang_pred, r.score))
     assert all(len(v) == 1 for v in got.values())
     for t, v in got.items():
@@ -163,8 +196,8 @@ def test_languages_of_odd_rows(odd, odd_rows, empty):
         assert (lang == "und") == (t is None or not any(ch.isalpha() for ch in t)) and 0 <= score <= 1
         assert lang in ("und", "en", "de")
     nothing = langid.fitted(empty)
-    assert not nothing.names and {r.lang_pred for r in langid.predict(odd.drop("score"), nothing).collect()} == {"und"}
-    assert langid.predict(empty.drop("score"), model).count() == 0
+    assert not nothing.names and {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+    assert langid.predict(empty, model).count() == 0
 
 
 # --- rules
@@ -202,8 +235,11 @@ def test_threshold_keeps_good_rows():
     assert rules.fit(s, np.zeros(360)) is None
 
 
-def test_rules_keep_good_documents(spark):
-    got = queries.op10_rules(spark, HELD).toPandas().merge(spark.read.parquet(f"{HELD}/labels.parquet").toPandas(), on="doc_id")
+def test_rules_of_documents_that_were_held_out(spark):
+    """The forest learns from four fifths of the labels; the rest is judged."""
+    docs, labels = (spark.read.parquet(f"{HELD}/{n}.parquet") for n in ("documents", "labels"))
+    forest = rules.fitted(docs, labels.where(~quality.held_out()))
+    got = rules.apply_rules(docs, forest).join(labels.where(quality.held_out()), "doc_id").toPandas()
     good, bad = got[got["quality"] == 1], got[got["quality"] == 0]
-    assert good["kept"].mean() > 0.97 and bad["kept"].mean() < 0.5
+    assert len(good) > 20 and len(bad) > 20 and good["kept"].mean() > 0.9 and bad["kept"].mean() < 0.5
     assert not (got["kept"] & got["base_failed"]).any()

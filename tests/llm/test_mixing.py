@@ -16,18 +16,21 @@ def sixty(text):
 
 
 def drawn(doc_id, rate, seed):
-    """Copies of a document: the Poisson distribution with mean rate, inverted at the document's number."""
-    u, k, p = sixty(f"{seed}:{'' if doc_id is None else doc_id}") / 2**60, 0, math.exp(-rate)
-    total = p
-    while total <= u:
-        k += 1
-        p *= rate / k
-        total += p
-    return k
+    """Copies of a document: the Poisson distribution with mean rate, inverted at the document's number; high rates in equal parts."""
+    parts, own, out = max(1, math.ceil(rate / 16)), "" if doc_id is None else doc_id, 0
+    for j in range(parts):
+        u, k, p = sixty(f"{seed}:{own}:{j}" if j else f"{seed}:{own}") / 2**60, 0, math.exp(-rate / parts)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / parts / k
+            total += p
+        out += k
+    return out
 
 
 def test_copies(odd):
-    weights, other, seed = {"src0": 3.0, "src7": 1.0}, 2.0, 5
+    weights, other, seed = {"src0": 3.0, "src7": 1.0, "absent": 50.0}, 2.0, 5
     got = mixing.poisson_mix(odd, weights, other, 1.5, seed).collect()
     rows = odd.collect()
     sizes = Counter(r.source if r.source in weights else None for r in rows)
@@ -52,6 +55,18 @@ def test_shares_meet_their_targets(spark):
         assert abs(got[source] / total - share) < 0.03
 
 
+def test_a_rare_source_is_split(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "case when id = 7 then 'rare' else 'c' end as source")
+    got = Counter(r.source for r in mixing.poisson_mix(docs, {"rare": 1.0}, 1.0, 1.0, 3).select("source").collect())
+    assert got["rare"] == drawn(7, 2000.0, 3) and abs(got["rare"] - 2000) < 250 and abs(got["c"] - 2000) < 250
+    assert len(mixing.thresholds(16.0)) < 120
+
+
+def test_absent_sources_take_no_share(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'a' as source")
+    assert abs(mixing.poisson_mix(docs, {"a": 1.0, "b": 5.0}, 3.0, 1.0, 4).count() - 20_000) < 600
+
+
 def test_no_rows_and_lone_sources(spark, empty):
     assert mixing.poisson_mix(empty).count() == 0
     lone = spark.createDataFrame([(1, None, None)], "doc_id bigint, text string, source string")
