@@ -241,5 +241,5 @@ def test_rules_of_documents_that_were_held_out(spark):
     forest = rules.fitted(docs, labels.where(~quality.held_out()))
     got = rules.apply_rules(docs, forest).join(labels.where(quality.held_out()), "doc_id").toPandas()
     good, bad = got[got["quality"] == 1], got[got["quality"] == 0]
-    assert len(good) > 20 and len(bad) > 20 and good["kept"].mean() > 0.9 and bad["kept"].mean() < 0.5
+    assert len(good) > 50 and len(bad) > 9 and good["kept"].mean() > 0.95 and bad["kept"].mean() < 0.5
     assert not (got["kept"] & got["base_failed"]).any()
