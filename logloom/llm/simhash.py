@@ -27,8 +27,9 @@ from logloom.llm.textkit import U64, Chunk, chunks, mix, xxh64
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Children of an index node.
 FAN = 8
-#: Fingerprints of a part, and the most parts there are (their nodes are broadcast: 64 kB).
-PART, MOST_PARTS = 10_000, 4096
+#: Fingerprints of a part, and how many parts there are at least and at most (their nodes are broadcast: 64 kB). A fingerprint
+#: visits about as many parts as log2(parts) has pairs, so this number is kept the same until parts would become too large.
+PART, LEAST_PARTS, MOST_PARTS = 10_000, 64, 4096
 
 
 def shingle_hashes(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -222,8 +223,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     prints = prints.select("node", "fp", _rank(F.col("fp")).alias("rank"))
     n = prints.count()
-    parts = min(MOST_PARTS, -(-n // PART)) or 1
-    cuts = sorted(set(prints.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
+    parts = min(MOST_PARTS, max(LEAST_PARTS, -(-n // PART)))
+    cuts = sorted(set(prints.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []))
     edges = np.array(cuts, np.int64)
 
     @F.arrow_udf("int")

@@ -154,9 +154,9 @@ def test_simhash(odd, odd_rows, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize(("part", "radius"), [(10_000, 2), (40, 2), (7, 1), (40, 0)])
-def test_links_of_random_fingerprints(spark, monkeypatch, part, radius):
-    monkeypatch.setattr(simhash, "PART", part)
+@pytest.mark.parametrize(("parts", "radius"), [(1, 2), (25, 2), (140, 1), (25, 0)])
+def test_links_of_random_fingerprints(spark, monkeypatch, parts, radius):
+    monkeypatch.setattr(simhash, "LEAST_PARTS", parts)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
     x = base[rng.integers(0, 60, 900)]
