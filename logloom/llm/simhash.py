@@ -29,7 +29,7 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 FAN = 8
 #: Fingerprints of a part, and how many parts there are at least and at most (their nodes are broadcast: 64 kB). A fingerprint
 #: visits about as many parts as log2(parts) has pairs, so this number is kept the same until parts would become too large.
-PART, LEAST_PARTS, MOST_PARTS = 10_000, 64, 4096
+PART, LEAST_PARTS, MOST_PARTS = 50_000, 64, 4096
 
 
 def shingle_hashes(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +254,8 @@ WIDE, SUBSETS, EACH = 8, 12, 4
 SUBSET_RADIUS = 1
 #: Documents that are compared because one subset is alike; where it is more, two have to be alike, and then three.
 ALIKE, DEPTH = 2000, 3
-#: Similarity from which a document is compared through its leader only.
-LEADER = 0.9
+#: Standard deviations by which fingerprints may be further apart than those of similar texts are on average.
+SLACK = 2.5
 
 
 def majority(h: np.ndarray, edge: np.ndarray, words: int = 1) -> np.ndarray:
@@ -317,25 +317,31 @@ def differing(similarity: float, sigmas: float = 0.0) -> int:
     return int(64 * WIDE * p + sigmas * math.sqrt(64 * WIDE * p * (1 - p)))
 
 
-def leaders(x: np.ndarray, tight: int, loose: int) -> list[tuple[int, int]]:
-    """(row, leader) for every leader from which a row of x (wide fingerprints) differs in at most loose bits.
+def spanning(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a minimum spanning forest of rows of x (wide fingerprints), as far as they differ in at most limit bits.
 
-    A row from which no earlier leader is within tight bits is a leader itself, for the rows after it.
+    The tree grows by the row that is nearest to it, so no pairs are held; where none is near enough, another one begins.
     """
-    lead, rows, n = [0], x.copy(), 1
-    rows[0], out = x[0], []
-    for i in range(1, len(x)):
-        far = np.bitwise_count(rows[:n] ^ x[i]).sum(1, dtype=np.int32)
-        out += [(i, lead[k]) for k in np.flatnonzero(far <= loose).tolist()]
-        if far.min() > tight:
-            lead.append(i)
-            rows[n] = x[i]
-            n += 1
-    return out
-
-
-def _candidates(tight: int, loose: int):
-    """a, b: nodes to compare, of rows (key, node, wide) sorted by key and node."""
+    n = len(x)
+    best, by = np.full(n, 1 << 30), np.zeros(n, np.int64)
+    left = np.arange(n)
+    now, a, b = 0, [], []
+    left = left[1:]
+    while len(left):
+        far = np.bitwise_count(x[left] ^ x[now]).sum(1, dtype=np.int64)
+        nearer = far < best[left]
+        best[left[nearer]], by[left[nearer]] = far[nearer], now
+        k = int(best[left].argmin())
+        now = int(left[k])
+        if best[now] <= limit:
+            a.append(now)
+            b.append(by[now])
+        left = np.delete(left, k)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _candidates(limit: int):
+    """a, b: nodes to compare, of rows (key, node, wide) sorted by key and node; fewer than the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "key", 4096):
@@ -344,15 +350,14 @@ def _candidates(tight: int, loose: int):
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             size = np.diff(edge)
             two = edge[:-1][size == 2]
-            two = two[np.bitwise_count(x[two] ^ x[two + 1]).sum(1, dtype=np.int32) <= loose]
-            a, b = (two + 1).tolist(), two.tolist()
+            two = two[np.bitwise_count(x[two] ^ x[two + 1]).sum(1, dtype=np.int32) <= limit]
+            parts = [(two + 1, two)]
             for k in np.flatnonzero(size > 2):
                 lo = int(edge[k])
-                for i, j in leaders(x[lo : int(edge[k + 1])], tight, loose):
-                    a.append(lo + i)
-                    b.append(lo + j)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+                i, j = spanning(x[lo : int(edge[k + 1])], limit)
+                parts.append((lo + i, lo + j))
+            a, b = (node[np.concatenate(v)] for v in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return run
 
@@ -388,7 +393,7 @@ def _meetings(nodes: DataFrame) -> DataFrame:
     """key, node, wide of nodes (node, wide, blocks): who is compared with whom.
 
     Nodes meet in a block. Where more than ALIKE of them do, they have to share a second block,
-    and then a third; what is left above ALIKE then is compared in one task by its leaders.
+    and then a third; what is left above ALIKE then is compared in one task, along its spanning forest.
     """
     rows = nodes.select("node", F.explode("blocks").alias("b")).select("node", F.array("b").alias("met"))
     out = None
@@ -414,11 +419,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
 
     Fingerprints of whole texts of that similarity are too far apart for an index. So documents
     are found by fingerprints of subsets of their shingles, which the Gray-order index links
-    within SUBSET_RADIUS bits. Documents that meet so, and whose wide fingerprints are no
-    further apart than such texts' can be, are compared by their shingles; they are linked if
-    their Jaccard similarity is at least `similarity`. A document that is very like an earlier
-    one (LEADER) is compared with others through that one. Documents with equal sets are one
-    row from the start, null and blank texts among them. component_id is the smallest doc_id of a group.
+    within SUBSET_RADIUS bits. Among documents that meet so, the links of a minimum spanning
+    forest over wide fingerprints are candidates, as long as these are no further apart than
+    such texts' can be: each is compared with those most like it. Candidates are linked if the Jaccard similarity of their
+    shingles is at least `similarity`. Documents with equal sets are one row from the start,
+    null and blank texts among them. component_id is the smallest doc_id of a group.
     """
     source = docs.where("doc_id is not null")
     thin = checkpointed(map_docs(source.select("doc_id", "text"), ["doc_id"], "sig bigint, wide binary, keys array<bigint>", lambda c: sketches(c, shingle)))
@@ -430,7 +435,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     blocks = blocks.groupBy("node").agg(F.sort_array(F.collect_set(F.coalesce("block", "fp"))).alias("blocks"))
     met = _meetings(checkpointed(kept.select("node", "wide").join(blocks, "node")))
     ordered = met.repartition("key").sortWithinPartitions("key", "node")
-    pairs = checkpointed(ordered.mapInArrow(_candidates(differing(LEADER), differing(similarity, 2.5)), "a bigint, b bigint").distinct())
+    pairs = checkpointed(ordered.mapInArrow(_candidates(differing(similarity, SLACK)), "a bigint, b bigint").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = checkpointed(source.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
     told = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "other"}), "b")

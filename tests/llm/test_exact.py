@@ -207,19 +207,27 @@ def test_joined_members():
         assert simhash.joined(up, a, b).tolist() == [forest.root(i) for i in range(n)]
 
 
-def test_leaders():
+def test_spanning_forests():
+    """As many links as a forest of all pairs has, of the same lengths, each within the limit."""
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, (5, simhash.WIDE), dtype=np.uint64)
     x = base[rng.integers(0, 5, 120)]
     for _ in range(40):
         x[np.arange(120), rng.integers(0, simhash.WIDE, 120)] ^= np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)
     far = np.bitwise_count(x[:, None] ^ x[None]).sum(2)
-    for tight, loose in ((10, 80), (60, 70), (70, 70)):
-        got, lead = simhash.leaders(x, tight, loose), [0]
-        for i in range(1, 120):
-            assert [j for k, j in got if k == i] == [j for j in lead if far[i, j] <= loose]
-            if all(far[i, j] > tight for j in lead):
-                lead.append(i)
+    for limit in (0, 30, 60, 70, 80, 512):
+        forest, want = Forest(120), []
+        for d, i, j in sorted((int(far[i, j]), i, j) for i in range(120) for j in range(i)):
+            if d <= limit and forest.root(i) != forest.root(j):
+                forest.join(i, j)
+                want.append(d)
+        a, b = simhash.spanning(x, limit)
+        assert sorted(far[a, b].tolist()) == want
+        own = Forest(120)
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            own.join(i, j)
+        assert [own.root(i) for i in range(120)] == [forest.root(i) for i in range(120)]
+    assert all(not len(v) for v in simhash.spanning(x[:1], 512))
 
 
 def test_similarity_of_sets():

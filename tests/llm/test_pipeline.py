@@ -66,6 +66,7 @@ def test_near_groups_against_all_pairs(spark, copies, monkeypatch, alike):
                 joined.join(i, j)
             if sets[i] == sets[j]:
                 assert got[i] == got[j]
+    print(f'{found} of {wanted} pairs found')
     assert wanted > 500 and found / wanted > 0.97
     # no group reaches beyond what links of similar texts reach
     assert all(joined.root(i) == joined.root(c) for i, c in got.items())
