@@ -19,12 +19,11 @@ BODIES = ("preview", "request_id", "stream_content", "request", "response")
 def latest(calls: DataFrame) -> DataFrame:
     """The last appended version of each request id within its day.
 
-    The greatest append_seq is found by an aggregate, which combines before it shuffles, and
-    rides along with the row as a struct; filters have to come after.
+    One scan and one shuffle: each task drops the versions that it can see are superseded
+    before the rows are dealt out. Filters have to come after.
     """
-    rest = [c for c in calls.columns if c not in VERSION]
-    top = calls.groupBy(*VERSION).agg(F.max_by(F.struct(*rest), F.struct("append_seq")).alias("_row"))
-    return top.select(*VERSION, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*calls.columns)
+    nth = F.row_number().over(Window.partitionBy(*VERSION).orderBy(F.desc("append_seq")))
+    return calls.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def latest_wide(calls: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import providers as P
 from logloom.functions.scalars import clip_bytes, day_of, epoch_of, frt_ms, host_of
-from logloom.operators.lines import admitted, valid_json
+from logloom.operators.lines import admitted, parsed_strictly
 
 UNKNOWN_SAMPLES, UNKNOWN_BYTES = 20, 4000
 
@@ -16,16 +16,18 @@ def with_chunks(events: DataFrame) -> DataFrame:
     """Events with what their stream chunk, if they are one, says: state is payload, empty, unknown or nothing."""
     body = F.regexp_extract("body", r"(?s)^data:\s*(.*?)\s*\z", 1)
     real = (F.col("kind") == "chunk") & F.coalesce(~body.isin("", "[DONE]"), F.lit(False))
-    rows = events.withColumn("_raw", F.when(real, body)).withColumn("_chunk", F.from_json("_raw", P.CHUNK))
+    rows = events.withColumn("_raw", F.when(real, body))
+    valid, value = parsed_strictly(F.col("_raw"), P.struct_of(P.CHUNK))
+    rows = rows.select("*", valid.alias("_valid"), value.alias("_chunk"))
     c = F.col("_chunk")
-    good = F.coalesce(valid_json(F.col("_raw")), F.lit(False)) & F.startswith("_raw", F.lit("{"))
+    good = F.col("_valid") & F.startswith("_raw", F.lit("{"))
     state = F.when(F.col("_raw").isNull(), F.lit(None)).when(~good, "unknown").when(P.has_payload(c), "payload").when(P.known_empty(c), "empty").otherwise("unknown")
     rows = rows.withColumn("state", state)
     use = lambda v: F.when(F.col("state") == "payload", v)
     return rows.select(
         "*", use(P.chunk_text(c)).alias("c_text"), use(P.chunk_reasoning(c)).alias("c_reasoning"), use(P.chunk_fragments(c)).alias("c_fragments"), use(P.chunk_usage(c)).alias("c_usage"),
         F.when(F.col("state") == "unknown", clip_bytes(F.col("_raw"), UNKNOWN_BYTES)).alias("c_unknown"),
-    ).drop("_raw", "_chunk")
+    ).drop("_raw", "_valid", "_chunk")
 
 
 def gathered(events: DataFrame) -> DataFrame:

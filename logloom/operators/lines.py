@@ -7,23 +7,43 @@ from pyspark.sql import functions as F
 
 from logloom.functions.scalars import clip_bytes
 
-_LINE = r"(?s)^\[([A-Z]+)\]\s+(\d{4}/\d{2}/\d{2})\s+-\s+(\d{2}:\d{2}:\d{2})\s+\|\s+(.*)\z"
-_RID = r"(?s)^([A-Za-z0-9]{24,})\s+\|\s+(.*)\z"
-_ACCESS = r"^(relay|api)\s+\|\s+([A-Za-z0-9]{24,})\s+\|\s+(\d{3})\s+\|\s+(\S+)\s+\|\s+(\S+)\s+\|\s+([A-Z]+)\s+(\S+)"
-
+# The log format's line grammar and message markers.
+_DATE, _TIME, _BAR, _ID = r"(\d{4}/\d{2}/\d{2})", r"(\d{2}:\d{2}:\d{2})", r"\s+\|\s+", r"([A-Za-z0-9]{24,})"
+_REST = r"(.*)\z"
+_LINE = rf"(?s)^\[([A-Z]+)\]\s+{_DATE}\s+-\s+{_TIME}{_BAR}{_REST}"
+_RID = rf"(?s)^{_ID}{_BAR}{_REST}"
+_ACCESS = _BAR.join([r"^(relay|api)", _ID, r"(\d{3})", r"(\S+)", r"(\S+)", r"([A-Z]+)\s+(\S+)"])
 REQUEST = ("text request body:", "requestBody:", "Gemini request body:", "Rerank request body:")
 RESPONSE = ("upstream response body:", "Gemini response body:", "Gemini native response body:", "Gemini responses response body:", "responseBody:", "reranker response body:")
 CHUNK, URL, BILL = "stream scanner data:", "fullRequestURL:", "record consume log:"
+
 ERROR_BYTES = 2000
+#: The JSON parser's leniencies, off.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def parsed_strictly(text: Column, kind: str = "") -> tuple[Column, Column]:
+    """Whether a text is exactly one JSON value by the strict grammar, and that value if it is of the kind (a DDL type) asked for.
+
+    Spark's parsers stop at the end of a value, whatever follows. So the text is put into an
+    object before a closing member, which is found only if the text neither ends the object nor is
+    damaged; and into a list, which has one item only if it brings no members of its own.
+    """
+    held = F.from_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')), f"value {kind}, end int" if kind else "end int", STRICT)
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(alone & held["end"].isNotNull(), F.lit(False)), held["value"] if kind else held["end"]
 
 
 def valid_json(text: Column) -> Column:
-    """Whether a text is exactly one JSON value."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False)) & (F.trim(text) != "")
+    """Whether a text is exactly one JSON value by the strict grammar (nested no more than 1,000 deep); false for null."""
+    return parsed_strictly(text)[0]
 
 
 def admitted(body: Column) -> Column:
-    """A body as it is kept: null unless valid, line breaks between its parts removed."""
+    """A body as it is kept: null unless valid, line breaks between its parts removed.
+
+    In valid JSON a line break stands between parts only.
+    """
     text = F.trim(body)
     return F.when(valid_json(text) & (text != "null"), F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, r"\s*\n\s*", "")).otherwise(text))
 

@@ -1,7 +1,7 @@
 """Dashboard aggregates.
 
-All measures are sums, counts and maxima, so the calls are read and shuffled once into cells
-by bucket, weekday, hour, model, token and channel, and every breakdown rolls those up.
+All measures are sums and maxima over calls, so every breakdown is one aggregate that combines
+before it shuffles, and all of them together are one aggregate over grouping sets.
 """
 
 from __future__ import annotations
@@ -52,51 +52,62 @@ def unknown_time(calls: DataFrame) -> DataFrame:
 
 
 def cells(calls: DataFrame, granularity: str = "day") -> DataFrame:
-    """Additive measures of latest calls (with channel_name) by all dimensions; calls without a time are left out."""
+    """All dimensions and measures of each of the latest calls (with channel_name) that has a time.
+
+    This is a projection: each breakdown adds the measures up by its own keys, before it
+    shuffles anything.
+    """
     known = outcome_of(F.col("outcome"), F.col("status"))
-    pt, ct = F.col("prompt_tokens"), F.col("completion_tokens")
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    latency = duration_ms(F.col("latency"))
-    rows = timed(calls).select("*", known.alias("_known"), latency.alias("_latency"))
+    pt, ct, zero = F.col("prompt_tokens"), F.col("completion_tokens"), F.lit(0)
+    counted = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    added = lambda c: F.coalesce(c, zero).cast("bigint")
+    rows = timed(calls).select("*", known.alias("_known"), duration_ms(F.col("latency")).alias("_latency"))
     date = F.try_to_timestamp(F.substring("ts", 1, 10), F.lit("yyyy/MM/dd"))
     hour = F.substring("ts", 12, 2).try_cast("int")
-    return rows.groupBy(
+    values = {
+        "requests": F.lit(1).cast("bigint"),
+        **{n: counted(F.col("_known") == v) for n, v in (("ok", "ok"), ("err", "error"), ("unknown", ""))},
+        "quota": added(F.col("quota")),
+        "quota_count": counted(F.col("quota").isNotNull()),
+        "tokens": added(F.coalesce(pt, zero) + F.coalesce(ct, zero)),
+        "prompt_tokens": added(pt),
+        "completion_tokens": added(ct),
+        "token_count": counted(pt.isNotNull() | ct.isNotNull()),
+        "cached": added(F.col("cached_tokens")),
+        "cached_count": counted(F.col("cached_tokens").isNotNull()),
+        "reasoning": added(F.col("reasoning_tokens")),
+        "reasoning_count": counted(F.col("reasoning_tokens").isNotNull()),
+        "lat_sum": added(F.col("_latency")),
+        "lat_count": counted(F.col("_latency").isNotNull()),
+        "frt_sum": added(F.col("frt_ms")),
+        "frt_count": counted(F.col("frt_ms").isNotNull()),
+        "streamed": counted(F.col("is_stream")),
+        "with_tools": counted(F.col("has_tools")),
+        "tool_defs": added(F.when(F.col("has_tools"), F.col("tool_count"))),
+        "token_name_count": counted(F.coalesce(F.col("token_name"), F.lit("")) != ""),
+        "lat_max": added(F.col("_latency")),
+        "frt_max": added(F.col("frt_ms")),
+    }
+    return rows.select(
         bucket_key(F.col("ts"), granularity).alias("bucket"),
         F.weekday(date).alias("dow"),
         F.when(hour.between(0, 23), hour).alias("hour"),
         F.coalesce(F.nullif("model", F.lit("")), F.lit(NO_MODEL)).alias("model"),
         F.coalesce(F.nullif("token_name", F.lit("")), F.lit(NO_TOKEN)).alias("token"),
         channel_of().alias("channel"),
-    ).agg(
-        F.count("*").alias("requests"),
-        *[F.count_if(F.col("_known") == v).alias(n) for n, v in (("ok", "ok"), ("err", "error"), ("unknown", ""))],
-        zero("quota").alias("quota"),
-        F.count("quota").alias("quota_count"),
-        zero(F.coalesce(pt, F.lit(0)) + F.coalesce(ct, F.lit(0))).alias("tokens"),
-        zero(pt).alias("prompt_tokens"),
-        zero(ct).alias("completion_tokens"),
-        F.count_if(pt.isNotNull() | ct.isNotNull()).alias("token_count"),
-        zero("cached_tokens").alias("cached"),
-        F.count("cached_tokens").alias("cached_count"),
-        zero("reasoning_tokens").alias("reasoning"),
-        F.count("reasoning_tokens").alias("reasoning_count"),
-        zero("_latency").alias("lat_sum"),
-        F.count("_latency").alias("lat_count"),
-        zero("frt_ms").alias("frt_sum"),
-        F.count("frt_ms").alias("frt_count"),
-        F.count_if("is_stream").alias("streamed"),
-        F.count_if("has_tools").alias("with_tools"),
-        zero(F.when(F.col("has_tools"), F.col("tool_count"))).alias("tool_defs"),
-        F.count_if(F.coalesce(F.col("token_name"), F.lit("")) != "").alias("token_name_count"),
-        F.coalesce(F.max("_latency"), F.lit(0)).alias("lat_max"),
-        F.coalesce(F.max("frt_ms"), F.lit(0)).alias("frt_max"),
+        *[v.alias(n) for n, v in values.items()],
     )
 
 
+def _added() -> list[Column]:
+    """The measures of rows added up."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in SUMS]
+    return [*sums, *[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in MAXIMA]]
+
+
 def rolled(table: DataFrame, *keys: str | Column) -> DataFrame:
     """Measures of cells by fewer dimensions."""
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in SUMS]
-    return table.groupBy(*keys).agg(*sums, *[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in MAXIMA])
+    return table.groupBy(*keys).agg(*_added())
 
 
 def kpi(table: DataFrame) -> DataFrame:
@@ -133,11 +144,15 @@ def fold_tokens(table: DataFrame, top: int = 12) -> DataFrame:
     return fold(table, "token", top, ["quota", "requests"])
 
 
-def axis(spark: SparkSession, since: int, until: int, granularity: str) -> DataFrame:
-    """key of every bucket from since to until; days and weeks step by the calendar, hours by 3600 seconds."""
+def _axis(since: int, until: int, granularity: str) -> Column:
+    """Keys of all buckets from since to until; days and weeks step by the calendar, hours by 3600 seconds."""
     unit, step, pattern = {"hour": ("hour", "interval 1 hour", "yyyyMMddHH"), "day": ("day", "interval 1 day", "yyyyMMdd"), "week": ("week", "interval 7 days", "yyyyMMdd")}[granularity]
     cut = lambda s: F.date_trunc(unit, F.timestamp_seconds(F.lit(s)))
-    return spark.range(1).select(F.explode(F.sequence(cut(since), cut(until), F.expr(step))).alias("t")).select(F.date_format("t", pattern).alias("bucket")).distinct()
+    return F.array_distinct(F.transform(F.sequence(cut(since), cut(until), F.expr(step)), lambda t: F.date_format(t, pattern)))
+
+
+def axis(spark: SparkSession, since: int, until: int, granularity: str) -> DataFrame:
+    return spark.range(1).select(F.explode(_axis(since, until, granularity)).alias("bucket"))
 
 
 def series(table: DataFrame, since: int, until: int, granularity: str) -> DataFrame:
@@ -166,19 +181,78 @@ def weekday_hours(table: DataFrame) -> DataFrame:
     return grid.join(found, ["dow", "hour"], "left").select("dow", "hour", F.coalesce("requests", F.lit(0)).cast("bigint").alias("requests"))
 
 
+#: Breakdowns of a dashboard: their keys, and for top lists how many rows and by which measures.
+_BREAKDOWNS: dict[str, tuple[tuple[str, ...], int, tuple[str, ...]]] = {
+    "total": ((), 0, ()),
+    "series": (("bucket",), 0, ()),
+    "hours": (("hour",), 0, ()),
+    "dow_hours": (("dow", "hour"), 0, ()),
+    "by_model": (("model",), 7, ("requests", "requests")),
+    "by_channel": (("channel",), 10, ("requests", "requests")),
+    "by_token": (("token",), 12, ("quota", "requests")),
+}
+
+
 def dashboard(table: DataFrame, since: int, until: int, granularity: str) -> DataFrame:
-    """One row with the totals and all breakdowns as arrays."""
-    parts = {
-        "series": (series(table, since, until, granularity), ["bucket"]),
-        "by_model": (fold_models(table), ["position"]),
-        "by_token": (fold_tokens(table), ["position"]),
-        "by_channel": (fold_channels(table), ["position"]),
-        "hours": (hours(table), ["hour"]),
-        "dow_hours": (weekday_hours(table), ["dow", "hour"]),
+    """One row with the totals and all breakdowns as arrays.
+
+    The calls are read once and added up by all breakdowns' keys in one aggregate. What
+    follows works on its few rows: values of top lists are ranked in parts first, as in fold(), all lists at
+    once; the last step fills the empty places of axes.
+    """
+    measures = (*SUMS, *MAXIMA)
+    number = {d: 1 << (len(DIMENSIONS) - 1 - i) for i, d in enumerate(DIMENSIONS)}
+    level = {sum(number.values()) - sum(number[d] for d in keys): name for name, (keys, _, _) in _BREAKDOWNS.items()}
+    sums = table.groupingSets([list(keys) for keys, _, _ in _BREAKDOWNS.values()], *DIMENSIONS).agg(F.grouping_id().alias("_level"), *_added())
+    kind, name, top, first, second = F.lit(None), F.lit(None), F.lit(1 << 30), F.lit(0), F.lit(0)
+    for n, k in level.items():
+        keys, most, order = _BREAKDOWNS[k]
+        at = F.col("_level") == n
+        kind = F.when(at, k).otherwise(kind)
+        if most:
+            name, top = F.when(at, F.col(keys[0])).otherwise(name), F.when(at, most).otherwise(top)
+            first, second = F.when(at, F.col(order[0])).otherwise(first), F.when(at, F.col(order[1])).otherwise(second)
+    listed = sums.select(kind.alias("kind"), name.alias("name"), top.alias("top"), "bucket", "dow", "hour", *measures, first.alias("_first"), second.alias("_second"))
+    best = [F.desc("_first"), F.desc("_second"), F.asc("name")]
+    near = F.row_number().over(Window.partitionBy("kind", F.pmod(F.xxhash64("name"), F.lit(PARTS))).orderBy(*best))
+    ranked = listed.withColumn("_rest", F.col("name").isNotNull() & (near > F.col("top")))
+    own = lambda c: F.when(~F.col("_rest"), F.col(c)).alias(c)
+    few = rolled(ranked, "kind", "top", "bucket", "dow", "hour", own("name"), "_rest", own("_first"), own("_second"))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("_rest", *best))
+    placed = few.withColumn("position", F.when(F.col("name").isNotNull() | F.col("_rest"), F.least(nth, F.col("top") + 1)))
+    called = F.when(F.col("position") > F.col("top"), OTHER).otherwise(F.col("name")).alias("name")
+    rows = rolled(placed, "kind", "bucket", "dow", "hour", "position", called)
+
+    def array(k: str, *fields: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(*fields))))
+
+    lists = {
+        "by_model": array("by_model", F.col("position"), F.col("name").alias("model"), *map(F.col, measures)),
+        "by_token": array("by_token", F.col("position"), F.col("name").alias("token"), *map(F.col, measures)),
+        "by_channel": array("by_channel", F.col("position"), F.col("name").alias("channel"), *map(F.col, measures)),
     }
-    out = kpi(table).withColumn("_one", F.lit(1))
-    for name, (df, keys) in parts.items():
-        rest = [c for c in df.columns if c not in keys]
-        one = df.agg(F.array_sort(F.collect_list(F.struct(*keys, *rest))).alias(name)).withColumn("_one", F.lit(1))
-        out = out.join(one, "_one")
-    return out.drop("_one")
+    cell = lambda k, key, value: F.map_from_entries(F.collect_list(F.when((F.col("kind") == k) & key.isNotNull(), F.struct(key.alias("k"), value.alias("v")))))
+    grid = (F.col("dow") * 24 + F.col("hour")).cast("int")
+    one = rows.agg(
+        *[F.coalesce(F.max(F.when(F.col("kind") == "total", F.col(c))), F.lit(0)).alias(c) for c in measures],
+        *[v.alias(n) for n, v in lists.items()],
+        cell("series", F.col("bucket"), F.struct(*measures)).alias("_series"),
+        cell("hours", F.col("hour"), F.col("requests")).alias("_hours"),
+        cell("dow_hours", grid, F.col("requests")).alias("_grid"),
+    )
+    zeros = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in measures])
+    keys = _axis(since, until, granularity) if 0 < since <= until else F.array_sort(F.map_keys("_series"))
+
+    def bucket(k: Column) -> Column:
+        v = F.coalesce(F.try_element_at("_series", k), zeros)
+        return F.struct(k.alias("bucket"), bucket_label(k).alias("label"), *[v[c].alias(c) for c in measures])
+
+    count = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0)).cast("bigint").alias("requests")
+    slots = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("int"))
+    return one.select(
+        *measures,
+        F.transform(keys, bucket).alias("series"),
+        *lists,
+        F.transform(slots(24), lambda i: F.struct(i.alias("hour"), count("_hours", i))).alias("hours"),
+        F.transform(slots(168), lambda i: F.struct(F.floor(i / 24).cast("int").alias("dow"), (i % 24).alias("hour"), count("_grid", i))).alias("dow_hours"),
+    )

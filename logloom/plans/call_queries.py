@@ -155,10 +155,19 @@ _filtered("filter_combined", "model = 'm3' AND known = 'ok' AND has_tools AND is
 _filtered("tool_membership", "list_contains(tool_names, 'tool-2')", tool_name="tool-2")
 
 
-@_query("search_calls", "SELECT request_id, preview FROM latest WHERE contains(lower(preview), 'by user7') OR contains(lower(request_id), 'by user7')")
+@_query("search_calls", """SELECT request_id, preview FROM latest WHERE contains(lower(preview), 'by user7') OR contains(request_id, 'by user7') OR event_type = 'signup' AND user_id % 10 = 7
+    OR event_type = 'click' AND k % 20 = 7 OR event_type = 'error' AND event_id % 9 = 0""")
 def search_calls(spark, sf_dir):
-    bodies = {c: F.lit(None).cast("string") for c in ("stream_content", "request", "response")}
-    return C.matching(calls(spark, sf_dir).withColumns(bodies), C.CallFilter(search="BY User7")).select("request_id", "preview")
+    """A text that may stand in any of the five searched columns; the others are never looked at."""
+    rows = calls(spark, sf_dir, ("event_type", "user_id", "event_id", "k"))
+    found = lambda when, text: F.when(F.expr(when), F.lit(text))
+    bodies = {
+        "request": found("event_type = 'signup' AND user_id % 10 = 7", '{"q":"made By USER7"}'),
+        "response": found("event_type = 'click' AND k % 20 = 7", '{"by user7":1}'),
+        "stream_content": found("event_type = 'error' AND event_id % 9 = 0", "x by user7"),
+        "billing": F.lit("by user7"),
+    }
+    return C.matching(rows.withColumns(bodies), C.CallFilter(search="BY User7")).select("request_id", "preview")
 
 
 @_query("search_text", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the')")
@@ -223,7 +232,35 @@ def host_of(spark, sf_dir):
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and all breakdowns of a range in one row."""
     return stats.dashboard(_cells(spark, sf_dir), SINCE, UNTIL, "day")
 
 
-QUERIES["dashboard"] = dashboard
+def _array(fields: str, source: str, order: str) -> str:
+    return f"(SELECT CAST(to_json(list(struct_pack({fields}) ORDER BY {order})) AS VARCHAR) FROM {source})"
+
+
+def _dashboard_sql() -> str:
+    own = ", ".join(f"{m} := {m}" for m in MEASURES)
+    sums = ", ".join(f"CAST({'max' if m.endswith('_max') else 'sum'}({m}) AS BIGINT) AS {m}" for m in MEASURES)
+    key, step, bucket, label = _AXES["day"]
+    ctes, arrays = [], []
+    for name, dim, value, top, order in (("by_model", "model", "model_key", 7, "requests DESC"), ("by_channel", "channel", "channel", 10, "requests DESC"), ("by_token", "token", "token_key", 12, "quota DESC, requests DESC")):
+        ctes += [f"{name}_g AS (SELECT {value} AS v, {AGGREGATES} FROM timed GROUP BY 1)", f"{name}_r AS (SELECT *, row_number() OVER (ORDER BY {order}, v) AS nth FROM {name}_g)"]
+        ctes += [f"{name}_f AS (SELECT CAST(LEAST(nth, {top + 1}) AS INT) AS position, CASE WHEN nth <= {top} THEN v ELSE 'other' END AS name, {sums} FROM {name}_r GROUP BY 1, 2)"]
+        arrays.append(f"{_array(f'position := position, {dim} := name, {own}', f'{name}_f', 'position')} AS {name}")
+    ctes += [f"axis AS (SELECT {key} AS key FROM generate_series(date_trunc('day', make_timestamp({SINCE}::BIGINT * 1000000)), date_trunc('day', make_timestamp({UNTIL}::BIGINT * 1000000)), {step}) g(t))"]
+    ctes += [f"b AS (SELECT {bucket} AS bkey, {AGGREGATES} FROM timed GROUP BY 1)", f"s AS (SELECT key AS bucket, {label} AS label, {_ZEROED} FROM axis LEFT JOIN b ON b.bkey = axis.key)"]
+    ctes += ["h AS (SELECT CAST(h AS INT) AS hour, count(hr) AS requests FROM range(24) t(h) LEFT JOIN timed ON hr = h GROUP BY 1)"]
+    ctes += ["w AS (SELECT CAST(i // 24 AS INT) AS dow, CAST(i % 24 AS INT) AS hour, count(hr) AS requests FROM range(168) t(i) LEFT JOIN timed ON hr = i % 24 AND isodow(strptime(dkey, '%Y%m%d')) - 1 = i // 24 GROUP BY 1, 2)"]
+    arrays.append(f"{_array(f'bucket := bucket, label := label, {own}', 's', 'bucket')} AS series")
+    arrays.append(f"{_array('hour := hour, requests := requests', 'h', 'hour')} AS hours")
+    arrays.append(f"{_array('dow := dow, hour := hour, requests := requests', 'w', 'dow, hour')} AS dow_hours")
+    return f", {', '.join(ctes)}, k AS (SELECT {AGGREGATES} FROM timed) SELECT *, {', '.join(arrays)} FROM k"
+
+
+@_query("dashboard", _dashboard_sql())
+def dashboard_as_text(spark, sf_dir):
+    """dashboard() with its arrays as JSON text."""
+    row = dashboard(spark, sf_dir)
+    return row.select(*[F.to_json(n).alias(n) if t.startswith("array") else F.col(n) for n, t in row.dtypes])

@@ -42,7 +42,7 @@ _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 # --- a whole log, written from conversations
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries (value, file, ord): for each conversation a request, a chunk for each answer, a bill and an access line."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rid = F.concat(F.lit("Conv"), F.lpad(F.col("conv_id").cast("string"), 24, "0"))
@@ -73,18 +73,18 @@ _CONV = """WITH c AS (SELECT conv_id, count(*) AS msg_count, count(*) FILTER (ro
     COALESCE(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS answer, count(*) FILTER (role = 'assistant') AS chunks FROM conversations GROUP BY 1)"""
 
 
-_FOLDED = _CONV + """ SELECT 'Conv' || lpad(conv_id::VARCHAR, 24, '0') AS request_id, '20260115' AS day_key, 'm' || conv_id % 3 AS model, msg_count::INT AS msg_count, turns::INT AS turns,
+FOLDED = _CONV + """ SELECT 'Conv' || lpad(conv_id::VARCHAR, 24, '0') AS request_id, '20260115' AS day_key, 'm' || conv_id % 3 AS model, msg_count::INT AS msg_count, turns::INT AS turns,
     preview, answer AS stream_content, chunks::INT AS chunk_count, conv_id AS quota, msg_count AS prompt_tokens,
     CASE WHEN conv_id % 5 = 0 THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN conv_id % 5 = 0 THEN 'http_500' ELSE 'http_200' END AS outcome_reason FROM c"""
 
 
-def _folded(calls: DataFrame) -> DataFrame:
+def folded_columns(calls: DataFrame) -> DataFrame:
     return calls.select("request_id", F.col("day").alias("day_key"), "model", "msg_count", "turns", "preview", "stream_content", "chunk_count", "quota", "prompt_tokens", "outcome", "outcome_reason")
 
 
-@_query("fold_log", _FOLDED)
+@_query("fold_log", FOLDED)
 def fold_log(spark, sf_dir):
-    return _folded(fold(classify(_log(spark, sf_dir))))
+    return folded_columns(fold(classify(conversation_log(spark, sf_dir))))
 
 
 @_query("stream_concat", "SELECT conv_id, COALESCE(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS content FROM conversations GROUP BY 1")
@@ -98,7 +98,7 @@ def stream_concat(spark, sf_dir):
 @_query("parse_log", """SELECT kind, level, count(*) AS n FROM (SELECT DISTINCT conv_id, 'request' AS kind, 'DEBUG' AS level FROM conversations UNION ALL SELECT conv_id, 'chunk', 'DEBUG' FROM conversations WHERE role = 'assistant'
     UNION ALL SELECT DISTINCT conv_id, 'billing', 'INFO' FROM conversations UNION ALL SELECT DISTINCT conv_id, 'access', 'GIN' FROM conversations) GROUP BY 1, 2""")
 def parse_log(spark, sf_dir):
-    return classify(_log(spark, sf_dir)).groupBy("kind", "level").agg(F.count("*").alias("n"))
+    return classify(conversation_log(spark, sf_dir)).groupBy("kind", "level").agg(F.count("*").alias("n"))
 
 
 @_query("conversation_counts", _CONV + " SELECT conv_id, msg_count::INT AS msg_count, turns::INT AS turns, preview FROM c")
@@ -186,22 +186,29 @@ def outcome_ladder(spark, sf_dir):
 # --- store and maintenance
 
 
+#: What JSON would escape.
+_ESCAPED = r'["\\\x00-\x1f]'
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("lang").alias("day"), F.col("doc_id").cast("string").alias("request_id"), F.lit(1).cast("bigint").alias("append_seq"), F.to_json(F.struct(F.lit("m").alias("model"), F.array("text").alias("system"))).alias("request"))
+    text = F.regexp_replace("text", _ESCAPED, " ")
+    return docs.select(F.col("lang").alias("day"), F.col("doc_id").cast("string").alias("request_id"), F.lit(1).cast("bigint").alias("append_seq"), F.concat(F.lit('{"model":"m","system":"'), text, F.lit('"}')).alias("request"))
+
+
+_PLAIN = f"'\"' || regexp_replace(text, '{_ESCAPED}', ' ', 'g') || '\"'"
 
 
-@_query("blob_pool", "SELECT DISTINCT lang AS day_key, substr(sha256(text), 1, 32) AS h, length(text) AS n FROM documents WHERE octet_length(encode(text)) >= 64")
+@_query("blob_pool", f"SELECT DISTINCT lang AS day_key, substr(sha256({_PLAIN}), 1, 32) AS h, length({_PLAIN}) AS n FROM documents WHERE octet_length(encode({_PLAIN})) >= 64")
 def blob_pool(spark, sf_dir):
     _, blobs = split_requests(_requests(spark, sf_dir))
     return blobs.dropDuplicates(["day", "h"]).select(F.col("day").alias("day_key"), "h", F.length("content").cast("bigint").alias("n"))
 
 
-@_query("blob_roundtrip", "SELECT doc_id::VARCHAR AS request_id, text FROM documents")
+@_query("blob_roundtrip", f"SELECT doc_id::VARCHAR AS request_id, '{{\"model\":\"m\",\"system\":' || {_PLAIN} || '}}' AS request FROM documents")
 def blob_roundtrip(spark, sf_dir):
     split, blobs = split_requests(_requests(spark, sf_dir))
-    whole = join_requests(split, blobs.dropDuplicates(["day", "h"]))
-    return whole.select("request_id", F.from_json("request", "system array<string>")["system"][0].alias("text"))
+    return join_requests(split, blobs.dropDuplicates(["day", "h"])).select("request_id", "request")
 
 
 @_query("append_new", f"WITH {CTE} SELECT request_id, append_seq FROM versions WHERE substr(request_id, 10, 1) IN ('1', '3', '5', '7', '9') QUALIFY row_number() OVER (PARTITION BY day_key, request_id ORDER BY append_seq) = 1")

@@ -29,8 +29,8 @@ COLUMNS = {
 }
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of every ninth event, one of the others; every 97th has no time."""
+def calls(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Two versions of every ninth event, one of the others; every 97th has no time. also: columns of the events to keep."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e = e.select("*", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.explode(F.expr("CASE WHEN event_id % 9 = 0 THEN array(1, 2) ELSE array(1) END")).alias("ver"))
     timed = F.col("event_id") % 97 != 0
@@ -42,6 +42,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(timed, F.unix_timestamp(F.col("ts").cast("timestamp"))).otherwise(0).cast("bigint").alias("epoch"),
         *[F.expr(sql).cast(kind).alias(name) for name, (sql, kind) in COLUMNS.items()],
         F.expr("transform(sequence(0, cast(k % 3 as int)), i -> concat('tool-', i + user_id % 5))").alias("tool_names"),
+        *also,
     )
     return base
 
@@ -64,7 +65,7 @@ versions AS (SELECT strftime(ts, '%Y%m%d') AS day_key, 'r' || lpad(CAST(event_id
     CASE WHEN event_id % 97 <> 0 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') ELSE '' END AS tst,
     CASE WHEN event_id % 97 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) ELSE 0 END AS epoch_s,
     {', '.join(f'{_duck(sql, kind)} AS {name}' for name, (sql, kind) in COLUMNS.items())},
-    list_transform(range(0, CAST(k % 3 AS INT) + 1), lambda i: 'tool-' || CAST(i + user_id % 5 AS VARCHAR)) AS tool_names FROM ev),
+    list_transform(range(0, CAST(k % 3 AS INT) + 1), lambda i: 'tool-' || CAST(i + user_id % 5 AS VARCHAR)) AS tool_names, event_type, user_id, event_id, k FROM ev),
 latest AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY day_key, request_id ORDER BY append_seq DESC) = 1),
 chan(id, name) AS (VALUES {_NAMES}),
 known AS (SELECT l.*, COALESCE(NULLIF(outcome, ''), CASE WHEN status >= 400 THEN 'error' WHEN status IS NOT NULL THEN 'ok' END, '') AS known,

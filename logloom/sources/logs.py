@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Longest entry that is kept, in bytes.
+#: Bytes of an entry; lines beyond are left out of it, and an entry whose first line is longer is dropped.
 LONGEST = 16 << 20
 
 
@@ -28,7 +28,7 @@ def entry_of(chunk: Column) -> Column:
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """value, file, ord: the entries of all files, ord in order of file time, name and place."""
     rows = spark.read.option("lineSep", "\n[").text(path)
-    return _entries(_with_place(rows).withColumn("seq", F.monotonically_increasing_id()))
+    return entries_of(_with_place(rows).withColumn("seq", F.monotonically_increasing_id()))
 
 
 def stream_entries(spark: SparkSession, path: str, max_files: int = 1000, clean: str | None = None, archive: str | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def stream_entries(spark: SparkSession, path: str, max_files: int = 1000, clean:
         if clean == "archive":
             reader = reader.option("sourceArchiveDir", archive)
     meta = _with_place(reader.text(path))
-    return _entries(meta.mapInArrow(_numbered, f"{', '.join(f'{n} {t}' for n, t in meta.dtypes)}, seq bigint"))
+    return entries_of(meta.mapInArrow(_numbered, f"{', '.join(f'{n} {t}' for n, t in meta.dtypes)}, seq bigint"))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +54,14 @@ def _with_place(rows: DataFrame) -> DataFrame:
     return rows.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _entries(meta: DataFrame) -> DataFrame:
-    kept = meta.withColumn("value", entry_of(F.col("value"))).where(F.octet_length("value") <= LONGEST)
+def within(text: Column, most: int = LONGEST) -> Column:
+    """An entry cut back to its whole lines within so many bytes; null if the first alone is longer."""
+    head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string"))
+    lines = F.left(head, F.length(head) - F.length(F.substring_index(head, "\n", -1)) - 1)
+    return F.when(F.octet_length(text) <= most, text).when(F.contains(head, F.lit("\n")), lines)
+
+
+def entries_of(meta: DataFrame) -> DataFrame:
+    """value, file, ord of pieces of text (value) with file, mtime, block and seq."""
+    kept = meta.withColumn("value", within(entry_of(F.col("value")))).where("value is not null")
     return kept.select("value", "file", F.struct("mtime", "file", "block", "seq").alias("ord"))

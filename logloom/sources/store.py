@@ -6,18 +6,25 @@ reads prune columns, so bodies are not touched by lists and dashboards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gzip
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.providers import struct_of
 from logloom.functions.scalars import record_size
+from logloom.functions.udfs import cut_json
 from logloom.operators.calls import VERSION, first_in_batch
+from logloom.operators.lines import parsed_strictly
 
 #: Request parts of at least so many bytes are kept once a day, by content.
 LEAST_BLOB = 64
-PARTS = ("system", "messages", "tools")
+WHOLE, LISTED = ("system",), ("messages", "tools")
+REFS = "array<struct<h:string,v:string>>"
+#: Bytes of a batch as it is sent, and how many times as large its text may be.
+MOST_WIRE, MOST_INFLATED = 64 << 20, 20
 #: Records and bytes that one pushed batch holds at most.
 BATCH_RECORDS, BATCH_BYTES = 64, 8 << 20
 
@@ -50,18 +57,29 @@ class Store:
         return self._read(self.blobs_path)
 
     def append(self, calls: DataFrame) -> None:
-        """Append versions; large request parts go to the pool first, those it lacks only."""
+        """Append versions; large request parts go to the pool first, those it lacks only.
+
+        Blobs are written before the calls that point at them, so a call is never without its
+        parts; blobs of an append that failed in between are found again by the next.
+        """
         split, blobs = split_requests(calls)
-        pool = self.blobs()
-        new = blobs.dropDuplicates(["day", "h"])
-        if pool is not None:
-            new = new.join(pool.select("day", "h"), ["day", "h"], "left_anti")
-        new.write.mode("append").partitionBy("day").parquet(self.blobs_path)
-        split.write.mode("append").partitionBy("day").parquet(self.calls_path)
+        blobs = blobs.dropDuplicates(["day", "h"]).persist()
+        try:
+            pool = self.blobs()
+            new = blobs if pool is None else blobs.join(within_days(pool, blobs).select("day", "h"), ["day", "h"], "left_anti")
+            new.write.mode("append").partitionBy("day").parquet(self.blobs_path)
+            split.write.mode("append").partitionBy("day").parquet(self.calls_path)
+        finally:
+            blobs.unpersist()
 
     def append_new(self, calls: DataFrame) -> None:
-        """Append the first version of each request id that its day doesn't hold yet."""
-        self.append(fresh(calls, self.calls()))
+        """Append the first version of each request id that its day doesn't hold yet. Only the days of calls are read."""
+        calls = calls.persist()
+        try:
+            held = self.calls()
+            self.append(fresh(calls, None if held is None else within_days(held, calls)))
+        finally:
+            calls.unpersist()
 
     def inlined(self, calls: DataFrame) -> DataFrame:
         """calls with their requests whole again."""
@@ -73,68 +91,66 @@ class Store:
         calls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.calls_path)
 
 
+def within_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """What is stored for the days that rows have: a filter on the partition column, so other days aren't read. The days reach the driver."""
+    return stored.where(F.col("day").isin([r[0] for r in rows.select("day").distinct().collect()]))
+
+
 def fresh(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
     """First versions of rows whose (day, request_id) isn't in existing."""
     first = first_in_batch(rows)
     return first if existing is None else first.join(existing.select(*VERSION), list(VERSION), "left_anti")
 
 
-def _exploded(calls: DataFrame) -> DataFrame:
-    """One row for each part of each request: key, position (-1 for a whole value) and its JSON text."""
-    parts = F.from_json("request", "map<string,string>")
-    lifted = lambda k, v: k.isin(*PARTS) & F.startswith(v, F.lit("["))
-    each = F.flatten(
-        F.transform(
-            F.map_entries(parts),
-            lambda e: F.when(lifted(e["key"], e["value"]), F.transform(F.from_json(F.when(lifted(e["key"], e["value"]), e["value"]), "array<string>"), lambda v, i: F.struct(e["key"].alias("k"), i.alias("i"), v.alias("v"), F.lit(True).alias("lift")))).otherwise(
-                F.array(F.struct(e["key"].alias("k"), F.lit(-1).alias("i"), e["value"].alias("v"), e["key"].isin(*PARTS).alias("lift")))
-            ),
-        )
-    )
-    return calls.select(*VERSION, "append_seq", F.explode(each).alias("p")).select(*VERSION, "append_seq", "p.*")
+_cut = cut_json(WHOLE, LISTED)
 
 
 def split_requests(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """calls with request parts of LEAST_BLOB bytes or more replaced by pointers in refs, and the blobs (day, h, content).
 
-    refs (array of key, position, hash or text) takes the place of request where something was
-    lifted; a request that is no object, or has nothing large, stays as it is.
+    refs takes the place of request where something was lifted: pieces of its text in order,
+    each with its text, or with the hash of a blob. So a request comes back byte for byte. One that is no
+    object, or has nothing large, stays as it is.
     """
     if "refs" not in calls.columns:
-        calls = calls.withColumn("refs", F.lit(None).cast("array<struct<k:string,i:int,h:string,v:string>>"))
-    objects = calls.where(F.startswith(F.ltrim("request"), F.lit("{")) & F.col("refs").isNull())
-    parts = _exploded(objects).withColumn("h", F.when(F.col("lift") & (F.octet_length("v") >= LEAST_BLOB), blob_hash(F.col("v"))))
-    blobs = parts.where("h is not null").select("day", "h", F.col("v").alias("content"))
-    refs = parts.groupBy(*VERSION, "append_seq").agg(F.sort_array(F.collect_list(F.struct("k", "i", "h", F.when(F.col("h").isNull(), F.col("v")).alias("v")))).alias("_refs"), F.count("h").alias("_n"))
-    joined = calls.join(refs.where("_n > 0"), [*VERSION, "append_seq"], "left")
-    out = joined.withColumn("refs", F.coalesce("refs", "_refs")).withColumn("request", F.when(F.col("_refs").isNull(), F.col("request")))
+        calls = calls.withColumn("refs", F.lit(None).cast(REFS))
+    large = F.startswith(F.ltrim("request"), F.lit("{")) & (F.octet_length("request") >= LEAST_BLOB) & F.col("refs").isNull()
+    cut = calls.withColumn("_cut", _cut(F.when(large, F.col("request"))))
+    big = lambda p: p["part"] & (F.octet_length(p["v"]) >= LEAST_BLOB)
+    refs = F.transform("_cut", lambda p: F.struct(F.when(big(p), blob_hash(p["v"])).alias("h"), F.when(~big(p), p["v"]).alias("v"))).cast(REFS)
+    some = F.coalesce(F.exists("_cut", big), F.lit(False))
+    blobs = cut.select("day", F.explode(F.filter("_cut", big)).alias("p")).select("day", blob_hash(F.col("p.v")).alias("h"), F.col("p.v").alias("content"))
+    out = cut.withColumn("refs", F.when(some, refs).otherwise(F.col("refs"))).withColumn("request", F.when(~some, F.col("request")))
     return out.select(*calls.columns), blobs
 
 
 def join_requests(calls: DataFrame, pool: DataFrame) -> DataFrame:
-    """calls with requests rebuilt from refs; equal as JSON to what was split."""
-    refs = calls.where("refs is not null").select(*VERSION, "append_seq", F.explode("refs").alias("p")).select(*VERSION, "append_seq", "p.*")
-    whole = refs.join(pool.select("day", "h", "content"), ["day", "h"], "left").withColumn("t", _literal(F.coalesce("content", "v")))
-    keyed = whole.groupBy(*VERSION, "append_seq", "k").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("items"))
-    value = F.when(F.element_at("items", 1)["i"] < 0, F.element_at("items", 1)["t"]).otherwise(F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["t"]), ","), F.lit("]")))
-    pair = F.concat(F.regexp_replace(F.to_json(F.array("k")), r"^\[|\]$", ""), F.lit(":"), value)
-    built = keyed.groupBy(*VERSION, "append_seq").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(pair)), ","), F.lit("}")).alias("_request"))
-    joined = calls.join(built, [*VERSION, "append_seq"], "left").withColumn("request", F.coalesce("request", "_request")).withColumn("refs", F.lit(None).cast(calls.schema["refs"].dataType))
+    """calls with requests made up again from refs; a request of which the pool lacks a blob is null."""
+    key = [*VERSION, "append_seq"]
+    refs = calls.where("refs is not null").select(*key, F.posexplode("refs").alias("i", "p")).select(*key, "i", "p.h", "p.v")
+    plain, lifted = refs.where("h is null"), refs.where("h is not null").drop("v")
+    found = lifted.join(pool.select("day", "h", F.col("content").alias("v")), ["day", "h"], "left")
+    pieces = plain.select(*key, "i", "v").unionByName(found.select(*key, "i", "v"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]), "")
+    built = pieces.groupBy(*key).agg(F.when(F.bool_and(F.col("v").isNotNull()), text).alias("_request"))
+    joined = calls.join(built, key, "left").withColumn("request", F.coalesce("request", "_request")).withColumn("refs", F.lit(None).cast(REFS))
     return joined.select(*calls.columns)
 
 
-def _literal(text: Column) -> Column:
-    """JSON text of a value that from_json gave as text: strings lost their quotes."""
-    bare = F.rlike(text, F.lit(r"^(?:\{.*\}|\[.*\]|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)\z".replace(".*", "(?s:.*)")))
-    quoted = F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
-    return F.coalesce(F.when(bare, text).otherwise(quoted), F.lit("null"))
+def read_batches(spark: SparkSession, path: str, schema: str, most_bytes: int = MOST_WIRE, most_inflated: int = MOST_INFLATED) -> DataFrame:
+    """Pushed batches (JSON lines, gzip or plain) with file, and bad for what is refused.
 
-
-def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Pushed batches (JSON lines, gzip or plain) with file, and bad where the file has a row that cannot be read or has no id."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("file", F.col("_metadata.file_path"))
-    broken = rows.where("_corrupt_record is not null or request_id is null").select("file").distinct().withColumn("bad", F.lit(True))
-    return rows.join(broken, "file", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    A file is taken up to its first line that isn't one JSON object with a request_id; that
+    line and those after it are bad. So is all of a file of more than most_bytes, or whose
+    text is more than most_inflated times as large.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("ord")).where(F.trim("value") != "")
+    valid, row = parsed_strictly(F.col("value"), struct_of(schema))
+    rows = lines.withColumns({"_valid": valid & F.startswith(F.ltrim("value"), F.lit("{")), "row": row})
+    good = F.col("_valid") & F.coalesce(F.col("row.request_id") != "", F.lit(False))
+    files = rows.groupBy("file").agg(F.min(F.when(~good, F.col("ord"))).alias("_end"), ((F.max("size") > most_bytes) | (F.sum(F.octet_length("value") + 1) > most_inflated * F.max("size"))).alias("_large"))
+    bad = F.col("_large") | F.coalesce(F.col("ord") >= F.col("_end"), F.lit(False))
+    return rows.withColumn("_good", good).join(files, "file").select(F.when(F.col("_good"), F.col("row")).alias("row"), "file", bad.alias("bad")).select("row.*", "file", "bad")
 
 
 def push_batches(calls: DataFrame, records: int = BATCH_RECORDS, size: int = BATCH_BYTES) -> DataFrame:
@@ -160,3 +176,32 @@ def push_batches(calls: DataFrame, records: int = BATCH_RECORDS, size: int = BAT
             yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array([f"{p:06d}-{n:08d}" for p, n in zip(part, numbers, strict=True)], pa.string())], names=[*key, "batch"])
 
     return calls.join(ordered.select(*key, F.spark_partition_id().alias("part"), "size").mapInArrow(cut, "day string, request_id string, append_seq bigint, batch string"), key)
+
+
+def send(batched: DataFrame, deliver: Callable[[str, bytes], tuple[int, int]]) -> DataFrame:
+    """batch, sent, acked of push_batches() rows, each batch handed to deliver as gzipped JSON lines.
+
+    deliver runs on the executors; it gets the batch's name and returns how many records were
+    stored and how many were known. A batch is acknowledged only if these make up all it held; others are to be sent again.
+    """
+    lines = batched.select("batch", "epoch", "request_id", F.to_json(F.struct(*[c for c in batched.columns if c != "batch"])).alias("line"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            stored, known = deliver(name, gzip.compress("".join(x + "\n" for x in held).encode(), 6))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([stored + known == len(held)])], names=["batch", "sent", "acked"])
+
+        for b in batches:
+            for batch, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if batch != name and held:
+                    yield flush()
+                    held = []
+                name = batch
+                held.append(line)
+        if held:
+            yield flush()
+
+    ordered = lines.repartition("batch").sortWithinPartitions("batch", "epoch", "request_id").select("batch", "line")
+    return ordered.mapInArrow(post, "batch string, sent bigint, acked boolean")
