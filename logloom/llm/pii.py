@@ -37,19 +37,34 @@ _WORD = r"[\p{L}\p{N}]++"
 _SPAN = "array<struct<start:int,end:int,kind:string,ord:int>>"
 
 
+#: Matches whose places are added up together: with so many in a block, a text of n matches takes about n * BLOCK / 2 steps.
+BLOCK = 256
+
+
 def _located(text: Column, pattern: str, keep, kind: str, order: int) -> Column:
     """Spans of the matches that keep() accepts, by code points."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda p: p["m"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    pairs = F.transform(F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda p: p["m"].isNotNull()), lambda p: F.struct(F.length(p["g"]).alias("gap"), p["m"].alias("m")))
+    zero = F.lit(0)
+    width = lambda ps: F.aggregate(ps, zero, lambda a, p: a + p["gap"] + F.length(p["m"]))
+    span = lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), F.lit(order).alias("ord"))
+
+    def placed(block: Column) -> Column:
+        """A block's spans, from its first code point (at) and its matches (ps)."""
+        none = F.struct(block["at"].alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["g"])
-        end = start + F.length(p["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(order).alias("ord"))
-        return F.struct(end.alias("at"), F.when(keep(p["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        def step(acc: Column, p: Column) -> Column:
+            start = acc["at"] + p["gap"]
+            return F.struct((start + F.length(p["m"])).alias("at"), F.when(keep(p["m"]), F.concat(acc["out"], F.array(span(start, p["m"])))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+        return F.aggregate(block["ps"], none, step, lambda acc: acc["out"])
+
+    blocks = F.transform(F.sequence(zero, F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+    begun = F.struct(zero.alias("at"), F.array().cast("array<struct<at:int,ps:array<struct<gap:int,m:string>>>>").alias("all"))
+    grown = lambda acc, ps: F.struct((acc["at"] + width(ps)).alias("at"), F.concat(acc["all"], F.array(F.struct(acc["at"].alias("at"), ps.alias("ps")))).alias("all"))
+    many = F.flatten(F.transform(F.aggregate(blocks, begun, grown, lambda acc: acc["all"]), placed))
+    few = placed(F.struct(zero.alias("at"), pairs.alias("ps")))
+    return F.when(F.size(pairs) == 0, F.array().cast(_SPAN)).when(F.size(pairs) <= BLOCK, few).otherwise(many)
 
 
 def _digits(m: Column) -> Column:
@@ -115,19 +130,29 @@ def _entity(text: Column, span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(value)).when(span["kind"] == "ip", value).otherwise(_digits(value)))
 
 
+#: Different terms beside entities that are broadcast when the documents' terms are counted (some 4 MB).
+MOST_TERMS = 200_000
+
+
 def disclosing(holders: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, contexts: int = CONTEXTS) -> DataFrame:
     """entity, term for every term that tells too much.
 
-    holders: __text, __spans of the documents that hold an entity; docs: all documents. A
+    holders: text, __base of the documents that hold an entity; docs: all documents. A
     document counts once for each term, however often it has it; rows that repeat a text count
     as so many documents.
     """
-    seen = holders.select("__text", F.explode("__spans").alias("s"))
-    seen = seen.select(_entity(F.col("__text"), F.col("s")).alias("entity"), F.md5("__text").alias("doc"), _beside(F.col("__text"), F.col("s")).alias("beside"))
+    seen = holders.select("text", F.explode("__base").alias("s"))
+    seen = seen.select(_entity(F.col("text"), F.col("s")).alias("entity"), F.md5("text").alias("doc"), _beside(F.col("text"), F.col("s")).alias("beside"))
     known = seen.groupBy("entity", F.md5("beside").alias("context")).agg(F.first("beside").alias("beside"), F.count("*").alias("n"))
     pairs = known.select("entity", "n", F.explode(_terms(F.col("beside"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint")).where(F.col("contexts") >= contexts)
+    pairs = checkpointed(pairs)
+    asked = pairs.select("term").distinct()
     holding = seen.groupBy("entity", "doc").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("with_entity"))
-    with_term = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    each = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    # of the documents' terms only those that are asked for are counted; if they are too many, all are, and join later
+    if asked.count() <= MOST_TERMS:
+        each = each.join(F.broadcast(asked), "term", "left_semi")
+    with_term = each.groupBy("term").agg(F.count("*").alias("with_term"))
     total = F.lit(float(max(docs.count(), 1)))
     told = pairs.join(with_term, "term").join(holding, "entity")
     share = lambda c: F.least(F.col(c), total) / total
@@ -142,12 +167,12 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, contexts: int = CONTEX
     Null and empty texts have no spans. Rows with equal texts get equal spans; a null doc_id
     and extra columns are kept as they are (names beginning with two underscores are ours).
     """
-    spotted = docs.withColumn("__base", base_spans())
+    # explode() of a list of one keeps the patterns from being run by the filter and again for its result
+    spotted = docs.select("*", F.explode(F.array(base_spans())).alias("__base"))
     holds = F.col("text").isNotNull() & (F.size("__base") > 0)
-    holders = spotted.where(holds)
-    thin = checkpointed(holders.select(F.col("text").alias("__text"), F.col("__base").alias("__spans")))
-    told = disclosing(thin, docs, disclosure, contexts)
-    entities = thin.select(F.md5("__text").alias("__key"), F.explode(F.transform("__spans", lambda s: _entity(F.col("__text"), s))).alias("entity")).distinct()
+    holders = checkpointed(spotted.where(holds))
+    told = disclosing(holders, docs, disclosure, contexts)
+    entities = holders.select(F.md5("text").alias("__key"), F.explode(F.transform("__base", lambda s: _entity(F.col("text"), s))).alias("entity")).distinct()
     terms = entities.join(told, "entity").groupBy("__key").agg(F.collect_set("term").alias("__terms"))
     with_terms = holders.withColumn("__key", F.md5("text")).join(terms, "__key", "left")
     inside = lambda w: F.array_contains("__terms", F.lower(w))

@@ -376,7 +376,7 @@ def brute_spans(t):
 
 def test_personal_data(spark, odd, odd_rows, empty):
     rng = random.Random(3)
-    texts = [None, "", "a@b.c+d@e.f x", "x@y a@b.c.d@e.f.g", "1.2.3.4.5.6.7.8", "000255.1.1.256 256.1.1.1 99999999999.1.1.1", "4111 1111 1111 1111", "é 4111111111111111é+1 (017) 555-7713.", "1" * 30_000, "a" * 40_000 + "@" + "b." * 4000, "1 " * 9000, "a@b.c " * 200]
+    texts = [None, "", "a@b.c+d@e.f x", "x@y a@b.c.d@e.f.g", "1.2.3.4.5.6.7.8", "000255.1.1.256 256.1.1.1 99999999999.1.1.1", "4111 1111 1111 1111", "é 4111111111111111é+1 (017) 555-7713.", "1" * 30_000, "a" * 40_000 + "@" + "b." * 4000, "1 " * 9000, "a@b.c " * 200, "a@b.c d " * 257, "1.2.3.4 " * 700, "x" + "y@z.w " * 512]
     texts += ["".join(rng.choice("aé.@+-19 0()") for _ in range(rng.randrange(150))) for _ in range(500)]
     named = [f"{prose(rng, 9)} Zorblatt {prose(rng, 3)} zed@corp.example {prose(rng, 9)}" for _ in range(5)]
     plain = [prose(rng, 60) for _ in range(200)] + [f"Zorb {prose(rng, 10)} u{i}@x.example" for i in range(30)]
@@ -397,6 +397,52 @@ def test_personal_data(spark, odd, odd_rows, empty):
     assert pii.find(odd).count() == len(odd_rows) and pii.find(empty).count() == 0
 
 
+def brute_told(texts, disclosure, contexts):
+    """entity -> terms, from a table of all contexts and documents written out by hand."""
+    entity = lambda t, k, a, b: f"{k}:" + (t[a:b].lower() if k == "email" else t[a:b] if k == "ip" else re.sub("[^0-9]", "", t[a:b]))
+    words = lambda t: {w for w in re.split(r"[^\w]+|_", t.lower()) if len(w) >= 3 and w.isalpha()}
+    beside, joint, holders, with_term = {}, Counter(), {}, Counter()
+    for i, t in enumerate(texts):
+        with_term.update(words(t))
+        for s in brute_spans(t):
+            kind, a, b = s.split(":")[0], *map(int, s.split(":")[1:])
+            left, right = t[max(0, a - pii.REACH) : a], t[b : b + pii.REACH]
+            left = re.sub(r"^\S*", "", left) if a > pii.REACH else left
+            right = re.sub(r"\S*$", "", right) if len(right) == pii.REACH else right
+            near = re.sub(r"\S*@\S*", " ", f"{left} {right}")
+            e = entity(t, kind, a, b)
+            holders.setdefault(e, Counter())[i] += 1
+            for w in words(near):
+                beside.setdefault((e, w), set()).add(near)
+                joint[e, w] += 1
+    n, out = len(texts), {}
+    for (e, w), where in beside.items():
+        p_e, p_w = min(sum(holders[e].values()), n) / n, min(with_term[w], n) / n
+        p = min(joint[e, w], with_term[w], sum(holders[e].values())) / n
+        if len(where) >= contexts and p_e < 1 and math.log(p / (p_e * p_w)) >= disclosure * -math.log(p_e):
+            out.setdefault(e, set()).add(w)
+    return out
+
+
+def test_disclosing_terms(spark, monkeypatch):
+    rng = random.Random(30)
+    people = [(f"u{i}@corp.example", f"name{chr(97 + i)}x", f"+49 30 55501{i:02d}") for i in range(12)]
+    texts = []
+    for i in range(260):
+        mail, name, phone = rng.choice(people)
+        told = f"{name} " if rng.random() < 0.8 else ""
+        texts.append(rng.choice([prose(rng, 30), f"{prose(rng, 12)} {told}{mail} {prose(rng, 9)}", f"{prose(rng, 20)} {told}{prose(rng, 2)} {phone} {prose(rng, 20)} {mail}"]))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    holders = docs.withColumn("__base", pii.base_spans()).where("size(__base) > 0")
+    for most, disclosure in ((10**6, 0.9), (0, 0.9), (10**6, 0.5)):
+        monkeypatch.setattr(pii, "MOST_TERMS", most)
+        got = {}
+        for r in pii.disclosing(holders, docs, disclosure, 3).collect():
+            got.setdefault(r.entity, set()).add(r.term)
+        assert got == brute_told(texts, disclosure, 3) and any(w.startswith("name") for v in got.values() for w in v)
+
+
 def brute_counts(t):
     t = t or ""
     w, seen, twice = WORD.findall(t), set(), 0
