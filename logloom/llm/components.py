@@ -12,9 +12,10 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of links (a bigint, b bigint).
 
     Large and small stars alternate until nothing changes: each round links every node to the
-    smallest known node around it, so a chain of n nodes takes about log n rounds, and no node
-    ever holds more links than it started with plus one. A null end and a link of a node with
-    itself are ignored; repeated links count once.
+    smallest known node around it, so a chain of n nodes takes about log n rounds. There are never
+    more links than at the start, but in the end all nodes of a component are linked to its
+    smallest; joins on that node have one row on their other side, so a skewed part is split
+    when it is met. A null end and a link of a node with itself are ignored; repeated links count once.
     """
     both = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges, seen = checkpointed(both.distinct()), None

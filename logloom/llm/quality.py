@@ -18,7 +18,7 @@ from logloom.llm.textkit import U64, Chunk, mix
 
 #: Labelled documents that the network learns from, in expectation, and passages of each: those of longer ones are
 #: drawn at even steps from first to last. So the driver gets SAMPLE * BAG * DIM numbers at most. Scoring takes all passages.
-SAMPLE, BAG = 6000, 400
+SAMPLE, BAG = 6000, 256
 #: Words of a passage, buckets of hashed words, units of the encoder and of the attention.
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 50, 32, 24, 12
 ROUNDS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-4
@@ -155,13 +155,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     def encode(c: Chunk) -> dict:
         x, first = passages(c)
         drawn = [first[i] + np.unique(np.linspace(0, n - 1, min(n, BAG)).astype(np.int64)) for i, n in enumerate(np.diff(first).tolist())]
-        return {"x": [x[at].astype(np.float16).tobytes() for at in drawn]}
+        return {"x": [x[at].astype(np.float32).tobytes() for at in drawn]}
 
     rows = map_docs(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id"), ["doc_id", "quality"], "x binary", encode)
     found = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.collect())
     if not found:
         return None
-    bags = [np.frombuffer(r[2], np.float16).astype(np.float32).reshape(-1, DIM) for r in found]
+    bags = [np.frombuffer(r[2], np.float32).reshape(-1, DIM) for r in found]
     return learn(np.concatenate(bags), np.concatenate(([0], np.cumsum([len(b) for b in bags]))), np.array([r[1] for r in found]) > 0)
 
 

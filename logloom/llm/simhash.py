@@ -27,9 +27,9 @@ from logloom.llm.textkit import U64, Chunk, chunks, mix, xxh64
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Children of an index node.
 FAN = 8
-#: Fingerprints of a part, and how many parts there are at least and at most (their nodes are broadcast: 64 kB). A fingerprint
+#: Fingerprints of a part, and how many parts there are at least and at most (their nodes are broadcast: 1 MB). A fingerprint
 #: visits about as many parts as log2(parts) has pairs, so this number is kept the same until parts would become too large.
-PART, LEAST_PARTS, MOST_PARTS = 50_000, 64, 4096
+PART, LEAST_PARTS, MOST_PARTS = 50_000, 64, 1 << 16
 
 
 def shingle_hashes(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
