@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions import providers as P
 from logloom.functions.scalars import frt_ms, host_of
-from logloom.functions.udfs import strict_json, trim_reread
+from logloom.functions.udfs import trim_reread
 from logloom.operators.calls import VERSION, allowed, latest_wide
+from logloom.operators.lines import valid_json
 from logloom.sources.store import fresh
 
 
@@ -50,7 +51,7 @@ def repair(calls: DataFrame) -> DataFrame:
     """
     rows = latest_wide(calls)
     args = rows.select(*VERSION, F.posexplode("stream_tool_calls").alias("i", "c"))
-    broken = args.where("c.arguments <> ''").withColumn("bad", (F.col("c.name") == "") | ~strict_json("c.arguments")).groupBy(*VERSION).agg(F.bool_or("bad").alias("_fragmented"))
+    broken = args.where("c.arguments <> ''").withColumn("bad", (F.col("c.name") == "") | ~valid_json(F.col("c.arguments"))).groupBy(*VERSION).agg(F.bool_or("bad").alias("_fragmented"))
     fragments = F.transform("stream_tool_calls", lambda c: F.struct(F.lit("f").alias("op"), F.lit(None).cast("int").alias("index"), c["id"].alias("id"), c["type"].alias("type"), c["name"].alias("name"), c["arguments"].alias("arguments")))
     indexed = F.transform("stream_tool_calls", lambda c: F.struct(F.lit("f").alias("op"), c["index"].alias("index"), c["id"].alias("id"), c["type"].alias("type"), c["name"].alias("name"), c["arguments"].alias("arguments")))
     flagged = rows.join(broken, list(VERSION), "left").withColumn("_joined", P.join_calls(F.when(F.exists("stream_tool_calls", lambda c: c["index"].isNull()), fragments).otherwise(indexed)))

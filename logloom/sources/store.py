@@ -39,22 +39,31 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.calls_path, self.blobs_path = spark, f"{path}/calls", f"{path}/blobs"
 
-    def _read(self, path: str) -> DataFrame | None:
+    def _read(self, path: str, days: list[str] | None) -> DataFrame | None:
+        """What is stored for some days (None: all), with the columns of all its files. Other days' folders aren't even listed."""
         from pyspark.errors import AnalysisException
 
+        if days is not None and all(d and d.isalnum() for d in days):
+            if not days:
+                return None
+            path, base = f"{path}/day={{{','.join(days)}}}", path
+        else:
+            base = path
+        reader = self.spark.read.option("basePath", base).option("mergeSchema", "true")
         try:
-            return self.spark.read.option("basePath", path).option("mergeSchema", "true").schema(self.spark.read.option("mergeSchema", "true").parquet(path).schema).parquet(path).withColumn("day", F.col("day").cast("string"))
+            rows = reader.parquet(path).withColumn("day", F.col("day").cast("string"))
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
+        return rows if days is None else rows.where(F.col("day").isin(days))
 
-    def calls(self) -> DataFrame | None:
-        """All versions as stored, or None if nothing is."""
-        return self._read(self.calls_path)
+    def calls(self, days: list[str] | None = None) -> DataFrame | None:
+        """All versions as stored, of some days or of all, or None if nothing is."""
+        return self._read(self.calls_path, days)
 
-    def blobs(self) -> DataFrame | None:
-        return self._read(self.blobs_path)
+    def blobs(self, days: list[str] | None = None) -> DataFrame | None:
+        return self._read(self.blobs_path, days)
 
     def append(self, calls: DataFrame) -> None:
         """Append versions; large request parts go to the pool first, those it lacks only.
@@ -65,8 +74,8 @@ class Store:
         split, blobs = split_requests(calls)
         blobs = blobs.dropDuplicates(["day", "h"]).persist()
         try:
-            pool = self.blobs()
-            new = blobs if pool is None else blobs.join(within_days(pool, blobs).select("day", "h"), ["day", "h"], "left_anti")
+            pool = self.blobs(days_of(blobs))
+            new = blobs if pool is None else blobs.join(pool.select("day", "h"), ["day", "h"], "left_anti")
             new.write.mode("append").partitionBy("day").parquet(self.blobs_path)
             split.write.mode("append").partitionBy("day").parquet(self.calls_path)
         finally:
@@ -76,8 +85,7 @@ class Store:
         """Append the first version of each request id that its day doesn't hold yet. Only the days of calls are read."""
         calls = calls.persist()
         try:
-            held = self.calls()
-            self.append(fresh(calls, None if held is None else within_days(held, calls)))
+            self.append(fresh(calls, self.calls(days_of(calls))))
         finally:
             calls.unpersist()
 
@@ -91,9 +99,9 @@ class Store:
         calls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.calls_path)
 
 
-def within_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """What is stored for the days that rows have: a filter on the partition column, so other days aren't read. The days reach the driver."""
-    return stored.where(F.col("day").isin([r[0] for r in rows.select("day").distinct().collect()]))
+def days_of(rows: DataFrame) -> list[str]:
+    """The days that rows have; they reach the driver."""
+    return [r[0] for r in rows.select("day").distinct().collect()]
 
 
 def fresh(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
