@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.scalars import duration_ms, outcome_of
+from logloom.functions.scalars import date_of, duration_ms, outcome_of
 
 NO_MODEL, NO_TOKEN, NO_CHANNEL, OTHER = "(unknown)", "(未命名)", "(无渠道)", "other"
 DIMENSIONS = ("bucket", "dow", "hour", "model", "token", "channel")
@@ -30,7 +30,7 @@ def bucket_key(ts: Column, granularity: str) -> Column:
         return F.concat(day, F.substring(ts, 12, 2))
     if granularity == "day":
         return day
-    return F.date_format(F.date_trunc("week", F.try_to_timestamp(F.substring(ts, 1, 10), F.lit("yyyy/MM/dd"))), "yyyyMMdd")
+    return F.date_format(F.date_trunc("week", date_of(ts)), "yyyyMMdd")
 
 
 def bucket_label(key: Column) -> Column:
@@ -58,51 +58,51 @@ def cells(calls: DataFrame, granularity: str = "day") -> DataFrame:
     shuffles anything.
     """
     known = outcome_of(F.col("outcome"), F.col("status"))
-    pt, ct, zero = F.col("prompt_tokens"), F.col("completion_tokens"), F.lit(0)
-    counted = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
-    added = lambda c: F.coalesce(c, zero).cast("bigint")
     rows = timed(calls).select("*", known.alias("_known"), duration_ms(F.col("latency")).alias("_latency"))
-    date = F.try_to_timestamp(F.substring("ts", 1, 10), F.lit("yyyy/MM/dd"))
     hour = F.substring("ts", 12, 2).try_cast("int")
+    counted = lambda c: f"CAST(COALESCE({c}, FALSE) AS BIGINT)"
+    added = lambda c: f"CAST(COALESCE({c}, 0) AS BIGINT)"
     values = {
-        "requests": F.lit(1).cast("bigint"),
-        **{n: counted(F.col("_known") == v) for n, v in (("ok", "ok"), ("err", "error"), ("unknown", ""))},
-        "quota": added(F.col("quota")),
-        "quota_count": counted(F.col("quota").isNotNull()),
-        "tokens": added(F.coalesce(pt, zero) + F.coalesce(ct, zero)),
-        "prompt_tokens": added(pt),
-        "completion_tokens": added(ct),
-        "token_count": counted(pt.isNotNull() | ct.isNotNull()),
-        "cached": added(F.col("cached_tokens")),
-        "cached_count": counted(F.col("cached_tokens").isNotNull()),
-        "reasoning": added(F.col("reasoning_tokens")),
-        "reasoning_count": counted(F.col("reasoning_tokens").isNotNull()),
-        "lat_sum": added(F.col("_latency")),
-        "lat_count": counted(F.col("_latency").isNotNull()),
-        "frt_sum": added(F.col("frt_ms")),
-        "frt_count": counted(F.col("frt_ms").isNotNull()),
-        "streamed": counted(F.col("is_stream")),
-        "with_tools": counted(F.col("has_tools")),
-        "tool_defs": added(F.when(F.col("has_tools"), F.col("tool_count"))),
-        "token_name_count": counted(F.coalesce(F.col("token_name"), F.lit("")) != ""),
-        "lat_max": added(F.col("_latency")),
-        "frt_max": added(F.col("frt_ms")),
+        "requests": "1L",
+        "ok": counted("_known = 'ok'"),
+        "err": counted("_known = 'error'"),
+        "unknown": counted("_known = ''"),
+        "quota": added("quota"),
+        "quota_count": counted("quota IS NOT NULL"),
+        "tokens": added("COALESCE(prompt_tokens, 0) + COALESCE(completion_tokens, 0)"),
+        "prompt_tokens": added("prompt_tokens"),
+        "completion_tokens": added("completion_tokens"),
+        "token_count": counted("prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL"),
+        "cached": added("cached_tokens"),
+        "cached_count": counted("cached_tokens IS NOT NULL"),
+        "reasoning": added("reasoning_tokens"),
+        "reasoning_count": counted("reasoning_tokens IS NOT NULL"),
+        "lat_sum": added("_latency"),
+        "lat_count": counted("_latency IS NOT NULL"),
+        "frt_sum": added("frt_ms"),
+        "frt_count": counted("frt_ms IS NOT NULL"),
+        "streamed": counted("is_stream"),
+        "with_tools": counted("has_tools"),
+        "tool_defs": added("CASE WHEN has_tools THEN tool_count END"),
+        "token_name_count": counted("token_name <> ''"),
+        "lat_max": added("_latency"),
+        "frt_max": added("frt_ms"),
     }
     return rows.select(
         bucket_key(F.col("ts"), granularity).alias("bucket"),
-        F.weekday(date).alias("dow"),
+        F.weekday(date_of(F.col("ts"))).alias("dow"),
         F.when(hour.between(0, 23), hour).alias("hour"),
         F.coalesce(F.nullif("model", F.lit("")), F.lit(NO_MODEL)).alias("model"),
         F.coalesce(F.nullif("token_name", F.lit("")), F.lit(NO_TOKEN)).alias("token"),
         channel_of().alias("channel"),
-        *[v.alias(n) for n, v in values.items()],
+        *[F.expr(f"{v} AS {n}") for n, v in values.items()],
     )
 
 
 def _added() -> list[Column]:
     """The measures of rows added up."""
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in SUMS]
-    return [*sums, *[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in MAXIMA]]
+    adds = [(c, "sum") for c in SUMS] + [(c, "max") for c in MAXIMA]
+    return [F.expr(f"CAST(COALESCE({f}({c}), 0) AS BIGINT) AS {c}") for c, f in adds]
 
 
 def rolled(table: DataFrame, *keys: str | Column) -> DataFrame:
@@ -204,55 +204,40 @@ def dashboard(table: DataFrame, since: int, until: int, granularity: str) -> Dat
     number = {d: 1 << (len(DIMENSIONS) - 1 - i) for i, d in enumerate(DIMENSIONS)}
     level = {sum(number.values()) - sum(number[d] for d in keys): name for name, (keys, _, _) in _BREAKDOWNS.items()}
     sums = table.groupingSets([list(keys) for keys, _, _ in _BREAKDOWNS.values()], *DIMENSIONS).agg(F.grouping_id().alias("_level"), *_added())
-    kind, name, top, first, second = F.lit(None), F.lit(None), F.lit(1 << 30), F.lit(0), F.lit(0)
-    for n, k in level.items():
-        keys, most, order = _BREAKDOWNS[k]
-        at = F.col("_level") == n
-        kind = F.when(at, k).otherwise(kind)
-        if most:
-            name, top = F.when(at, F.col(keys[0])).otherwise(name), F.when(at, most).otherwise(top)
-            first, second = F.when(at, F.col(order[0])).otherwise(first), F.when(at, F.col(order[1])).otherwise(second)
-    listed = sums.select(kind.alias("kind"), name.alias("name"), top.alias("top"), "bucket", "dow", "hour", *measures, first.alias("_first"), second.alias("_second"))
+    case = lambda values: F.expr("CASE _level " + " ".join(f"WHEN {n} THEN {v}" for n, v in values.items()) + " END")
+    lists = {n: _BREAKDOWNS[k] for n, k in level.items() if _BREAKDOWNS[k][1]}
+    listed = sums.select(
+        case({n: f"'{k}'" for n, k in level.items()}).alias("kind"),
+        case({n: keys[0] for n, (keys, _, _) in lists.items()}).alias("name"),
+        case({n: most for n, (_, most, _) in lists.items()}).alias("top"),
+        case({n: order[0] for n, (_, _, order) in lists.items()}).alias("_first"),
+        case({n: order[1] for n, (_, _, order) in lists.items()}).alias("_second"),
+        "bucket", "dow", "hour", *measures,
+    )
     best = [F.desc("_first"), F.desc("_second"), F.asc("name")]
     near = F.row_number().over(Window.partitionBy("kind", F.pmod(F.xxhash64("name"), F.lit(PARTS))).orderBy(*best))
     ranked = listed.withColumn("_rest", F.col("name").isNotNull() & (near > F.col("top")))
-    own = lambda c: F.when(~F.col("_rest"), F.col(c)).alias(c)
-    few = rolled(ranked, "kind", "top", "bucket", "dow", "hour", own("name"), "_rest", own("_first"), own("_second"))
+    own = lambda c: F.expr(f"CASE WHEN NOT _rest THEN {c} END AS {c}")
+    few = rolled(ranked, "kind", "top", "bucket", "dow", "hour", "_rest", own("name"), own("_first"), own("_second"))
     nth = F.row_number().over(Window.partitionBy("kind").orderBy("_rest", *best))
-    placed = few.withColumn("position", F.when(F.col("name").isNotNull() | F.col("_rest"), F.least(nth, F.col("top") + 1)))
-    called = F.when(F.col("position") > F.col("top"), OTHER).otherwise(F.col("name")).alias("name")
+    placed = few.withColumn("position", F.when(F.col("top").isNotNull(), F.least(nth, F.col("top") + 1)))
+    called = F.expr(f"CASE WHEN position > top THEN '{OTHER}' ELSE name END AS name")
     rows = rolled(placed, "kind", "bucket", "dow", "hour", "position", called)
-
-    def array(k: str, *fields: Column) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(*fields))))
-
-    lists = {
-        "by_model": array("by_model", F.col("position"), F.col("name").alias("model"), *map(F.col, measures)),
-        "by_token": array("by_token", F.col("position"), F.col("name").alias("token"), *map(F.col, measures)),
-        "by_channel": array("by_channel", F.col("position"), F.col("name").alias("channel"), *map(F.col, measures)),
-    }
-    cell = lambda k, key, value: F.map_from_entries(F.collect_list(F.when((F.col("kind") == k) & key.isNotNull(), F.struct(key.alias("k"), value.alias("v")))))
-    grid = (F.col("dow") * 24 + F.col("hour")).cast("int")
-    one = rows.agg(
-        *[F.coalesce(F.max(F.when(F.col("kind") == "total", F.col(c))), F.lit(0)).alias(c) for c in measures],
-        *[v.alias(n) for n, v in lists.items()],
-        cell("series", F.col("bucket"), F.struct(*measures)).alias("_series"),
-        cell("hours", F.col("hour"), F.col("requests")).alias("_hours"),
-        cell("dow_hours", grid, F.col("requests")).alias("_grid"),
-    )
-    zeros = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in measures])
+    all_ = ", ".join(measures)
+    array = lambda k, name: f"array_sort(collect_list(CASE WHEN kind = '{k}' THEN struct(position, name AS {name}, {all_}) END)) AS {k}"
+    cell = lambda k, key, value: f"map_from_entries(collect_list(CASE WHEN kind = '{k}' AND {key} IS NOT NULL THEN struct({key} AS k, {value} AS v) END)) AS _{k}"
+    one = rows.agg(*map(F.expr, [
+        *[f"COALESCE(max(CASE WHEN kind = 'total' THEN {c} END), 0) AS {c}" for c in measures],
+        *[array(f"by_{k[0][0]}", k[0][0]) for k in lists.values()],
+        cell("series", "bucket", f"struct({all_})"), cell("hours", "hour", "requests"), cell("dow_hours", "CAST(dow * 24 + hour AS INT)", "requests"),
+    ]))
     keys = _axis(since, until, granularity) if 0 < since <= until else F.array_sort(F.map_keys("_series"))
-
-    def bucket(k: Column) -> Column:
-        v = F.coalesce(F.try_element_at("_series", k), zeros)
-        return F.struct(k.alias("bucket"), bucket_label(k).alias("label"), *[v[c].alias(c) for c in measures])
-
-    count = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0)).cast("bigint").alias("requests")
-    slots = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("int"))
-    return one.select(
+    zeros = "named_struct(" + ", ".join(f"'{c}', 0L" for c in measures) + ")"
+    shown = one.withColumn("_cells", F.transform(keys, lambda k: F.struct(k.alias("key"), bucket_label(k).alias("label"))))
+    return shown.selectExpr(
         *measures,
-        F.transform(keys, bucket).alias("series"),
-        *lists,
-        F.transform(slots(24), lambda i: F.struct(i.alias("hour"), count("_hours", i))).alias("hours"),
-        F.transform(slots(168), lambda i: F.struct(F.floor(i / 24).cast("int").alias("dow"), (i % 24).alias("hour"), count("_grid", i))).alias("dow_hours"),
+        f"transform(transform(_cells, c -> struct(c AS c, coalesce(try_element_at(_series, c.key), {zeros}) AS v)), x -> struct(x.c.key AS bucket, x.c.label AS label, {', '.join(f'x.v.{c} AS {c}' for c in measures)})) AS series",
+        *[f"by_{k[0][0]}" for k in lists.values()],
+        "transform(sequence(0, 23), i -> struct(i AS hour, coalesce(try_element_at(_hours, i), 0L) AS requests)) AS hours",
+        "transform(sequence(0, 167), i -> struct(CAST(i div 24 AS INT) AS dow, i % 24 AS hour, coalesce(try_element_at(_dow_hours, i), 0L) AS requests)) AS dow_hours",
     )

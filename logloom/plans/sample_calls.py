@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 CHANNELS = [(i, "" if i == 5 else f"chan-{i}", f"https://up{i}.example:8443/v1") for i in range(10)]
 
+_NAMES = ", ".join(f"({i}, '{name or url.split('//')[1].split('/')[0]}')" for i, name, url in CHANNELS)
+
 COLUMNS = {
     "status": ("CASE event_type WHEN 'signup' THEN NULL WHEN 'error' THEN 500 ELSE 200 END", "int"),
     "outcome": ("CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN '' WHEN 'view' THEN '' ELSE 'ok' END", "string"),
@@ -48,15 +50,14 @@ def calls(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataF
 
 
 def channels(spark: SparkSession) -> DataFrame:
-    rows = [(i, name or url.split("//")[1].split("/")[0]) for i, name, url in CHANNELS]
-    return spark.createDataFrame(rows, "id int, name string")
+    """The channel dimension as a table whose size Spark knows."""
+    return spark.sql(f"SELECT * FROM VALUES {_NAMES} AS t(id, name)")
 
 
 def _duck(sql: str, kind: str) -> str:
     return f"CAST({sql} AS {({'string': 'VARCHAR'}.get(kind, kind)).upper()})"
 
 
-_NAMES = ", ".join(f"({i}, '{name or url.split('//')[1].split('/')[0]}')" for i, name, url in CHANNELS)
 CTE = f"""
 ev AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
               unnest(CASE WHEN event_id % 9 = 0 THEN [1, 2] ELSE [1] END) AS ver FROM events),
