@@ -20,6 +20,7 @@ from logloom.plans.sample_calls import CTE, calls
 from logloom.sources.channels import read_channels
 from logloom.sources.logs import read_entries, stream_entries
 from logloom.sources.store import Store, push_batches, read_batches
+from logloom.sources.tail import tail_entries
 from logloom.streaming.fold import write_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,42 @@ def stream_fold(spark, sf_dir):
     return folded_columns(store.calls())
 
 
+@_query("stream_tail", FOLDED)
+def stream_tail(spark, sf_dir):
+    """The same log from files that are followed by byte offsets."""
+    folder, at = scratch(spark, "logs"), scratch(spark, "stream")
+    conversation_log(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(folder)
+    store = Store(spark, f"{at}/store")
+    write_calls(classify(tail_entries(spark, folder, quiet=0.0, suffix=".txt")), store, f"{at}/checkpoint", availableNow=True).awaitTermination()
+    return folded_columns(store.calls())
+
+
+@_query("stream_late_lines", FOLDED)
+def stream_late_lines(spark, sf_dir):
+    """Two runs over one checkpoint: lines of calls that were complete in the first change nothing in the second."""
+    folder, at = scratch(spark, "logs"), scratch(spark, "stream")
+    log = conversation_log(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("value")
+    late = log.where(F.startswith("value", F.lit("[GIN]"))).select(F.regexp_replace("value", r"\| [0-9]{3} \|", "| 418 |"))
+    store = Store(spark, f"{at}/store")
+    for lines in (log, late):
+        lines.write.mode("append").text(folder)
+        write_calls(classify(stream_entries(spark, folder)), store, f"{at}/checkpoint", availableNow=True).awaitTermination()
+    return folded_columns(store.calls())
+
+
+@_query("pods_united", FOLDED)
+def pods_united(spark, sf_dir):
+    """Two pods' calls, each written to its own store, united in a third by imports; a second import adds nothing."""
+    at = scratch(spark, "pods")
+    calls_ = fold(classify(conversation_log(spark, sf_dir))).withColumn("append_seq", F.lit(1).cast("bigint"))
+    whole, part = Store(spark, f"{at}/all"), F.substring("request_id", -1, 1).cast("int") % 3
+    for pod, rows in (("a", calls_.where(part < 2)), ("b", calls_.where(part > 0)), ("b", calls_.where(part > 0))):
+        own = Store(spark, f"{at}/{pod}")
+        own.append_new(rows)
+        whole.append(maintain.import_merge(own.inlined(own.calls()), whole.calls(), pod))
+    return folded_columns(whole.inlined(whole.calls()))
+
+
 # --- the store
 
 

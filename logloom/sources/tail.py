@@ -27,14 +27,22 @@ class Span(InputPartition):
         self.path, self.start, self.end, self.mtime = path, start, end, mtime
 
 
-def _files(folder: str):
-    """The file system, and the log files of a folder in order of time and name."""
+def _system(folder: str):
+    """The file system of a folder, and its path there."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def log_files(folder: str, suffix: str = ".log"):
+    """The log files of a folder in order of time and name."""
+    from pyarrow import fs
+
+    system, path = _system(folder)
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-    logs = [f for f in found if f.is_file and f.base_name.endswith(".log")]
-    return system, sorted(logs, key=lambda f: (f.mtime_ns, f.path))
+    return sorted((f for f in found if f.is_file and f.base_name.endswith(suffix)), key=lambda f: (f.mtime_ns, f.path))
 
 
 def _last_entry(system, path: str, start: int, end: int) -> int:
@@ -53,16 +61,16 @@ def _last_entry(system, path: str, start: int, end: int) -> int:
 
 
 class _Reader(DataSourceStreamReader):
-    def __init__(self, folder: str, quiet: float, piece: int):
-        self.folder, self.quiet, self.piece = folder, quiet, piece
+    def __init__(self, folder: str, suffix: str, quiet: float, piece: int):
+        self.folder, self.suffix, self.quiet, self.piece = folder, suffix, quiet, piece
         self.at: dict[str, list] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        system, files = _files(self.folder)
-        for f in files:
+        system, _ = _system(self.folder)
+        for f in log_files(self.folder, self.suffix):
             start = self.at.get(f.path, [0, 0])[0]
             start = 0 if f.size < start else start
             still = time.time() - f.mtime_ns / 1e9 >= self.quiet
@@ -73,11 +81,10 @@ class _Reader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         old, new = json.loads(start["files"]), json.loads(end["files"])
         self.at = {**new, **self.at}
-        out = []
+        out, (system, _) = [], _system(self.folder)
         for path, (stop, mtime) in new.items():
             at = old.get(path, [0, 0])[0]
             at = 0 if stop < at else at
-            system, _ = _files(self.folder)
             while at < stop:
                 cut = stop if stop - at <= self.piece else _last_entry(system, path, at, at + self.piece)
                 cut = cut if cut > at else stop
@@ -88,7 +95,7 @@ class _Reader(DataSourceStreamReader):
     def read(self, span: Span) -> Iterator[tuple]:
         from datetime import datetime, timezone
 
-        system, _ = _files(self.folder)
+        system, _ = _system(self.folder)
         with system.open_input_file(span.path) as f:
             f.seek(span.start)
             text = f.read(span.end - span.start).decode("utf-8", "replace")
@@ -102,7 +109,7 @@ class _Reader(DataSourceStreamReader):
 
 
 class LogTail(DataSource):
-    """Options: path (a folder of *.log files), quiet (seconds), piece (bytes)."""
+    """Options: path (a folder), suffix (of its log files, .log), quiet (seconds), piece (bytes)."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,12 +119,12 @@ class LogTail(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Reader(self.options["path"], float(self.options.get("quiet", QUIET)), int(self.options.get("piece", PIECE)))
+        return _Reader(self.options["path"], self.options.get("suffix", ".log"), float(self.options.get("quiet", QUIET)), int(self.options.get("piece", PIECE)))
 
 
-def tail_entries(spark: SparkSession, path: str, quiet: float = QUIET) -> DataFrame:
+def tail_entries(spark: SparkSession, path: str, quiet: float = QUIET, suffix: str = ".log") -> DataFrame:
     """value, file, ord as of read_entries(), of a folder's files as they grow."""
     from logloom.sources.logs import entries_of
 
     spark.dataSource.register(LogTail)
-    return entries_of(spark.readStream.format("logtail").option("path", path).option("quiet", str(quiet)).load())
+    return entries_of(spark.readStream.format("logtail").option("path", path).option("quiet", str(quiet)).option("suffix", suffix).load())

@@ -39,9 +39,9 @@ def health(query: StreamingQuery, slow_batch: float = SLOW_BATCH, folder: str |
         "degraded": degraded,
     }
     if folder is not None:
-        from logloom.sources.tail import _files
+        from logloom.sources.tail import log_files
 
-        out["spool_bytes"] = sum(f.size for f in _files(folder)[1])
+        out["spool_bytes"] = sum(f.size for f in log_files(folder))
     if waiting is not None:
         out["backlog"] = waiting.agg(F.count("*")).first()[0]
     return out
