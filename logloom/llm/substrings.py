@@ -39,7 +39,8 @@ SHARD = 1 << 15
 #: place: start << 32 | windows << 2 | state
 _ROWS = "rk bigint, sh bigint, key bigint, th bigint, place bigint"
 _KEYS = ["rk", "sh", "key", "th"]
-#: A segment is open until it is known whether it needs an index; LOOPS: it does; COPY: an earlier one is equal.
+#: LOOPS: a segment that repeats itself or has copies, so that all its windows are looked up; COPY: an earlier one is equal;
+#: OPEN: any other, of which the windows that occur elsewhere are looked up.
 OPEN, LOOPS, COPY = 0, 1, 2
 
 
@@ -128,7 +129,7 @@ def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by all columns: segments that need an index as OPEN, later copies of them as COPY; the others go."""
+    """Of rows sorted by all columns: segments that need an index, and later copies of them; the others go."""
     for t in grouped(batches, "rk"):
         rk, sh, key, th, place = (t[c].to_numpy() for c in (*_KEYS, "place"))
         start, wins, state = _parts(place)
@@ -143,7 +144,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.bincount(kind, later | (state[free] == LOOPS)) > 0 if len(kind) else np.zeros(0, bool)
         need = new & ((kinds[group] > 1) | wanted[kind])
         now = state.copy()
-        now[free] = np.where(later, COPY, np.where(need, OPEN, -1))
+        now[free] = np.where(later, COPY, np.where(need, np.where(wanted[kind], LOOPS, OPEN), -1))
         keep = np.flatnonzero(now >= 0)
         if len(keep):
             yield _batch("rk sh key th place", rk[keep], sh[keep], key[keep], th[keep], start[keep] << 32 | wins[keep] << 2 | now[keep])
@@ -164,7 +165,7 @@ def _present(w: Words, doc: np.ndarray, start: np.ndarray, wins: np.ndarray, sh:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, th, text, list of segments): rk, sh, key, th, start and the segment's text, for the segments that are in the text."""
+    """Of (key, th, text, list of segments): rk, sh, key, th, start, whole (all windows are wanted) and the segment's text, for the segments that are in the text."""
     for batch in batches:
         lists = batch.column(3)
         for c in chunks(batch.column(2)):
@@ -173,12 +174,12 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = own.flatten()
             doc = np.repeat(np.arange(c.n), np.diff(own.offsets.to_numpy()))
             rk, sh, place = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            start, wins, _ = _parts(place)
+            start, wins, state = _parts(place)
             lo, ok = _present(w, doc, start, wins, sh)
             hi = lo + wins[ok] + WINDOW - 1
             texts = [c.buf[a:b].tobytes().decode() for a, b in zip(w.starts[lo].tolist(), w.ends[hi - 1].tolist(), strict=True)]
             at = c.first + doc[ok]
-            yield _batch("rk sh key th start words", rk[ok], sh[ok], batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], start[ok], pa.array(texts, pa.string()))
+            yield _batch("rk sh key th start whole words", rk[ok], sh[ok], batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], start[ok], state[ok] == LOOPS, pa.array(texts, pa.string()))
 
 
 class _Shard:
@@ -194,10 +195,10 @@ class _Shard:
         self.begin = np.cumsum(size + 1) - size
         self.key, self.th, self.start = key, th, start
 
-    def find(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """Which of the windows of h that begin at first occur here, and the earliest places (key, th, start) of these."""
+    def find(self, h: np.ndarray, first: np.ndarray, others: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Which of the windows of h that begin at first occur here more than `others` times, and the earliest places (key, th, start) of these."""
         at = np.minimum(np.searchsorted(self.symbols, h), len(self.symbols) - 1)
-        reached, lo, _ = self.index.matches(np.where(self.symbols[at] == h, at + 1, 0), first + WINDOW)
+        reached, lo, _ = self.index.matches(np.where(self.symbols[at] == h, at + 1, 0), first + WINDOW, others)
         full = np.flatnonzero(reached == WINDOW)
         place = self.index.earliest(lo[full])
         seg = np.searchsorted(self.begin, place, "right") - 1
@@ -205,12 +206,12 @@ class _Shard:
 
 
 def _search(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Windows of segments' texts that occur in one of the indexes on them: from (a run's first window in its segment), wins, sh of the run, and own (it occurs at an earlier place)."""
+    """Windows of segments' texts that occur in one of the indexes on them: from (a run's first window in its segment), wins, sh of the run, and own (it occurs at an earlier place; else it is for the copies)."""
     key, th, start = (t[c].to_numpy() for c in ("key", "th", "start"))
     t = t.take(pa.array(np.lexsort((start, th, key))))
     shards: list[_Shard] = []
     for block in (t.slice(i, SHARD) for i in range(0, t.num_rows, SHARD)):
-        rk, sh, key, th, start = (block[c].to_numpy() for c in ("rk", "sh", "key", "th", "start"))
+        rk, sh, key, th, start, every = (block[c].to_numpy() for c in ("rk", "sh", "key", "th", "start", "whole"))
         parts = [c.words() for c in chunks(block["words"].combine_chunks())]
         h, size = np.concatenate([w.hashes() for w in parts]), np.concatenate([w.count for w in parts])
         shards.append(_Shard(h, size, key, th, start))
@@ -220,10 +221,14 @@ def _search(t: pa.Table) -> Iterator[pa.RecordBatch]:
         k, m, p = key[seg[first]], th[seg[first]], start[seg[first]] + nth[first]
         before, found = np.zeros(len(first), bool), np.zeros(len(first), bool)
         for shard in shards:
-            full, (k2, m2, p2) = shard.find(h, first)
-            k1, m1, p1 = k[full], m[full], p[full]
-            found[full] = True
-            before[full] |= (k2 < k1) | (k2 == k1) & ((m2 < m1) | (m2 == m1) & (p2 < p1))
+            # in its own index a window is known to occur once
+            for which, others in ((np.flatnonzero(every[seg[first]]), 0), (np.flatnonzero(~every[seg[first]]), int(shard is shards[-1]))):
+                full, (k2, m2, p2) = shard.find(h, first[which], others)
+                full = which[full]
+                k1, m1, p1 = k[full], m[full], p[full]
+                found[full] = True
+                before[full] |= (k2 < k1) | (k2 == k1) & ((m2 < m1) | (m2 == m1) & (p2 < p1))
+        found &= every[seg[first]]  # who has no copies needs no report for them
         whole = gram_hashes(h, WINDOW)
         for which, own in ((before, True), (found, False)):
             at = first[which]
@@ -299,7 +304,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     routed = texts.mapInArrow(_split(common), _ROWS).repartition(F.when(copy, F.xxhash64("key", "place")).otherwise(F.col("rk"))).sortWithinPartitions(*_KEYS, "place")
     settled = checkpointed(routed.mapInArrow(_settle, _ROWS))
     wanted = settled.where(~copy).groupBy("key", "th").agg(F.collect_list(F.struct("rk", "sh", "place")).alias("segs"))
-    fetched = texts.join(wanted, ["key", "th"]).select("key", "th", "text", "segs").mapInArrow(_fetch, "rk bigint, sh bigint, key bigint, th bigint, start bigint, words string")
+    fetched = texts.join(wanted, ["key", "th"]).select("key", "th", "text", "segs").mapInArrow(_fetch, "rk bigint, sh bigint, key bigint, th bigint, start bigint, whole boolean, words string")
     reported = checkpointed(fetched.repartition("rk").sortWithinPartitions("rk").mapInArrow(_index, "rk bigint, sh bigint, key bigint, th bigint, start bigint, from bigint, wins bigint, run bigint, own boolean"))
     mine = reported.where("own").select("key", "th", F.col("run").alias("sh"), (F.col("start") + F.col("from")).alias("start"), "wins")
     kinds = reported.where("not own").select("rk", "sh", "from", "wins", "run").distinct()
