@@ -26,10 +26,10 @@ from logloom.llm.tokens import shared
 CAPACITY = 4096
 #: Pieces of one length that are ranked together, on average; as many parts are made as that takes.
 RANKED = 100_000
-#: Rows that a plan can have for a capacity of 4096, whatever the number of pieces (it is broadcast): large pieces make two
-#: rows for each length at most and as many runs of gaps; a small length either ends in a row or uses up a run,
-#: and what is left of a run's gap is less than half of it, so a run is used twelve times at most.
-MOST_ROWS = 24 * 3 * CAPACITY
+#: Rows that a plan has at most for each token of the capacity, whatever the number of pieces (so it can be broadcast): large
+#: pieces make two rows for each length at most and as many runs of gaps; a small length either ends in a row or uses up
+#: a run, and what is left of a run's gap is less than half of it, so a run is used twelve times at most at 4096.
+MOST_ROWS = 72
 
 #: length, first rank, end rank, first sequence, pieces to a sequence, offset of the first of them
 Slot = tuple[int, int, int, int, int, int]
@@ -151,6 +151,8 @@ def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keyed = parts.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(spread)))
     sizes = keyed.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     slots = plan(counts, capacity)
+    if len(slots) > MOST_ROWS * capacity:
+        raise ValueError(f"a plan of {len(slots)} rows")
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
