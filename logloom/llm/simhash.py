@@ -248,14 +248,17 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.repartition("part").sortWithinPartitions("part", "visits").mapInArrow(_meet(radius), "a bigint, b bigint")
 
 
-#: Words of a wide fingerprint, subsets a document is found by, and shingles of a subset.
-WIDE, SUBSETS, EACH = 8, 12, 4
-#: Bits in which fingerprints of subsets may differ.
-SUBSET_RADIUS = 1
-#: Documents that are compared because one subset is alike; where it is more, two have to be alike, and then three.
-ALIKE, DEPTH = 2000, 3
-#: Standard deviations by which fingerprints may be further apart than those of similar texts are on average.
-SLACK = 2.5
+#: Words of a wide fingerprint.
+WIDE = 8
+#: Where a shingle is in the prefixes of FEW texts or fewer, all of these are compared at once. Where it is more, each is compared with
+#: one first, and then with all texts of other groups, ALIKE in a task and each two parts of so many in one.
+FEW, ALIKE = 32, 2000
+#: One of so many documents tells which shingles are common: those of COMMON of them or more, MOST_COMMON at most. This decides about order and cost, never about the result.
+COMMON_RATE, COMMON, MOST_COMMON = 16, 3, 1 << 18
+#: Bins in which shingles are counted, a power of two.
+BINS = 256
+#: Keeps bounds on the safe side of rounding.
+EPS = 1e-9
 
 
 def majority(h: np.ndarray, edge: np.ndarray, words: int = 1) -> np.ndarray:
@@ -268,53 +271,22 @@ def majority(h: np.ndarray, edge: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
-def sketches(c: Chunk, k: int) -> dict:
-    """For each text of a chunk: sig (of its set of shingles), wide (fingerprint bytes) and keys (its subsets' fingerprints).
-
-    Shingles are dealt into 2**level subsets by their hash, so that about EACH are in one; the
-    first SUBSETS of these have fingerprints of their own, which are the keys. A text near
-    the border of two levels has the keys of both.
-    """
+def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different shingles of each text of a chunk, sorted by text and hash: hashes, the texts' rows, and each text's number of them."""
     h, doc = shingle_hashes(c, k)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     once = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
     h, doc = h[once], doc[once]
-    n = np.bincount(doc, minlength=c.n)
-    some = np.flatnonzero(n)
-    first = np.concatenate(([0], np.cumsum(n)))
-    sig, wide = np.zeros(c.n, U64), np.zeros((c.n, WIDE), U64)
+    return h, doc, np.bincount(doc, minlength=c.n)
+
+
+def set_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A number for each set of n[i] shingles, equal for equal sets; 0 for none."""
+    some, sig = np.flatnonzero(n), np.zeros(len(n), U64)
     if len(some):
-        edge = np.append(first[some], first[-1])
-        sig[some] = mix(np.add.reduceat(mix(h), edge[:-1]) + n[some].astype(U64))
-        wide[some] = majority(h, edge, WIDE)
-    place = mix(h ^ U64(0x5851F42D4C957F2D))
-    size = np.log2(np.maximum(n, EACH) / EACH)
-    found_doc, found_key = [], []
-    low = np.floor(size + 1 / 3).astype(np.int64)
-    for level, use in ((low, np.ones(c.n, bool)), (low + 1, np.floor(size + 2 / 3) > low)):
-        shift = np.minimum(level[doc], 63)
-        g = np.where(shift > 0, place >> (U64(64) - np.maximum(shift, 1).astype(U64)), U64(0))
-        pick = np.flatnonzero(use[doc] & (g < U64(SUBSETS)))
-        pick = pick[np.lexsort((g[pick], doc[pick]))]
-        d, own = doc[pick], g[pick]
-        if not len(d):
-            continue
-        start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (own[1:] != own[:-1]))))
-        fp = majority(h[pick], np.append(start, len(pick)))[:, 0]
-        found_doc.append(d[start])
-        found_key.append(fp)
-    d = np.concatenate(found_doc) if found_doc else np.zeros(0, np.int64)
-    key = np.concatenate(found_key) if found_key else np.zeros(0, U64)
-    key = key[np.argsort(d, kind="stable")]
-    edges = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=c.n)))).astype(np.int32)
-    return {"sig": sig.view(np.int64), "wide": [x.tobytes() for x in wide], "keys": pa.ListArray.from_arrays(pa.array(edges), pa.array(key.view(np.int64)))}
-
-
-def differing(similarity: float, sigmas: float = 0.0) -> int:
-    """Bits in which wide fingerprints of sets with that Jaccard similarity differ, plus so many standard deviations."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(64 * WIDE * p + sigmas * math.sqrt(64 * WIDE * p * (1 - p)))
+        sig[some] = mix(np.add.reduceat(mix(h), (np.cumsum(n) - n)[some]) + n[some].astype(U64))
+    return sig.view(np.int64)
 
 
 def spanning(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,28 +312,6 @@ def spanning(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _candidates(limit: int):
-    """a, b: nodes to compare, of rows (key, node, wide) sorted by key and node; fewer than the rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "key", 4096):
-            key, node = t["key"].to_numpy(), t["node"].to_numpy()
-            x = np.frombuffer(b"".join(t["wide"].to_pylist()), U64).reshape(-1, WIDE)
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            size = np.diff(edge)
-            two = edge[:-1][size == 2]
-            two = two[np.bitwise_count(x[two] ^ x[two + 1]).sum(1, dtype=np.int32) <= limit]
-            parts = [(two + 1, two)]
-            for k in np.flatnonzero(size > 2):
-                lo = int(edge[k])
-                i, j = spanning(x[lo : int(edge[k + 1])], limit)
-                parts.append((lo + i, lo + j))
-            a, b = (node[np.concatenate(v)] for v in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    return run
-
-
 def jaccard(one: Chunk, other: Chunk, k: int) -> np.ndarray:
     """Similarity of the sets of k-word shingles of each text and the other's; 1 where neither has any."""
     sets = []
@@ -389,60 +339,175 @@ def _similar(similarity: float, k: int):
     return run
 
 
-def _meetings(nodes: DataFrame) -> DataFrame:
-    """key, node, wide of nodes (node, wide, blocks): who is compared with whom.
+def bins(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles of each of n texts fall into each of BINS bins, modulo 256."""
+    return np.bincount(doc * BINS + (mix(h ^ U64(0x5851F42D4C957F2D)) >> U64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=n * BINS).astype(np.uint8).reshape(n, BINS)
+
+
+def _near(similarity: float):
+    """a, b of rows (a, b, sizes, bins) that can be similar: counts of bins differ by no more in all than such sets have shingles apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            apart = np.minimum(one - other, other - one).sum(1, dtype=np.int64)
+            at = np.flatnonzero(apart <= size * (1 - similarity) / (1 + similarity) + EPS)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _told(pairs: DataFrame, source: DataFrame, thin: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b of those pairs (a, b: nodes) whose texts are similar; texts are only read of those whose bins don't rule it out."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = checkpointed(thin.select("node", "size", "bins", "doc_id").join(ids, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id")))
+    one, other = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    near = checkpointed(pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(_near(similarity), "a bigint, b bigint"))
+    ids = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = checkpointed(sets.select("node", "doc_id").join(ids, "node").select("doc_id").distinct())
+    rows = source.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= 1 << 18 else wanted, "doc_id")
 
-    Nodes meet in a block. Where more than ALIKE of them do, they have to share a second block,
-    and then a third; what is left above ALIKE then is compared in one task, along its spanning forest.
+    def own(c: Chunk) -> dict:
+        h, _, n = shingle_sets(c, shingle)
+        return {"node": set_hashes(h, n)}
+
+    texts = checkpointed(map_docs(rows.select("text"), ["text"], "node bigint", own).join(ids, "node").groupBy("node").agg(F.min("text").alias("text")))
+    told = near.join(texts.withColumnsRenamed({"node": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b")
+    return told.select("a", "b", "one", "other").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint")
+
+
+def _common(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, ascending, and how many of the sampled documents have them."""
+    some = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_RATE)) == 0).select("text")
+
+    def sets(c: Chunk) -> dict:
+        h, _, n = shingle_sets(c, shingle)
+        return {"node": set_hashes(h, n), "h": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h.view(np.int64)))}
+
+    counts = map_docs(some, [], "node bigint, h array<bigint>", sets).select("node", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    found = counts.where((F.col("n") >= COMMON) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h", "n").toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(U64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(c: Chunk, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> dict:
+    """For each text of a chunk: node (a number), size and bins of its set of shingles, and prefix, the first shingles in an order that is the same for all texts.
+
+    Common shingles come last, the least common of them first; else hashes order them. Two sets of that similarity
+    have more shingles in common than either has outside its prefix, so the first that they share is in both.
     """
-    rows = nodes.select("node", F.explode("blocks").alias("b")).select("node", F.array("b").alias("met"))
-    out = None
-    for depth in range(1, DEPTH + 1):
-        keyed = checkpointed(rows.select(F.xxhash64("met").alias("key"), "node", "met"))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        cold = sizes if depth == DEPTH else sizes.where(F.col("n") <= ALIKE)
-        few = keyed.join(cold, "key").select("key", "node")
-        out = few if out is None else out.unionByName(few)
-        if depth == DEPTH:
-            break
-        hot = sizes.where(F.col("n") > ALIKE)
-        if hot.isEmpty():
-            break
-        crowded = keyed.join(F.broadcast(hot.select("key")) if hot.count() <= 1 << 16 else hot.select("key"), "key")
-        more = crowded.join(nodes.select("node", "blocks"), "node").select("node", "met", F.explode(F.array_except("blocks", "met")).alias("b"))
-        rows = more.select("node", F.array_sort(F.array_append("met", F.col("b"))).alias("met")).distinct()
-    return out.join(nodes.select("node", "wide"), "node").select("key", "node", "wide")
+    h, doc, n = shingle_sets(c, k)
+    level = np.zeros(len(h), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        level = np.where(common[0][at] == h, common[1][at], 0)
+    ordered = h[np.lexsort((level, doc))]  # stable: hashes ascend within a level
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    long = np.where(n > 0, n - np.ceil(similarity * n - EPS).astype(np.int64) + 1, 0)
+    edges = np.append(0, np.cumsum(long)).astype(np.int32)
+    return {"node": set_hashes(h, n), "size": n.astype(np.int64), "bins": [x.tobytes() for x in bins(h, doc, c.n)], "prefix": pa.ListArray.from_arrays(pa.array(edges), pa.array(ordered[place < long[doc]].view(np.int64)))}
+
+
+def close(key: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every two rows i, j of a key, of rows sorted by key and size, that can be similar if key is the first shingle in common of sets of that size, at that place in each."""
+    i, d = np.arange(len(key)), 0
+    while len(i):
+        # each row with the one d rows further on, until that has another key or is too large: so are all after it
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        least = np.ceil(similarity / (1 + similarity) * (size[i] + size[i + d]) - EPS)
+        on = (size[i] >= similarity * size[i + d] - EPS) & (place[i] <= size[i] - least)
+        i, least = i[on], least[on]
+        ok = place[i + d] <= size[i + d] - least
+        yield i[ok], i[ok] + d
+
+
+def _rows(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+
+
+def _sharing(similarity: float, few: int):
+    """Of rows (token, node, size, place) sorted by token, size and node: candidates a, b (n = 0) where few nodes have a token, else the token's rows with how many (n) there are, the node (a) and the token's least node (b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "token", 1 << 14):
+            token, node, size, place = (t[x].to_numpy() for x in ("token", "node", "size", "place"))
+            once = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
+            token, node, size, place = token[once], node[once], size[once], place[once]
+            edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+            times = np.diff(edge)
+            n, centre = np.repeat(times, times), np.repeat(np.minimum.reduceat(node, edge[:-1]), times)
+            at = np.flatnonzero((n > 1) & (n <= few))
+            pairs = [(node[at[i]], node[at[j]]) for i, j in close(token[at], size[at], place[at], similarity)]
+            if pairs:
+                a, b = np.unique(np.stack([np.concatenate(v) for v in zip(*((np.maximum(*p), np.minimum(*p)) for p in pairs), strict=True)]), axis=1)
+                none = np.zeros(len(a), np.int64)
+                yield _rows(n=none, token=none, a=a, b=b, size=none, place=none)
+            at = np.flatnonzero(n > few)
+            for lo in range(0, len(at), 1 << 16):
+                k = at[lo : lo + (1 << 16)]
+                yield _rows(n=n[k], token=token[k], a=node[k], b=centre[k], size=size[k], place=place[k])
+
+    return run
+
+
+def _crossing(similarity: float):
+    """a, b: candidates in different components, of rows sorted by key and size; where key is of two parts (cross), one of each (own)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "key", 1 << 14):
+            key, node, component, size, place, own, cross = (t[x].to_numpy() for x in ("key", "node", "component", "size", "place", "own", "cross"))
+            for i, j in close(key, size, place, similarity):
+                ok = (component[i] != component[j]) & (~cross[i] | (own[i] != own[j]))
+                if ok.any():
+                    a, b = node[i[ok]], node[j[ok]]
+                    yield _rows(a=np.maximum(a, b), b=np.minimum(a, b))
+
+    return run
+
+
+def _between(crowded: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all candidates in different groups (node, component) among rows (token, n, node, size, place)."""
+    rows = crowded.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    parts = F.ceil(F.col("n") / ALIKE)
+    dealt = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    tiles = dealt.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "component", "size", "place", "own", (F.col("own") != F.col("other")).alias("cross"))
+    return tiles.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_crossing(similarity), "a bigint, b bigint").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, component_id of every different doc_id that isn't null: groups of similar sets of shingles.
 
-    Fingerprints of whole texts of that similarity are too far apart for an index. So documents
-    are found by fingerprints of subsets of their shingles, which the Gray-order index links
-    within SUBSET_RADIUS bits. Among documents that meet so, the links of a minimum spanning
-    forest over wide fingerprints are candidates, as long as these are no further apart than
-    such texts' can be: each is compared with those most like it. Candidates are linked if the Jaccard similarity of their
-    shingles is at least `similarity`. Documents with equal sets are one row from the start,
-    null and blank texts among them. component_id is the smallest doc_id of a group.
+    Documents with equal sets are one node from the start, null and blank texts among them, and two nodes are linked if the
+    Jaccard similarity of their sets is at least `similarity`. No such link between groups is lost: candidates come from a
+    prefix join, where sets meet in each of the first shingles of an order that puts common ones last, and pairs are only
+    left out for what no similar two can have (their sizes, the places of their first common shingle, how many shingles
+    fall into each bin of their hashes). All others are compared. Where many sets meet, each is first compared with one of them, so that large groups
+    are known, and then all pairs of different groups are. component_id is the smallest doc_id of a group. Where rows
+    repeat an id with different texts, all of these are in one group.
     """
     source = docs.where("doc_id is not null")
-    thin = checkpointed(map_docs(source.select("doc_id", "text"), ["doc_id"], "sig bigint, wide binary, keys array<bigint>", lambda c: sketches(c, shingle)))
-    nodes = thin.groupBy("sig").agg(F.min("doc_id").alias("node"))
-    kept = checkpointed(thin.join(nodes, "sig").where("doc_id = node").dropDuplicates(["sig"]).select("node", "wide", F.array_distinct("keys").alias("keys")))
-    prints = kept.select(F.explode("keys").alias("fp")).distinct()
-    near = components(links(prints.select(F.col("fp").alias("node"), "fp"), SUBSET_RADIUS))
-    blocks = kept.select("node", F.explode("keys").alias("fp")).join(near.withColumnsRenamed({"node": "fp", "component": "block"}), "fp", "left")
-    blocks = blocks.groupBy("node").agg(F.sort_array(F.collect_set(F.coalesce("block", "fp"))).alias("blocks"))
-    met = _meetings(checkpointed(kept.select("node", "wide").join(blocks, "node")))
-    ordered = met.repartition("key").sortWithinPartitions("key", "node")
-    pairs = checkpointed(ordered.mapInArrow(_candidates(differing(similarity, SLACK)), "a bigint, b bigint").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = checkpointed(source.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    told = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "other"}), "b")
-    found = told.select("a", "b", "one", "other").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint")
-    groups = components(found)
-    label = nodes.join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    return thin.join(label, "sig").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    common = _common(source, shingle)
+    thin = checkpointed(map_docs(source.select("doc_id", "text"), ["doc_id"], "node bigint, size bigint, bins binary, prefix array<bigint>", lambda c: prefixes(c, shingle, similarity, common)))
+    posts = thin.select("node", "size", F.posexplode("prefix").alias("place", "token")).select("token", "node", "size", F.col("place").cast("bigint").alias("place"))
+    met = checkpointed(posts.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_sharing(similarity, FEW), "n bigint, token bigint, a bigint, b bigint, size bigint, place bigint"))
+    first = thin.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b")
+    same = thin.select("doc_id", F.col("node").alias("a")).join(first, "doc_id").select("a", "b")
+    pairs = checkpointed(met.where("a <> b").select("a", "b").distinct())
+    groups = components(_told(pairs, source, thin, similarity, shingle).unionByName(same))
+    crowded = met.where("n > 0").select("token", "n", F.col("a").alias("node"), "size", "place")
+    if not crowded.isEmpty():
+        rest = checkpointed(_between(crowded, groups, similarity))
+        found = checkpointed(_told(rest, source, thin, similarity, shingle))
+        if not found.isEmpty():
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    label = thin.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return thin.select("doc_id", "node").join(label.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id").distinct()
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

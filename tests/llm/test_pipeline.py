@@ -73,6 +73,38 @@ def test_near_groups_against_all_pairs(spark, copies, monkeypatch, alike):
     assert all(got[c] == c for c in got.values())
 
 
+@pytest.mark.parametrize(("few", "alike", "rate"), [(32, 2000, 16), (1, 5, 1), (1, 5, 1 << 40)])
+def test_near_groups_lose_no_link(spark, copies, monkeypatch, few, alike, rate):
+    """Exactly the groups of all pairs from 0.8 on, also where all shingles count as crowded, in parts, and none as common."""
+    for name, value in (("FEW", few), ("ALIKE", alike), ("COMMON_RATE", rate)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng = random.Random(5)
+    texts = list(copies)
+    for _ in range(700):
+        base = prose(rng, 100, [f"b{i}" for i in range(5000)]).split()
+        near = list(base)
+        near[30], near[70] = "one", "other"
+        texts += [" ".join(base), " ".join(near)]
+    # one frame, other words in it: similar to it, hardly to each other
+    frame = prose(rng, 60, [f"f{i}" for i in range(900)]).split()
+    texts += [" ".join([*frame, *(f"own{k}" for k in rng.sample(range(10**6), rng.randrange(2, 16)))]) for _ in range(60)]
+    sets, having = [shingles(t) for t in texts], {}
+    for i, own in enumerate(sets):
+        for g in own:
+            having.setdefault(g, []).append(i)
+    meet = {(i, j) for rows in having.values() for i in rows for j in rows if i < j}
+    joined = Forest(len(texts))
+    for i, j in meet:
+        if jaccard(sets[i], sets[j]) >= 0.8:
+            joined.join(i, j)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(joined.root(i), i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert got == {i: least[joined.root(i)] for i in range(len(texts))}
+
+
 def test_one_of_each_group_stays(odd, odd_rows, empty):
     kept = simhash.keep_one(odd).collect()
     groups = {r.doc_id: r.component_id for r in simhash.similar_groups(odd).collect()}
