@@ -430,7 +430,7 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _sharing(similarity: float, few: int):
-    """Of rows (token, node, size, place) sorted by token, size and node: candidates a, b (n = 0) where few nodes have a token, else the token's rows with how many (n) there are, the node (a) and the token's least node (b)."""
+    """Of rows (token, node, size, place) sorted by token, size and node: candidates a, b (n = 0) where few nodes have a token, else the token's rows with how many (n) there are, the node (a) and one that is the same for all of them (b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "token", 1 << 14):
@@ -439,7 +439,9 @@ def _sharing(similarity: float, few: int):
             token, node, size, place = token[once], node[once], size[once], place[once]
             edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
             times = np.diff(edge)
-            n, centre = np.repeat(times, times), np.repeat(np.minimum.reduceat(node, edge[:-1]), times)
+            # each token has a centre of its own, so that a node is compared with several
+            rank = mix(node.view(U64) ^ mix(token.view(U64)))
+            n, centre = np.repeat(times, times), np.repeat(node[rank == np.repeat(np.minimum.reduceat(rank, edge[:-1]), times)], times)
             at = np.flatnonzero((n > 1) & (n <= few))
             pairs = [(node[at[i]], node[at[j]]) for i, j in close(token[at], size[at], place[at], similarity)]
             if pairs:
