@@ -1,23 +1,25 @@
 """Quality rules: fixed rules, and an isolation forest on the rules' statistics.
 
 The forest isolates documents by random splits of their statistics; documents that are
-isolated early are anomalous. It is fitted on good documents, and its threshold set, on a bounded sample of
-labelled documents; every document is then scored on its whole text.
+isolated early are anomalous. Averages, ranges and the threshold come from all labelled documents; each tree holds
+LEAF of all good ones, as the method has it. Every document is then scored on its whole text.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.scan import map_docs, per_doc, sampled
+from logloom.llm.scan import map_docs, per_doc
+from logloom.llm.tables import checkpointed
 from logloom.llm.textkit import IS_SPACE, U64, Chunk, gram_hashes, mix, word_hashes
 
-#: Labelled documents the forest and its threshold are fitted on, in expectation.
-SAMPLE = 8000
+#: Trees, and good documents in each.
 TREES, LEAF = 200, 1024
 #: Share of documents labelled good that the forest may reject.
 LOSS = 0.001
@@ -109,16 +111,17 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
 class Forest:
     """Isolation forest in arrays: column, cut and children of each node of each tree.
 
-    Splits are drawn over the range of all sampled documents, while only the good ones are
-    held: where no good document is, a path ends after few splits.
+    Splits are drawn over the range of all labelled documents, while only the good ones are
+    held: where no good document is, a path ends after few splits. x: rows that trees draw from, or what each tree drew.
     """
 
-    def __init__(self, x: np.ndarray, low: np.ndarray, high: np.ndarray, mean: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
+    def __init__(self, x: np.ndarray | list[np.ndarray], low: np.ndarray, high: np.ndarray, mean: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
         rng = np.random.default_rng(seed)
-        m = min(leaf, len(x))
+        m = max(map(len, x)) if isinstance(x, list) else min(leaf, len(x))
         self.depth = max(1, math.ceil(math.log2(max(m, 2)))) + 4
         self.norm, self.mean, self.cut = _mean_path(m), mean, np.inf
-        self.trees = [self._grow(x[rng.choice(len(x), m, replace=False)], low, high, rng) for _ in range(trees)]
+        drawn = x if isinstance(x, list) else (x[rng.choice(len(x), m, replace=False)] for _ in range(trees))
+        self.trees = [self._grow(d, low, high, rng) for d in drawn]
 
     def _grow(self, x: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         column, cut, left, length = [], [], [], []
@@ -180,11 +183,65 @@ def fit(s: dict[str, np.ndarray], good: np.ndarray, loss: float = LOSS) -> Fores
     return forest
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """fit() on about `sample` labelled documents; null labels and ids are left out, and a repeated document counts each time."""
-    known = sampled(labels.where("doc_id is not null and quality is not null").select("doc_id", "quality"), sample)
-    rows = map_docs(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ["doc_id", "quality"], f"{OUT}, {SHAPE_OUT}", statistics).toPandas().sort_values(["doc_id", "quality", *COUNTS, *SHAPES])
-    return fit({k: rows[k].to_numpy() for k in COUNTS + SHAPES}, rows["quality"].to_numpy())
+def _draws(mean: np.ndarray, n_good: int):
+    """Of rows (key, good, statistics): the features' least and greatest values, and what the trees draw, as a row of bytes for some rows each.
+
+    A tree draws the good rows whose key, mixed with its number, comes first; only those that can be among its LEAF first are passed on.
+    """
+    share = min(1.0, (LEAF + 8 * math.sqrt(LEAF)) / n_good)
+    cut = U64(min(int(share * 2.0**64), 2**64 - 1))
+    salt = mix(np.arange(1, TREES + 1, dtype=U64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                b = whole.slice(lo, 4096)
+                x = features({k: b.column(i + 2).to_numpy() for i, k in enumerate(COUNTS + SHAPES)}, mean)
+                good = np.flatnonzero(b.column(1).to_numpy(zero_copy_only=False))
+                rank = mix(b.column(0).to_numpy().view(U64)[good, None] ^ salt)
+                row, tree = np.nonzero(rank <= cut)
+                made = {"low": x.min(0), "high": x.max(0), "tree": tree.astype(np.int32), "rank": rank[row, tree], "x": x[good[row]]}
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in made.values()], names=list(made))
+
+    return run
+
+
+def _scores(forest: Forest):
+    """good, score of rows (key, good, statistics)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = forest.score({k: b.column(i + 2).to_numpy() for i, k in enumerate(COUNTS + SHAPES)})
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(score)], names=["good", "score"])
+
+    return run
+
+
+def fitted(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> Forest | None:
+    """fit() on all labelled documents; null labels and ids are left out, and a repeated document counts each time.
+
+    What reaches the driver are sums, ranges, the trees' draws (TREES times LEAF and some more) and the threshold.
+    """
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    all_rows = map_docs(docs.select("doc_id", "text"), ["doc_id"], f"{OUT}, {SHAPE_OUT}", statistics).join(known, "doc_id")
+    kept = all_rows.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words")
+    rows = checkpointed(kept.select(F.xxhash64("doc_id", "quality", *COUNTS, *SHAPES).alias("key"), (F.col("quality") > 0).alias("good"), *COUNTS, *SHAPES))
+    sums = rows.agg(F.count_if("good").alias("n_good"), *(F.sum(k).alias(k) for k in COUNTS + SHAPES)).first()
+    if not sums["n_good"]:
+        return None
+    mean = averages({k: np.array([sums[k]], float) for k in COUNTS + SHAPES})
+    parts = rows.mapInArrow(_draws(mean, sums["n_good"]), "low binary, high binary, tree binary, rank binary, x binary").collect()
+    low, high = (f([np.frombuffer(r[k]) for r in parts], 0) for f, k in ((np.min, "low"), (np.max, "high")))
+    tree, rank = (np.concatenate([np.frombuffer(r[k], t) for r in parts]) for k, t in (("tree", np.int32), ("rank", U64)))
+    x = np.concatenate([np.frombuffer(r["x"]) for r in parts]).reshape(-1, len(mean))
+    order = np.lexsort((*x.T, rank, tree))
+    edge = np.searchsorted(tree[order], np.arange(TREES + 1))
+    forest = Forest([x[order[a:b][:LEAF]] for a, b in zip(edge[:-1], edge[1:], strict=True)], low, high, mean)
+    scored = checkpointed(rows.mapInArrow(_scores(forest), "good boolean, score double"))
+    limit = scored.where("good").orderBy(F.desc("score")).limit(int(loss * sums["n_good"]) + 1).agg(F.min("score")).first()[0]
+    above = scored.where(~F.col("good") & (F.col("score") > limit)).agg(F.min("score")).first()[0]
+    forest.cut = float(limit + 1e-6 if above is None else (limit + above) / 2)
+    return forest
 
 
 def apply_rules(docs: DataFrame, forest: Forest | None) -> DataFrame:

@@ -235,6 +235,28 @@ def test_threshold_keeps_good_rows():
     assert rules.fit(s, np.zeros(360)) is None
 
 
+def test_rules_are_fitted_on_all_labelled_documents(spark):
+    """Averages, ranges and the cut of 12,000 documents, one of which is extreme; each tree draws from all good ones."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(300)}" + rng.choice(["", "1", "#"]) for _ in range(rng.randrange(12, 30))) for _ in range(11_999)] + ["#$%& " * 4 + " ".join(f"w{i}" for i in range(20))]
+    good = np.array([rng.random() < 0.8 for _ in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id bigint, quality int")
+    forest = rules.fitted(docs, labels)
+    parts = [rules.statistics(Chunk.of(texts[i : i + 4000])) for i in range(0, 12_000, 4000)]
+    s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    use = ~rules.base_failed(s)
+    s, good = {k: v[use] for k, v in s.items()}, good[use]
+    assert np.allclose(forest.mean, rules.averages(s), rtol=1e-12)
+    score = forest.score(s)
+    limit = np.sort(score[good])[::-1][int(rules.LOSS * good.sum())]
+    above = score[~good & (score > limit)]
+    assert forest.cut == pytest.approx((limit + above.min()) / 2 if len(above) else limit + 1e-6)
+    assert len(forest.trees) == rules.TREES and forest.norm == rules._mean_path(rules.LEAF)
+    assert len({tree[1].tobytes() for tree in forest.trees}) == rules.TREES
+    assert rules.fitted(docs, labels.withColumn("quality", labels.quality * 0)) is None
+
+
 def test_rules_of_documents_that_were_held_out(spark):
     """The forest learns from four fifths of the labels; the rest is judged."""
     docs, labels = (spark.read.parquet(f"{HELD}/{n}.parquet") for n in ("documents", "labels"))
