@@ -257,6 +257,8 @@ FEW, ALIKE = 32, 2000
 COMMON_RATE, COMMON, MOST_COMMON = 16, 3, 1 << 18
 #: Bins in which shingles are counted, a power of two.
 BINS = 256
+#: Texts, or what is made of them, in a part of a checkpoint.
+PART_TEXTS = 4096
 #: Keeps bounds on the safe side of rounding.
 EPS = 1e-9
 
@@ -344,37 +346,51 @@ def bins(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc * BINS + (mix(h ^ U64(0x5851F42D4C957F2D)) >> U64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=n * BINS).astype(np.uint8).reshape(n, BINS)
 
 
+def apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """By how much each two rows of bins differ in all: never more than their sets have shingles apart."""
+    return np.minimum(one - other, other - one).sum(1, dtype=np.int64)
+
+
+def _most_apart(size: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles two similar sets of that size together have apart at most."""
+    return size * (1 - similarity) / (1 + similarity) + EPS
+
+
+def _bins(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def _near(similarity: float):
     """a, b of rows (a, b, sizes, bins) that can be similar: counts of bins differ by no more in all than such sets have shingles apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-            apart = np.minimum(one - other, other - one).sum(1, dtype=np.int64)
-            at = np.flatnonzero(apart <= size * (1 - similarity) / (1 + similarity) + EPS)
+            at = np.flatnonzero(apart(_bins(batch.column(4)), _bins(batch.column(5))) <= _most_apart(size, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _told(pairs: DataFrame, source: DataFrame, thin: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """a, b of those pairs (a, b: nodes) whose texts are similar; texts are only read of those whose bins don't rule it out."""
+def _told(pairs: DataFrame, source: DataFrame, thin: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, int]:
+    """a, b of those pairs (a, b: nodes) whose texts are similar, and how many are compared; texts are only read of those whose bins don't rule it out."""
+    n = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = checkpointed(thin.select("node", "size", "bins", "doc_id").join(ids, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id")))
+    sets = checkpointed(thin.select("node", "size", "bins", "doc_id").join(ids, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id")), 2 * n)
     one, other = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
-    near = checkpointed(pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(_near(similarity), "a bigint, b bigint"))
-    ids = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = checkpointed(sets.select("node", "doc_id").join(ids, "node").select("doc_id").distinct())
+    near = checkpointed(pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(_near(similarity), "a bigint, b bigint"), n)
+    n = near.count()
+    ids = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
+    wanted = checkpointed(sets.select("node", "doc_id").join(ids, "node").select("doc_id").distinct(), 2 * n)
     rows = source.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= 1 << 18 else wanted, "doc_id")
 
     def own(c: Chunk) -> dict:
         h, _, n = shingle_sets(c, shingle)
         return {"node": set_hashes(h, n)}
 
-    texts = checkpointed(map_docs(rows.select("text"), ["text"], "node bigint", own).join(ids, "node").groupBy("node").agg(F.min("text").alias("text")))
+    texts = checkpointed(map_docs(rows.select("text"), ["text"], "node bigint", own).join(ids, "node").groupBy("node").agg(F.min("text").alias("text")), 2 * n, PART_TEXTS)
     told = near.join(texts.withColumnsRenamed({"node": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b")
-    return told.select("a", "b", "one", "other").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint")
+    return told.select("a", "b", "one", "other").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint"), n
 
 
 def _common(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -457,13 +473,16 @@ def _sharing(similarity: float, few: int):
 
 
 def _crossing(similarity: float):
-    """a, b: candidates in different components, of rows sorted by key and size; where key is of two parts (cross), one of each (own)."""
+    """a, b: candidates in different components whose bins don't rule it out, of rows sorted by key and size; where key is of two parts (cross), one of each (own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "key", 1 << 14):
             key, node, component, size, place, own, cross = (t[x].to_numpy() for x in ("key", "node", "component", "size", "place", "own", "cross"))
+            held = _bins(t["bins"])
             for i, j in close(key, size, place, similarity):
                 ok = (component[i] != component[j]) & (~cross[i] | (own[i] != own[j]))
+                i, j = i[ok], j[ok]
+                ok = apart(held[i], held[j]) <= _most_apart(size[i] + size[j], similarity)
                 if ok.any():
                     a, b = node[i[ok]], node[j[ok]]
                     yield _rows(a=np.maximum(a, b), b=np.minimum(a, b))
@@ -471,13 +490,16 @@ def _crossing(similarity: float):
     return run
 
 
-def _between(crowded: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all candidates in different groups (node, component) among rows (token, n, node, size, place)."""
+def _between(crowded: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all candidates in different groups (node, component) among rows (token, n, node, size, place), as far as their sets' bins (node, bins) don't rule them out."""
     rows = crowded.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    rows = rows.join(mixed, "token")
+    # bins go along, so that pairs that they rule out are never rows
+    sets = sets.select("node", "bins").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bins").alias("bins"))
     parts = F.ceil(F.col("n") / ALIKE)
-    dealt = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    tiles = dealt.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "component", "size", "place", "own", (F.col("own") != F.col("other")).alias("cross"))
+    dealt = rows.join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    tiles = dealt.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "component", "size", "place", "own", (F.col("own") != F.col("other")).alias("cross"), "bins")
     return tiles.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_crossing(similarity), "a bigint, b bigint").distinct()
 
 
@@ -494,19 +516,22 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     """
     source = docs.where("doc_id is not null")
     common = _common(source, shingle)
-    thin = checkpointed(map_docs(source.select("doc_id", "text"), ["doc_id"], "node bigint, size bigint, bins binary, prefix array<bigint>", lambda c: prefixes(c, shingle, similarity, common)))
+    thin = checkpointed(map_docs(source.select("doc_id", "text"), ["doc_id"], "node bigint, size bigint, bins binary, prefix array<bigint>", lambda c: prefixes(c, shingle, similarity, common)), source.count(), PART_TEXTS)
     posts = thin.select("node", "size", F.posexplode("prefix").alias("place", "token")).select("token", "node", "size", F.col("place").cast("bigint").alias("place"))
-    met = checkpointed(posts.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_sharing(similarity, FEW), "n bigint, token bigint, a bigint, b bigint, size bigint, place bigint"))
+    n = thin.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    met = checkpointed(posts.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_sharing(similarity, FEW), "n bigint, token bigint, a bigint, b bigint, size bigint, place bigint"), n)
     first = thin.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b")
     same = thin.select("doc_id", F.col("node").alias("a")).join(first, "doc_id").select("a", "b")
-    pairs = checkpointed(met.where("a <> b").select("a", "b").distinct())
-    groups = components(_told(pairs, source, thin, similarity, shingle).unionByName(same))
+    pairs = checkpointed(met.where("a <> b").select("a", "b").distinct(), met.count())
+    told, n = _told(pairs, source, thin, similarity, shingle)
+    groups = components(told.unionByName(same), n + same.count())
     crowded = met.where("n > 0").select("token", "n", F.col("a").alias("node"), "size", "place")
     if not crowded.isEmpty():
-        rest = checkpointed(_between(crowded, groups, similarity))
-        found = checkpointed(_told(rest, source, thin, similarity, shingle))
+        rest = checkpointed(_between(crowded, groups, thin, similarity))
+        told, n = _told(rest, source, thin, similarity, shingle)
+        found = checkpointed(told, n, PART_TEXTS)
         if not found.isEmpty():
-            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), groups.count() + n)
     label = thin.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return thin.select("doc_id", "node").join(label.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id").distinct()

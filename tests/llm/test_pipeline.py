@@ -173,6 +173,46 @@ def test_odd_and_empty_tables(spark, odd, empty):
         assert (at.count() > 0) == (docs is odd)
 
 
+def test_near_groups_write_few_small_files(spark, copies, monkeypatch):
+    """Checkpoints of few rows have about as many parts as there are cores, whatever the number of shuffle partitions."""
+    parts, own = [], type(spark.range(1)).checkpoint
+
+    def counted(df, *args):
+        out = own(df, *args)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", counted)
+    df = spark.createDataFrame(list(enumerate(copies[:150])), "doc_id bigint, text string").repartition(30)
+    options = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        simhash.similar_groups(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 8 and sum(n > spark.sparkContext.defaultParallelism for n in parts) <= 1
+
+
+def test_unlike_texts_with_a_common_line_make_no_pairs(spark, monkeypatch):
+    """The second comparison is given no pairs that the bins rule out."""
+    rng, given, own = random.Random(14), [], simhash._told
+
+    def counted(pairs, *args):
+        given.append(pairs.count())
+        return own(pairs, *args)
+
+    monkeypatch.setattr(simhash, "_told", counted)
+    monkeypatch.setattr(simhash, "_common", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    line = prose(rng, 34, [f"p{i}" for i in range(400)])
+    texts = [f"{line} {prose(rng, 6, [f'q{i}' for i in range(900)])}" for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert all(r.doc_id == r.component_id for r in simhash.similar_groups(df).collect())
+    assert len(given) == 2 and given[1] < 120
+
+
 def test_majority_bits():
     rng = np.random.default_rng(9)
     h, edge = rng.integers(0, 1 << 63, 50, dtype=np.uint64), np.array([0, 1, 2, 9, 50])
