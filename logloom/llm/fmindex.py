@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-U64 = np.uint64
+from logloom.llm.textkit import U64, gram_hashes, mix
 
 
 class Bits:
@@ -92,7 +92,8 @@ class FMIndex:
 
     Suffixes are sorted by their first `reach` numbers, and by place where these are equal.
     That is enough for such patterns. Of the suffix array only the first suffix of each such
-    group is kept, the earliest place of its pattern; the text itself isn't kept.
+    group is kept, the earliest place of its pattern; the text itself isn't kept. A table of all
+    runs of `seed` numbers (by 64-bit hashes) has their intervals, so that a search for whole patterns begins there.
     """
 
     def __init__(self, text: np.ndarray, reach: int):
@@ -100,8 +101,11 @@ class FMIndex:
         n = len(text)
         self.n, self.reach = n, reach
         self.sigma = int(text.max(initial=0)) + 1
-        rank, width = text, 1
+        self.seed = 1 << max(0, (reach - 1).bit_length() - 1)
+        rank, width, runs = text, 1, text
         while width < reach:
+            if width == self.seed:
+                runs = rank
             step = min(width, reach - width)
             after = np.concatenate((rank[step:], np.full(min(step, n), -1)))[:n]
             rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
@@ -111,7 +115,17 @@ class FMIndex:
         head = np.concatenate(([True], ranked[1:] != ranked[:-1]))[:n]
         self.heads, self.places = Bits(head), suffixes[head].astype(np.int32)
         self.tree = WaveletTree(text[suffixes - 1], self.sigma)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma)))).astype(np.int32)
+        h, at = self._runs(text)
+        own, once = np.unique(h[at], return_index=True)
+        edge = np.concatenate(([0], np.cumsum(np.bincount(runs, minlength=1))))
+        runs = runs[at[once]]
+        self.keys, self.lo, self.hi = own, edge[runs].astype(np.int32), edge[runs + 1].astype(np.int32)
+
+    def _runs(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of `seed` numbers, and where those begin that don't contain the number 0."""
+        zeros = np.concatenate(([0], np.cumsum(text == 0)))
+        return gram_hashes(mix(text.astype(U64)), self.seed), np.flatnonzero(zeros[self.seed :] == zeros[: max(0, len(zeros) - self.seed)])
 
     def matches(self, text: np.ndarray, ends: np.ndarray, others: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of a streamed text: how many numbers before each of the ends occur in the indexed text.
@@ -120,9 +134,13 @@ class FMIndex:
         times, up to reach. Returns the lengths and the last suffix intervals [lo, hi).
         """
         reached = np.zeros(len(ends), np.int64)
-        lo_all, hi_all = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        live = np.arange(len(ends))
-        for k in range(1, self.reach + 1):
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        self._extend(text, ends, reached, lo, hi, np.arange(len(ends)), 1, others)
+        return reached, lo, hi
+
+    def _extend(self, text: np.ndarray, ends: np.ndarray, reached: np.ndarray, lo_all: np.ndarray, hi_all: np.ndarray, live: np.ndarray, begin: int, others: int) -> None:
+        """Takes the live patterns, which have begin - 1 numbers, back to up to reach."""
+        for k in range(begin, self.reach + 1):
             if not len(live):
                 break
             c = text[ends[live] - k]
@@ -132,11 +150,32 @@ class FMIndex:
             more = (hi - lo > others) & (c > 0)
             live = live[more]
             lo_all[live], hi_all[live], reached[live] = lo[more], hi[more], k
-        return reached, lo_all, hi_all
+
+    def whole(self, text: np.ndarray, ends: np.ndarray, others: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ends have `reach` numbers before them that occur more than `others` times, and where the intervals of these begin.
+
+        The last `seed` of them are looked up, and the search goes back from there.
+        """
+        reached = np.zeros(len(ends), np.int64)
+        lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        if len(ends) and len(self.keys):
+            h, at = self._runs(np.where(text < self.sigma, text, 0))
+            known = np.zeros(len(h), bool)
+            known[at] = True
+            begin = ends - self.seed
+            live = np.flatnonzero(known[begin])
+            q = h[begin[live]]
+            i = np.minimum(np.searchsorted(self.keys, q), len(self.keys) - 1)
+            ok = (self.keys[i] == q) & (self.hi[i] - self.lo[i] > others)
+            live, i = live[ok], i[ok]
+            lo[live], hi[live], reached[live] = self.lo[i], self.hi[i], self.seed
+            self._extend(text, ends, reached, lo, hi, live, self.seed + 1, others)
+        full = np.flatnonzero(reached == self.reach)
+        return full, lo[full]
 
     def earliest(self, lo: np.ndarray) -> np.ndarray:
         """Smallest text position of the patterns of full reach whose intervals begin at lo."""
         return self.places[self.heads.rank(lo)].astype(np.int64)
 
     def nbytes(self) -> int:
-        return self.tree.nbytes() + self.heads.nbytes() + self.places.nbytes + self.first.nbytes
+        return self.tree.nbytes() + self.heads.nbytes() + self.places.nbytes + self.first.nbytes + self.keys.nbytes + self.lo.nbytes + self.hi.nbytes

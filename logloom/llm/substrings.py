@@ -198,9 +198,8 @@ class _Shard:
     def find(self, h: np.ndarray, first: np.ndarray, others: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """Which of the windows of h that begin at first occur here more than `others` times, and the earliest places (key, th, start) of these."""
         at = np.minimum(np.searchsorted(self.symbols, h), len(self.symbols) - 1)
-        reached, lo, _ = self.index.matches(np.where(self.symbols[at] == h, at + 1, 0), first + WINDOW, others)
-        full = np.flatnonzero(reached == WINDOW)
-        place = self.index.earliest(lo[full])
+        full, lo = self.index.whole(np.where(self.symbols[at] == h, at + 1, 0), first + WINDOW, others)
+        place = self.index.earliest(lo)
         seg = np.searchsorted(self.begin, place, "right") - 1
         return full, (self.key[seg], self.th[seg], self.start[seg] + place - self.begin[seg])
 

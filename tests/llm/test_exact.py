@@ -98,6 +98,24 @@ def test_fm_index():
                 assert index.earliest(np.array([a])).tolist() == [places[0]]
 
 
+def test_whole_patterns_begin_at_long_runs(monkeypatch):
+    """Patterns of full reach are found as by the search number by number, in a few steps of it."""
+    rng = np.random.default_rng(4)
+    text = np.concatenate(([0], rng.zipf(1.5, 400) % 5 + 1, [0], np.tile(rng.integers(1, 4, 60), 3), [0]))
+    stream = np.concatenate((text[300:], rng.integers(0, 9, 100), text[5:60], text[420:500]))
+    steps, own = [], fmindex.WaveletTree.rank
+    monkeypatch.setattr(fmindex.WaveletTree, "rank", lambda tree, c, i: steps.append(len(c)) or own(tree, c, i))
+    for reach in (1, 2, 3, 8, 20):
+        index, ends = fmindex.FMIndex(text, reach), np.arange(reach, len(stream) + 1)
+        for others in (0, 1):
+            reached, lo, _ = index.matches(stream, ends, others)
+            steps.clear()
+            full, at = index.whole(stream, ends, others)
+            assert len(steps) <= max(1, reach // 2) and (reach < 20 or len(steps) <= 4)
+            assert full.tolist() == np.flatnonzero(reached == reach).tolist() and len(full)
+            assert at.tolist() == lo[full].tolist()
+
+
 def test_index_is_compressed():
     """Of a skewed text that repeats, the index takes less than half of plain numbers and suffixes."""
     rng = np.random.default_rng(8)
