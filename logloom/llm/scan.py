@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,25 @@ from pyspark.sql import functions as F
 from logloom.llm.textkit import Chunk, chunks
 
 
+def give_back() -> None:
+    """Returns memory to the system that allocators keep for later: a Python worker lives on, and each step would add its own to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with unused memory given back when a task's batches end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_docs(df: DataFrame, keep: list[str], out: str, fn: Callable[[Chunk], dict], text: str = "text") -> DataFrame:
     """keep's columns and those that fn makes of each chunk of texts.
 
@@ -33,7 +53,7 @@ def map_docs(df: DataFrame, keep: list[str], out: str, fn: Callable[[Chunk], dic
                 made = fn(c)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, c.n) for i in range(len(keep))), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names)], names=[*keep, *names])
 
-    return source.mapInArrow(run, target)
+    return source.mapInArrow(freeing(run), target)
 
 
 def crc_mod(column: str, mod: int):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
-from logloom.llm.scan import grouped, map_docs
+from logloom.llm.scan import freeing, grouped, map_docs
 from logloom.llm.tables import checkpointed
 from logloom.llm.textkit import U64, Chunk, chunks, mix, xxh64
 
@@ -378,7 +378,7 @@ def _told(pairs: DataFrame, source: DataFrame, thin: DataFrame, similarity: floa
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = checkpointed(thin.select("node", "size", "bins", "doc_id").join(ids, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id")), 2 * n)
     one, other = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
-    near = checkpointed(pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(_near(similarity), "a bigint, b bigint"), n)
+    near = checkpointed(pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(freeing(_near(similarity)), "a bigint, b bigint"), n)
     n = near.count()
     ids = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
     wanted = checkpointed(sets.select("node", "doc_id").join(ids, "node").select("doc_id").distinct(), 2 * n)
@@ -390,7 +390,7 @@ def _told(pairs: DataFrame, source: DataFrame, thin: DataFrame, similarity: floa
 
     texts = checkpointed(map_docs(rows.select("text"), ["text"], "node bigint", own).join(ids, "node").groupBy("node").agg(F.min("text").alias("text")), 2 * n, PART_TEXTS)
     told = near.join(texts.withColumnsRenamed({"node": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b")
-    return told.select("a", "b", "one", "other").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint"), n
+    return told.select("a", "b", "one", "other").mapInArrow(freeing(_similar(similarity, shingle)), "a bigint, b bigint"), n
 
 
 def _common(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -500,7 +500,7 @@ def _between(crowded: DataFrame, groups: DataFrame, sets: DataFrame, similarity:
     parts = F.ceil(F.col("n") / ALIKE)
     dealt = rows.join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
     tiles = dealt.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "component", "size", "place", "own", (F.col("own") != F.col("other")).alias("cross"), "bins")
-    return tiles.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_crossing(similarity), "a bigint, b bigint").distinct()
+    return tiles.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(freeing(_crossing(similarity)), "a bigint, b bigint").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -519,7 +519,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     thin = checkpointed(map_docs(source.select("doc_id", "text"), ["doc_id"], "node bigint, size bigint, bins binary, prefix array<bigint>", lambda c: prefixes(c, shingle, similarity, common)), source.count(), PART_TEXTS)
     posts = thin.select("node", "size", F.posexplode("prefix").alias("place", "token")).select("token", "node", "size", F.col("place").cast("bigint").alias("place"))
     n = thin.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    met = checkpointed(posts.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_sharing(similarity, FEW), "n bigint, token bigint, a bigint, b bigint, size bigint, place bigint"), n)
+    met = checkpointed(posts.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(freeing(_sharing(similarity, FEW)), "n bigint, token bigint, a bigint, b bigint, size bigint, place bigint"), n)
     first = thin.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b")
     same = thin.select("doc_id", F.col("node").alias("a")).join(first, "doc_id").select("a", "b")
     pairs = checkpointed(met.where("a <> b").select("a", "b").distinct(), met.count())

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from logloom.llm import mixing, pii, simhash, tokens
+from logloom.llm import mixing, pii, scan, simhash, tokens
 from tests.llm.conftest import SF, prose
 from tests.llm.test_exact import Forest
 
@@ -213,6 +213,26 @@ def test_unlike_texts_with_a_common_line_make_no_pairs(spark, monkeypatch):
     assert len(given) == 2 and given[1] < 120
 
 
+def test_workers_give_memory_back():
+    """When a task's batches end, what its step had allocated isn't kept for the next."""
+
+    def held():
+        return sum(int(x) for x in re.findall(r"Rss:\s+(\d+)", open("/proc/self/smaps_rollup").read())) / 1024
+
+    peak, pins = [], []
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.ones(4000) for _ in range(5000)]
+            pins.append(rows[-1])
+            peak.append(held())
+            del rows
+            yield batch
+
+    assert list(scan.freeing(run)(iter([1, 2]))) == [1, 2] and len(pins) == 2
+    assert held() < max(peak) - 100
+
+
 def test_majority_bits():
     rng = np.random.default_rng(9)
     h, edge = rng.integers(0, 1 << 63, 50, dtype=np.uint64), np.array([0, 1, 2, 9, 50])
