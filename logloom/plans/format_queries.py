@@ -11,6 +11,7 @@ from logloom.functions import detail, scalars
 from logloom.functions import providers as P
 from logloom.operators.fold import fold
 from logloom.operators.lines import CHUNK, REQUEST, RESPONSE, admitted, classify, valid_json
+from logloom.plans.sample_calls import dealt_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,7 +31,7 @@ def _query(name: str, sql: str) -> Callable[[Query], Query]:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumn("rid", F.concat(F.lit("Call"), F.lpad(F.col("event_id").cast("string"), 24, "0")))
+    return dealt_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumn("rid", F.concat(F.lit("Call"), F.lpad(F.col("event_id").cast("string"), 24, "0")))
 
 
 def said(template: str) -> Column:

@@ -14,7 +14,7 @@ from logloom.operators import calls as C
 from logloom.operators import maintain
 from logloom.operators.fold import fold, gathered, with_chunks
 from logloom.operators.lines import classify
-from logloom.plans.sample_calls import CTE, calls
+from logloom.plans.sample_calls import CTE, calls, dealt_events
 from logloom.sources.store import fresh, join_requests, split_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return dealt_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"

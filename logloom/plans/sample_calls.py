@@ -31,9 +31,17 @@ COLUMNS = {
 }
 
 
+def dealt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table dealt out over all cores: its files are small, and each row becomes many lines or long ones.
+
+    The number is set, so that Spark doesn't put the parts together again for their size.
+    """
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+
+
 def calls(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Two versions of every ninth event, one of the others; every 97th has no time. also: columns of the events to keep."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = dealt_events(spark, sf_dir)
     e = e.select("*", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.explode(F.expr("CASE WHEN event_id % 9 = 0 THEN array(1, 2) ELSE array(1) END")).alias("ver"))
     timed = F.col("event_id") % 97 != 0
     base = e.select(
