@@ -61,11 +61,20 @@ def read_log_files(spark, sf_dir):
     return got.select(F.substring("rid", 5, 24).cast("bigint").alias("event_id"), "kind", admitted(F.col("body")).alias("kept"))
 
 
+def in_segments(log: DataFrame) -> DataFrame:
+    """Values of a conversation log to be written as files: all lines of a call in one of them, in their order.
+
+    Files that tasks write side by side have no times in the order of their lines, so the order
+    of a call that stands in two of them would be lost.
+    """
+    return log.repartitionByRange("ord.conv_id").sortWithinPartitions("ord").select("value")
+
+
 @_query("fold_log_files", FOLDED)
 def fold_log_files(spark, sf_dir):
     """The log of fold_log, by way of files: entries in order of file time, name and place."""
     folder = scratch(spark, "logs")
-    conversation_log(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(folder)
+    in_segments(conversation_log(spark, sf_dir)).write.text(folder)
     return folded_columns(fold(classify(read_entries(spark, folder))))
 
 
@@ -73,7 +82,7 @@ def fold_log_files(spark, sf_dir):
 def stream_fold(spark, sf_dir):
     """The same log as a stream: read, folded with state and appended to a store, which is read back."""
     folder, at = scratch(spark, "logs"), scratch(spark, "stream")
-    conversation_log(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(folder)
+    in_segments(conversation_log(spark, sf_dir)).write.text(folder)
     store = Store(spark, f"{at}/store")
     query = write_calls(classify(stream_entries(spark, folder)), store, f"{at}/checkpoint", availableNow=True)
     query.awaitTermination()
@@ -84,7 +93,7 @@ def stream_fold(spark, sf_dir):
 def stream_tail(spark, sf_dir):
     """The same log from files that are followed by byte offsets."""
     folder, at = scratch(spark, "logs"), scratch(spark, "stream")
-    conversation_log(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(folder)
+    in_segments(conversation_log(spark, sf_dir)).write.text(folder)
     store = Store(spark, f"{at}/store")
     write_calls(classify(tail_entries(spark, folder, quiet=0.0, suffix=".txt")), store, f"{at}/checkpoint", availableNow=True).awaitTermination()
     return folded_columns(store.calls())
@@ -94,7 +103,7 @@ def stream_tail(spark, sf_dir):
 def stream_late_lines(spark, sf_dir):
     """Two runs over one checkpoint: lines of calls that were complete in the first change nothing in the second."""
     folder, at = scratch(spark, "logs"), scratch(spark, "stream")
-    log = conversation_log(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("value")
+    log = in_segments(conversation_log(spark, sf_dir))
     late = log.where(F.startswith("value", F.lit("[GIN]"))).select(F.regexp_replace("value", r"\| [0-9]{3} \|", "| 418 |"))
     store = Store(spark, f"{at}/store")
     for lines in (log, late):
