@@ -80,8 +80,8 @@ class Store:
             try:
                 pool = self.blobs(days_of(blobs))
                 new = blobs if pool is None else blobs.join(pool.select("day", "h"), ["day", "h"], "left_anti")
-                new.write.mode("append").partitionBy("day").parquet(self.blobs_path)
-                split.write.mode("append").partitionBy("day").parquet(self.calls_path)
+                by_day(new).write.mode("append").partitionBy("day").parquet(self.blobs_path)
+                by_day(split).write.mode("append").partitionBy("day").parquet(self.calls_path)
             finally:
                 blobs.unpersist()
 
@@ -116,6 +116,11 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.set(k, v)
 
 
+def by_day(rows: DataFrame) -> DataFrame:
+    """rows dealt out for files by day: a file or a few of a day, not one for each task. A day of many bytes is split."""
+    return rows.hint("rebalance", F.col("day"))
+
+
 def days_of(rows: DataFrame) -> list[str]:
     """The days that rows have; they reach the driver."""
     return [r[0] for r in rows.select("day").distinct().collect()]
