@@ -26,12 +26,13 @@ def with_chunks(events: DataFrame) -> DataFrame:
     c = F.col("_chunk")
     good = F.col("_valid") & F.startswith("_raw", F.lit("{"))
     state = F.when(F.col("_raw").isNull(), F.lit(None)).when(~good, "unknown").when(P.has_payload(c), "payload").when(P.known_empty(c), "empty").otherwise("unknown")
-    rows = rows.withColumn("state", state)
+    rows = rows.withColumn("state", state).withColumn("_delta", F.when(F.col("state") == "payload", P.delta_of(c)))
+    d = F.col("_delta")
     use = lambda v: F.when(F.col("state") == "payload", v)
     return rows.select(
-        "*", use(P.chunk_text(c)).alias("c_text"), use(P.chunk_reasoning(c)).alias("c_reasoning"), use(P.chunk_fragments(c)).alias("c_fragments"), use(P.chunk_usage(c)).alias("c_usage"),
+        "*", use(P.chunk_text(c, d)).alias("c_text"), use(P.chunk_reasoning(c, d)).alias("c_reasoning"), use(P.chunk_fragments(c, d)).alias("c_fragments"), use(P.chunk_usage(c)).alias("c_usage"),
         F.when(F.col("state") == "unknown", clip_bytes(F.col("_raw"), UNKNOWN_BYTES)).alias("c_unknown"),
-    ).drop("_raw", "_valid", "_chunk")
+    ).drop("_raw", "_valid", "_chunk", "_delta")
 
 
 def gathered(events: DataFrame) -> DataFrame:
